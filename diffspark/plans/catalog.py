@@ -12,18 +12,24 @@ from diffspark import schema
 from diffspark.functions import labels
 from diffspark.functions.special import binomial_upper
 from diffspark.operators import (
+    classify,
+    consensus,
     ensemble,
+    impute,
+    moderated,
     moments,
     multiplicity,
     normalize,
+    posterior,
     relational,
     roc,
+    trend,
     ttest,
 )
-from diffspark.plans import views
+from diffspark.plans import study, views
 from diffspark.plans.views import COMPARISONS, CONTRASTS, METHODS, TRUTH
 from diffspark.sources import tables
-from diffspark.stage import stage_root
+from diffspark.stage import materialise, stage_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -442,3 +448,244 @@ def q_ensemble(spark, d):
         "not (method = 'ttest' and lfc > 300) and not (method = 'shrunk' and lfc < -100)"
     )
     return rounded(ensemble.ensemble(floored, weights, anchor="shrunk"), "score", digits=9)
+
+
+# --- imputation -----------------------------------------------------------------------------------
+
+IMPUTATIONS = 20
+
+
+class Missing:
+    """Measurements with gaps, their cells and the two numbers imputation needs."""
+
+    def __init__(self, spark, d):
+        self.rows = materialise(views.measurements(spark, d, "light"))
+        self.cells = materialise(moments.cell_moments(self.rows))
+        stats = moments.row_stats(moments.profiles(self.cells.where("n > 0")))
+        self.trend = trend.fit_log_trend(stats, "sd_p")
+        self.low = impute.low_tail(self.cells)
+
+    def draws(self, m: int) -> DataFrame:
+        return impute.imputation_draws(self.rows, self.cells, self.trend, self.low, m)
+
+    def profiles(self, m: int, weighted: bool = False) -> DataFrame:
+        weight = self.trend.precision_weight(F.col("y")) if weighted else None
+        observed = impute.observed_profile(self.rows, weight)
+        return impute.imputed_profiles(observed, self.draws(m), m, weight)
+
+
+@query
+def q_impute_single(spark, d):
+    g = Missing(spark, d)
+    return rounded(impute.single_imputation(g.rows, g.cells, g.trend, g.low), "y")
+
+
+@query
+def q_impute_multi(spark, d):
+    return rounded(Missing(spark, d).draws(IMPUTATIONS), "y")
+
+
+@query
+def q_imputed_cells(spark, d):
+    p = Missing(spark, d).profiles(IMPUTATIONS, weighted=True)
+    cells = p.select("imputation", "identifier", F.explode("cells").alias("condition", "m"))
+    flat = cells.select(
+        "imputation", "identifier", "condition", "m.n", "m.mean",
+        F.sqrt(F.col("m.ss") / F.col("m.n")).alias("sd"), "m.w", "m.wmean", "m.wss",
+    )
+    return rounded(flat, "mean", "sd", "w", "wmean", "wss")
+
+
+# --- moderated test ---------------------------------------------------------------------------------
+
+
+def moderated_results(spark, d, weighted=False, **options) -> DataFrame:
+    p = materialise(Missing(spark, d).profiles(IMPUTATIONS, weighted))
+    return moderated.moderated_t(p, CONTRASTS, weighted=weighted, **options)
+
+
+def shown(tests: DataFrame) -> DataFrame:
+    return rounded(rounded(tests, "t", "p_val", "lfc"), "df_total", digits=4)
+
+
+@query
+def q_moderated_plain(spark, d):
+    return shown(moderated_results(spark, d))
+
+
+@query
+def q_moderated_trend(spark, d):
+    return shown(moderated_results(spark, d, trend=True))
+
+
+@query
+def q_moderated_weighted(spark, d):
+    return shown(moderated_results(spark, d, weighted=True))
+
+
+@query
+def q_moderated_robust(spark, d):
+    return shown(moderated_results(spark, d, trend=True, robust=True))
+
+
+@query
+def q_variance_prior(spark, d):
+    p = materialise(Missing(spark, d).profiles(IMPUTATIONS))
+    rows = moderated.residual_variance(p)
+    prior = moderated.variance_prior(rows, ["imputation"], trend=True, robust=True)
+    return rounded(rounded(prior.drop("centre"), "b0", "b1", "b2"), "d0", digits=4)
+
+
+# --- consensus -----------------------------------------------------------------------------------------
+
+
+def trend_results(spark, d) -> DataFrame:
+    return materialise(moderated_results(spark, d, trend=True))
+
+
+def critical_rows(results: DataFrame) -> DataFrame:
+    adjusted = consensus.adjust_within_imputation(results)
+    return consensus.critical_values(adjusted, IMPUTATIONS)
+
+
+@query
+def q_consensus(spark, d):
+    adjusted = consensus.adjust_within_imputation(trend_results(spark, d))
+    summary = consensus.consensus(adjusted, IMPUTATIONS)
+    return rounded(rounded(summary, "median_p_val", "median_lfc"), "binom_p_value", digits=9)
+
+
+@query
+def q_min_alpha(spark, d):
+    results = trend_results(spark, d)
+    thresholds = consensus.consensus_thresholds(results, COMPARISONS[0])
+    return rounded(consensus.min_alpha(critical_rows(results), thresholds), "min_alpha")
+
+
+@query
+def q_consensus_roc(spark, d):
+    results = trend_results(spark, d)
+    labelled = critical_rows(results).withColumn("truth", labels.truth_flag(TRUTH))
+    thresholds = consensus.consensus_thresholds(results, COMPARISONS[0])
+    cells = consensus.consensus_roc(labelled, thresholds, COMPARISONS, limit=500)
+    return rounded(cells.select("comparison", "alpha", *CELLS), "alpha")
+
+
+@query
+def q_survivor_roc(spark, d):
+    """ROC of the critical threshold; totals count only pairs that ever were significant."""
+    results = trend_results(spark, d)
+    thresholds = consensus.consensus_thresholds(results, COMPARISONS[0])
+    found = consensus.min_alpha(critical_rows(results), thresholds).select(
+        "identifier",
+        "comparison",
+        F.round("min_alpha", 6).alias("score"),
+        labels.truth_flag(TRUTH).alias("truth"),
+    )
+    return rounded(roc.roc(found), *RATES, digits=9)
+
+
+# --- gamma regression, partition, posterior, forest ---------------------------------------------------
+
+
+def labelled_stats(spark, d) -> DataFrame:
+    """Row statistics with the planted label as the upper trend."""
+    upper = F.when(labels.truth_flag(TRUTH), trend.UPPER).otherwise(trend.LOWER)
+    return materialise(moments.row_stats(profile(spark, d)).withColumn("c", upper))
+
+
+@query
+def q_gamma_glm(spark, d):
+    stats = labelled_stats(spark, d)
+    rows = [
+        (terms, *trend.fit_gamma_trend(stats, "sd", terms)) for terms in ("mean", "mean+c", "mean*c")
+    ]
+    columns = "intercept slope upper_intercept upper_slope dispersion".split()
+    fits = spark.createDataFrame(rows, "terms string, " + ", ".join(f"{c} double" for c in columns))
+    return rounded(fits, *columns, digits=5)
+
+
+def partition(spark, d) -> trend.Partition:
+    stats = moments.row_stats(profile(spark, d))
+    return trend.partition_trends(stats, 5, 5, (0.05, 0.4), (0.05, 0.4), rounds=3)
+
+
+@query
+def q_partition_grid(spark, d):
+    grid = partition(spark, d).grid
+    return rounded(rounded(grid.drop("rank"), "h1", "h2"), "score", digits=5)
+
+
+@query
+def q_partition(spark, d):
+    return partition(spark, d).labelled.select("identifier", "c")
+
+
+@query
+def q_posterior_err(spark, d):
+    prior = trend.fit_gamma_trend(labelled_stats(spark, d), "sd")
+    rows = views.measurements(spark, d)
+    weight = prior.precision_weight(F.col("y"))
+    p = moments.profiles(moments.cell_moments(rows, weight=weight))
+    return rounded(posterior.decision_error(p, prior, CONTRASTS).where("z is not null"), "z", "err", "lfc")
+
+
+@query
+def q_posterior_labelled(spark, d):
+    prior = trend.fit_gamma_trend(labelled_stats(spark, d), "sd", "mean+c")
+    upper = F.when(labels.truth_flag(TRUTH), trend.UPPER).otherwise(trend.LOWER)
+    rows = views.measurements(spark, d).withColumn("c", upper)
+    keys = ("identifier", "c")
+    weight = prior.precision_weight(F.col("y"), F.col("c"))
+    p = moments.profiles(moments.cell_moments(rows, keys, weight=weight), keys)
+    errors = posterior.decision_error(p, prior, CONTRASTS, "c").where("z is not null")
+    return rounded(errors, "z", "err", "lfc")
+
+
+@query
+def q_filter_features(spark, d):
+    cells = moments.cell_moments(views.measurements(spark, d, "heavy")).where("n > 0")
+    features = classify.filter_features(moments.profiles(cells), CONTRASTS, TRUTH)
+    return rounded(features, "mean", "sd", *classify.feature_names(CONTRASTS)[2:])
+
+
+def forest(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All rows with features, and their predictions by a forest fitted on complete rows."""
+    rows = views.measurements(spark, d, "light")
+    names = classify.feature_names(CONTRASTS)
+
+    def features(of: DataFrame) -> DataFrame:
+        return materialise(
+            classify.filter_features(moments.profiles(moments.cell_moments(of)), CONTRASTS, TRUTH)
+        )
+
+    model = classify.fit_filter(features(relational.complete_cases(rows)), names)
+    everything = features(rows)
+    return everything, materialise(classify.predict_class(model, everything, names))
+
+
+@query
+def q_forest_keep(spark, d):
+    return classify.keep_list(forest(spark, d)[1])
+
+
+@query
+def q_forest_labels(spark, d):
+    everything, predicted = forest(spark, d)
+    return classify.with_predictions(everything, predicted).select("identifier", "cls_prd", "level")
+
+
+# --- whole study ------------------------------------------------------------------------------------------
+
+
+def study_options(**changes) -> study.StudyOptions:
+    base = {"imputations": IMPUTATIONS, "grid": (5, 5), "h1_prop": (0.01, 0.3), "h2_prop": (0.01, 0.3)}
+    return study.StudyOptions(CONTRASTS, TRUTH, **(base | changes))
+
+
+@query
+def q_study(spark, d):
+    """Area under ROC of every method, from the linear wide matrix."""
+    wide, samples = views.matrix(spark, d)
+    done = study.run_study(study.normalised(wide, samples), study_options())
+    return rounded(done.areas, "auROC", digits=4)

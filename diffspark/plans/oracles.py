@@ -100,7 +100,7 @@ _view("tstat", "cells_m contrasts", _tstat("cells_m"))
 
 
 def incomplete_beta(a: str, b: str, x: str, y: str, terms: int = 400) -> str:
-    """Power series of I_x(a, b); callers keep x below (a + 1) / (a + b + 2)."""
+    """Power series of I_x(a, b); callers keep x at or below 1/2."""
     ratio = (
         f"exp(lgamma({a} + {b} + j) - lgamma({a} + {b}) - lgamma({a} + 1 + j)"
         f" + lgamma({a} + 1) + j * ln({x}))"
@@ -116,7 +116,7 @@ def two_sided_t(t: str, df: str) -> str:
     x, y = f"({df} / ({df} + {t} * {t}))", f"({t} * {t} / ({df} + {t} * {t}))"
     a, b = f"({df} / 2.0)", "0.5"
     return f"""CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 0 THEN 1.0
-        WHEN {x} <= ({a} + 1) / ({a} + 2.5) THEN {incomplete_beta(a, b, x, y)}
+        WHEN {x} <= 0.5 THEN {incomplete_beta(a, b, x, y)}
         ELSE 1 - {incomplete_beta(b, a, y, x)} END"""
 
 
@@ -347,8 +347,7 @@ _oracle(
     "q_binom_tail",
     "m",
     f"""SELECT identifier, k, n, round(CASE WHEN k = 0 THEN 1.0
-      WHEN 0.5 <= (k + 1) / (n + 3.0) THEN {incomplete_beta('k', '(n - k + 1)', '0.5', '0.5')}
-      ELSE 1 - {incomplete_beta('(n - k + 1)', 'k', '0.5', '0.5')} END, 9) AS binom_p_value
+      ELSE {incomplete_beta('k', '(n - k + 1)', '0.5', '0.5')} END, 9) AS binom_p_value
     FROM (SELECT identifier, count(*) AS n, count(*) FILTER (condition = 'A') AS k FROM m GROUP BY identifier)""",
 )
 
@@ -552,3 +551,439 @@ _oracle(
       FROM (SELECT *, least(greatest(score, 1e-12), 1 - 1e-12) AS p FROM partial)
       JOIN weights USING (method, comparison) GROUP BY identifier, comparison) WHERE anchored""",
 )
+
+
+# --- trends and imputation --------------------------------------------------------------------
+
+# Series coefficients of digamma and trigamma in 1/x^2.
+DIGAMMA = "-1/12.0 + r*(1/120.0 + r*(-1/252.0 + r*(1/240.0 + r*(-1/132.0 + r*691/32760.0))))"
+TRIGAMMA = "1/6.0 + r*(-1/30.0 + r*(1/42.0 + r*(-1/30.0 + r*(5/66.0 + r*(-691/2730.0 + r*7/6.0)))))"
+
+
+def digamma(x: str) -> str:
+    z = f"({x} + 8)"
+    r = f"(1.0 / ({z} * {z}))"
+    head = " + ".join(f"1.0 / ({x} + {i})" for i in range(8))
+    return f"(ln({z}) - 0.5 / {z} + {r} * ({DIGAMMA.replace('r*', r + '*')}) - ({head}))"
+
+
+def trigamma(x: str) -> str:
+    z = f"({x} + 8)"
+    r = f"(1.0 / ({z} * {z}))"
+    head = " + ".join(f"1.0 / (({x} + {i}) * ({x} + {i}))" for i in range(8))
+    return f"(1.0 / {z} + {r} / 2 + {r} / {z} * ({TRIGAMMA.replace('r*', r + '*')}) + {head})"
+
+
+_view(
+    "logtrend",
+    "stats_mv",
+    """SELECT regr_intercept(ln(sd_p), mean) AS b0, regr_slope(ln(sd_p), mean) AS b1
+    FROM stats_mv WHERE sd_p > 0""",
+)
+_view("low", "cells_mv", "SELECT quantile_cont(mean, 0.01) AS low FROM cells_mv WHERE mean IS NOT NULL")
+
+
+def uniform(key: str, stream: str) -> str:
+    return f"((('0x' || substr(md5({key} || '|{stream}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+
+
+def draws(m: int) -> str:
+    key = "'1|' || identifier || '|' || condition || '|' || replicate || '|' || imputation"
+    normal = f"sqrt(-2 * ln({uniform(key, 'a')})) * cos(2 * pi() * {uniform(key, 'b')})"
+    return f"""
+    SELECT imputation, identifier, condition, replicate,
+      centre + exp(b0 + b1 * centre) * {normal} AS y
+    FROM (SELECT i.imputation, v.identifier, v.condition, v.replicate, coalesce(c.mean, low) AS centre
+          FROM mv v LEFT JOIN cells_mv c ON c.identifier = v.identifier AND c.condition = v.condition,
+               low, range({m}) i(imputation)
+          WHERE v.y IS NULL), logtrend"""
+
+
+IMPUTATIONS = 20
+_view("draws1", "mv cells_mv logtrend low", draws(1))
+_view("draws", "mv cells_mv logtrend low", draws(IMPUTATIONS))
+_oracle(
+    "q_impute_single",
+    "draws1",
+    """SELECT identifier, condition, replicate, round(y, 6) AS y FROM mv WHERE y IS NOT NULL
+    UNION ALL SELECT identifier, condition, replicate, round(y, 6) FROM draws1""",
+)
+_oracle(
+    "q_impute_multi",
+    "draws",
+    "SELECT CAST(imputation AS INTEGER) AS imputation, identifier, condition, replicate, round(y, 6) AS y FROM draws",
+)
+WEIGHT = "exp(-2 * (b0 + b1 * y))"
+_view(
+    "icells",
+    "draws logtrend",
+    f"""SELECT imputation, identifier, condition, count(*) AS n, avg(y) AS mean, var_pop(y) * count(*) AS ss,
+      sum({WEIGHT}) AS w, sum({WEIGHT} * y) / sum({WEIGHT}) AS wmean,
+      CASE WHEN count(*) > 1 THEN greatest(0.0, sum({WEIGHT} * y * y) - sum({WEIGHT} * y) ** 2 / sum({WEIGHT})) ELSE 0 END AS wss
+    FROM (SELECT imputation, identifier, condition, y FROM draws
+          UNION ALL SELECT imputation, identifier, condition, y FROM mv, range({IMPUTATIONS}) r(imputation)
+          WHERE y IS NOT NULL), logtrend
+    GROUP BY imputation, identifier, condition""",
+)
+_oracle(
+    "q_imputed_cells",
+    "icells",
+    """SELECT CAST(imputation AS INTEGER) AS imputation, identifier, condition, n, round(mean, 6) AS mean,
+      round(sqrt(ss / n), 6) AS sd, round(w, 6) AS w, round(wmean, 6) AS wmean, round(wss, 6) AS wss FROM icells""",
+)
+
+# --- moderated test ------------------------------------------------------------------------------
+
+
+def prior_views(tag: str, ss: str, trend: bool, robust: bool) -> str:
+    """Views up to prior_<tag> (imputation, d0, b0, b1, b2, centre); returns their names."""
+    _view(
+        f"resid_{tag}",
+        "icells",
+        f"""SELECT *, CASE WHEN s2 > 0 THEN ln(s2) - {digamma('(df / 2)')} + ln(df / 2) END AS e,
+          {trigamma('(df / 2)')} AS tri
+        FROM (SELECT imputation, identifier, CAST(sum(n - 1) AS DOUBLE) AS df, sum(n * mean) / sum(n) AS level,
+                sum({ss}) / nullif(sum(n - 1), 0) AS s2
+              FROM icells GROUP BY imputation, identifier) WHERE df > 0""",
+    )
+    e = "e"
+    if robust:
+        _view(
+            f"wins_{tag}",
+            f"resid_{tag}",
+            f"""SELECT r.* EXCLUDE (e), least(greatest(e, lo), hi) AS e FROM resid_{tag} r JOIN (
+              SELECT imputation, quantile_cont(e, 0.05) AS lo, quantile_cont(e, 0.9) AS hi
+              FROM resid_{tag} WHERE e IS NOT NULL GROUP BY imputation) USING (imputation) WHERE e IS NOT NULL""",
+        )
+    base = f"wins_{tag}" if robust else f"resid_{tag}"
+    if trend:
+        sums = ", ".join(
+            [f"sum(power(u, {k})) AS u{k}" for k in (1, 2, 3, 4)]
+            + [f"sum(e * power(u, {k})) AS e{k}" for k in (0, 1, 2)]
+        )
+
+        def det(c):
+            (a, b, d), (f, g, h), (i, j, k) = c
+            return f"({a}*({g}*{k} - {h}*{j}) - {b}*({f}*{k} - {h}*{i}) + {d}*({f}*{j} - {g}*{i}))"
+
+        left = [["n", "u1", "u2"], ["u1", "u2", "u3"], ["u2", "u3", "u4"]]
+        right = ["e0", "e1", "e2"]
+        coefs = ", ".join(
+            f"{det([[right[r] if q == c else left[r][q] for q in range(3)] for r in range(3)])}"
+            f" / {det(left)} AS b{c}"
+            for c in range(3)
+        )
+        fit = f"""
+        SELECT *, (ee - b0 * e0 - b1 * e1 - b2 * e2) / (n - 3) - tri AS excess FROM (
+          SELECT *, {coefs} FROM (
+            SELECT imputation, centre, count(*) AS n, {sums}, sum(e * e) AS ee, avg(tri) AS tri
+            FROM (SELECT *, level - centre AS u FROM {base},
+                    (SELECT avg(level) AS centre FROM {base} WHERE e IS NOT NULL) WHERE e IS NOT NULL)
+            GROUP BY imputation, centre))"""
+    else:
+        fit = f"""
+        SELECT imputation, avg({e}) AS b0, 0.0 AS b1, 0.0 AS b2, 0.0 AS centre,
+          var_samp({e}) - avg(tri) AS excess FROM {base} WHERE {e} IS NOT NULL GROUP BY imputation"""
+    _view(f"fit_{tag}", base, fit)
+    # Bisection on ln x for trigamma(x) = excess.
+    _view(
+        f"prior_{tag}",
+        f"fit_{tag}",
+        f"""SELECT f.imputation, f.b0, f.b1, f.b2, f.centre,
+          CASE WHEN excess > 0 THEN 2 * exp((lo + hi) / 2) ELSE CAST('inf' AS DOUBLE) END AS d0
+        FROM fit_{tag} f JOIN (
+          WITH RECURSIVE b(imputation, lo, hi, step) AS (
+            SELECT imputation, -12.0::DOUBLE, 25.0::DOUBLE, 0 FROM fit_{tag}
+            UNION ALL
+            SELECT imputation, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, step + 1
+            FROM (SELECT b.*, (lo + hi) / 2 AS mid, {trigamma('exp((lo + hi) / 2)')} > f.excess AS up
+                  FROM b JOIN fit_{tag} f USING (imputation) WHERE step < 70))
+          SELECT imputation, lo, hi FROM b WHERE step = 70) USING (imputation)""",
+    )
+    return f"prior_{tag}"
+
+
+def moderated_views(tag: str, weighted: bool, trend: bool, robust: bool) -> str:
+    n, mean, ss = ("w", "wmean", "wss") if weighted else ("n", "mean", "ss")
+    prior_views(tag, ss, trend, robust)
+    u = "(level - centre)"
+    log_prior = f"b0 + b1 * {u} + b2 * {u} * {u}"
+    _view(
+        f"mod_{tag}",
+        f"prior_{tag} resid_{tag} icells contrasts",
+        f"""SELECT *, CASE WHEN isinf(df_total) THEN {two_sided_normal('t')}
+          ELSE {two_sided_t('t', 'df_total')} END AS p FROM (
+          SELECT a.imputation, a.identifier, c.comparison, c.ord, s.d0 + s.df AS df_total,
+            a.{mean} - b.{mean} AS lfc,
+            (a.{mean} - b.{mean}) / sqrt(s2_post * (1.0 / a.{n} + 1.0 / b.{n})) AS t
+          FROM icells a JOIN contrasts c ON a.condition = c.ca
+          JOIN icells b ON b.imputation = a.imputation AND b.identifier = a.identifier AND b.condition = c.cb
+          JOIN (SELECT imputation, identifier, d0, df,
+                  CASE WHEN isinf(d0) THEN exp({log_prior}) ELSE
+                  (d0 * exp({log_prior} + {digamma('(d0 / 2)')} - ln(d0 / 2)) + df * s2) / (d0 + df) END AS s2_post
+                FROM resid_{tag} JOIN prior_{tag} USING (imputation)) s
+            ON s.imputation = a.imputation AND s.identifier = a.identifier)""",
+    )
+    return f"mod_{tag}"
+
+
+moderated_views("plain", False, False, False)
+moderated_views("trend", False, True, False)
+moderated_views("weighted", True, False, False)
+moderated_views("robust", False, True, True)
+
+for _tag in ("plain", "trend", "weighted", "robust"):
+    _oracle(
+        f"q_moderated_{_tag}",
+        f"mod_{_tag}",
+        f"""SELECT CAST(imputation AS INTEGER) AS imputation, identifier, comparison, round(t, 6) AS t,
+          round(df_total, 4) AS df_total, round(p, 6) AS p_val, round(lfc, 6) AS lfc FROM mod_{_tag}""",
+    )
+_oracle(
+    "q_variance_prior",
+    "prior_robust",
+    """SELECT CAST(imputation AS INTEGER) AS imputation, round(d0, 4) AS d0, round(b0, 6) AS b0,
+      round(b1, 6) AS b1, round(b2, 6) AS b2 FROM prior_robust""",
+)
+
+# --- consensus ---------------------------------------------------------------------------------------
+
+_view("adj", "mod_trend", bh("mod_trend", "imputation, comparison", "p", "imputation, identifier, comparison, p, lfc, ord"))
+
+
+def smallest_k(n: int, level: float = 0.05) -> int:
+    upper = 0
+    for k in range(n, -1, -1):
+        upper += math.comb(n, k)
+        if upper / 2**n >= level:
+            return k + 1
+    return 0
+
+
+NEED = smallest_k(IMPUTATIONS)
+_view(
+    "tail",
+    "",
+    f"""SELECT k AS hits, sum(exp(lgamma({IMPUTATIONS} + 1) - lgamma(k + 1) - lgamma({IMPUTATIONS} - k + 1)
+      - {IMPUTATIONS} * ln(2.0))) OVER (ORDER BY k DESC) AS p FROM range({IMPUTATIONS + 1}) r(k)""",
+)
+_oracle(
+    "q_consensus",
+    "adj tail",
+    """SELECT identifier, comparison, hits, round(tail.p, 9) AS binom_p_value, round(mp, 6) AS median_p_val,
+      round(ml, 6) AS median_lfc FROM (
+        SELECT identifier, comparison, count(*) FILTER (q_val < 0.05) AS hits, median(q_val) AS mp, median(lfc) AS ml
+        FROM adj GROUP BY identifier, comparison) JOIN tail USING (hits)""",
+)
+_view(
+    "crit",
+    "adj",
+    f"""SELECT identifier, comparison, q_val AS critical, regexp_matches(identifier, ':Brand#[123]$') AS truth FROM (
+      SELECT *, row_number() OVER (PARTITION BY identifier, comparison ORDER BY q_val) AS k FROM adj) WHERE k = {NEED}""",
+)
+_view(
+    "thresholds",
+    "mod_trend",
+    "SELECT DISTINCT p AS alpha FROM mod_trend WHERE imputation = 0 AND ord = 1 UNION SELECT 1.0",
+)
+_view(
+    "minalpha",
+    "crit thresholds",
+    """SELECT identifier, comparison, min(alpha) AS min_alpha, any_value(truth) AS truth
+    FROM crit JOIN thresholds ON alpha > critical GROUP BY identifier, comparison""",
+)
+_oracle(
+    "q_min_alpha", "minalpha", "SELECT identifier, comparison, round(min_alpha, 6) AS min_alpha FROM minalpha"
+)
+_view(
+    "thinned",
+    "thresholds",
+    """SELECT alpha FROM (SELECT alpha, row_number() OVER (ORDER BY alpha) AS i, count(*) OVER () AS n FROM thresholds)
+    WHERE n <= 500 OR i IN (SELECT 1 + (k * ((SELECT count(*) FROM thresholds) - 1)) // 499 FROM range(500) r(k))""",
+)
+_oracle(
+    "q_consensus_roc",
+    "crit thinned",
+    """SELECT c.comparison, round(alpha, 6) AS alpha,
+      count(*) FILTER (truth AND critical < alpha) AS "TP", count(*) FILTER (NOT truth AND critical >= alpha) AS "TN",
+      count(*) FILTER (NOT truth AND critical < alpha) AS "FP", count(*) FILTER (truth AND critical >= alpha) AS "FN"
+    FROM crit c, thinned GROUP BY c.comparison, alpha""",
+)
+_view("ms", "minalpha", "SELECT identifier, comparison, round(min_alpha, 6) AS score, truth FROM minalpha")
+_view("c_ms", "ms", confusion("ms", "comparison", "strict", STRICT_EXTRA))
+_oracle(
+    "q_survivor_roc",
+    "c_ms",
+    f"""SELECT comparison, alpha, "TP", "TN", "FP", "FN", {show(RATES)} FROM ({rates('c_ms', 'comparison')})""",
+)
+
+# --- gamma regression, partition, posterior, forest features ---------------------------------------
+
+_view(
+    "glmrows",
+    "stats_m",
+    """SELECT identifier, mean AS x, sd AS s, regexp_matches(identifier, ':Brand#[123]$') AS c
+    FROM stats_m WHERE sd > 0""",
+)
+STEPS = 40
+
+
+def gamma_steps(terms: str) -> str:
+    """Reweighted least squares; with a log link all weights are 1.
+
+    State b0, b1 and the shifts d0, d1 of rows with c; one row per step.
+    """
+    eta = "(b0 + b1 * x + CASE WHEN c THEN d0 + d1 * x ELSE 0 END)"
+    z = f"({eta} + (s - exp({eta})) / exp({eta}))"
+    if terms == "mean":
+        new = "regr_intercept(z, x), regr_slope(z, x), 0.0, 0.0"
+    elif terms == "mean+c":
+        slope = "((regr_sxy(z, x) FILTER (c) + regr_sxy(z, x) FILTER (NOT c)) / (regr_sxx(z, x) FILTER (c) + regr_sxx(z, x) FILTER (NOT c)))"
+        low = f"(avg(z) FILTER (NOT c) - {slope} * avg(x) FILTER (NOT c))"
+        new = f"{low}, {slope}, avg(z) FILTER (c) - {slope} * avg(x) FILTER (c) - {low}, 0.0"
+    else:
+        a, b = "regr_intercept(z, x)", "regr_slope(z, x)"
+        new = f"{a} FILTER (NOT c), {b} FILTER (NOT c), {a} FILTER (c) - {a} FILTER (NOT c), {b} FILTER (c) - {b} FILTER (NOT c)"
+    k = {"mean": 2, "mean+c": 3, "mean*c": 4}[terms]
+    return f"""
+    WITH RECURSIVE it(step, b0, b1, d0, d1) AS (
+      SELECT 0, ln(avg(s)), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM glmrows
+      UNION ALL
+      SELECT step + 1, {new} FROM (SELECT step, x, c, {z} AS z FROM it, glmrows WHERE step < {STEPS})
+      GROUP BY step)
+    SELECT '{terms}' AS terms, b0, b1, d0, d1,
+      sum(power((s - exp({eta})) / exp({eta}), 2)) / (count(*) - {k}) AS dispersion
+    FROM it, glmrows WHERE step = {STEPS} GROUP BY b0, b1, d0, d1"""
+
+
+for _tag, _terms in (("one", "mean"), ("two", "mean+c"), ("four", "mean*c")):
+    _view(f"gamma_{_tag}", "glmrows", gamma_steps(_terms))
+_oracle(
+    "q_gamma_glm",
+    "gamma_one gamma_two gamma_four",
+    """SELECT terms, round(b0, 5) AS intercept, round(b1, 5) AS slope, round(d0, 5) AS upper_intercept,
+      round(d1, 5) AS upper_slope, round(dispersion, 5) AS dispersion
+    FROM (FROM gamma_one UNION ALL FROM gamma_two UNION ALL FROM gamma_four)""",
+)
+
+PART_GRID, PART_ROUNDS = 5, 3
+PART_LOW, PART_HIGH = 0.05, 0.4
+
+
+def partition_sql() -> None:
+    _view(
+        "prows",
+        "stats_m",
+        """SELECT identifier, mean AS x, sd AS s, ln(sd) AS y,
+          ln(sd) - (SELECT regr_intercept(ln(sd), mean) FROM stats_m WHERE sd > 0)
+          - (SELECT regr_slope(ln(sd), mean) FROM stats_m WHERE sd > 0) * mean AS r
+        FROM stats_m WHERE sd > 0""",
+    )
+    grid = [(PART_LOW + (PART_HIGH - PART_LOW) * i / (PART_GRID - 1)) for i in range(PART_GRID)]
+    values = ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE)" for a in grid for b in grid)
+
+    def cuts(name: str, out: str, turn: bool) -> str:
+        return " UNION ALL ".join(
+            f"SELECT {h!r}::DOUBLE AS {name}, quantile_cont(r, {(1 - h if turn else h)!r}) AS {out} FROM prows"
+            for h in grid
+        )
+
+    _view(
+        "pgrid",
+        "prows",
+        f"""SELECT h1, h2, lo, hi FROM (VALUES {values}) g(h1, h2)
+        JOIN ({cuts('h1', 'lo', False)}) USING (h1) JOIN ({cuts('h2', 'hi', True)}) USING (h2)""",
+    )
+    fit = """SELECT h1, h2, regr_intercept(y, x) FILTER (lab = 'L') AS la, regr_slope(y, x) FILTER (lab = 'L') AS lb,
+      regr_intercept(y, x) FILTER (lab = 'U') AS ua, regr_slope(y, x) FILTER (lab = 'U') AS ub FROM ({}) GROUP BY h1, h2"""
+    _view(
+        "pfit0",
+        "pgrid prows",
+        fit.format(
+            "SELECT h1, h2, x, y, CASE WHEN r <= lo THEN 'L' WHEN r >= hi THEN 'U' END AS lab FROM prows, pgrid"
+        ),
+    )
+    label = "CASE WHEN abs(y - ua - ub * x) < abs(y - la - lb * x) THEN 'U' ELSE 'L' END"
+    for i in range(1, PART_ROUNDS):
+        _view(
+            f"pfit{i}",
+            f"pfit{i - 1} prows",
+            fit.format(f"SELECT h1, h2, x, y, {label} AS lab FROM prows, pfit{i - 1}"),
+        )
+    last = f"pfit{PART_ROUNDS - 1}"
+    _view(
+        "pscore",
+        f"{last} prows",
+        f"""SELECT h1, h2, la, lb, ua, ub, sum(-(lm + s / exp(lm))) AS score FROM (
+          SELECT *, CASE WHEN {label} = 'U' THEN ua + ub * x ELSE la + lb * x END AS lm FROM prows, {last})
+        GROUP BY h1, h2, la, lb, ua, ub""",
+    )
+    _oracle(
+        "q_partition_grid",
+        "pscore",
+        """SELECT round(h1, 6) AS h1, round(h2, 6) AS h2, round(score, 5) AS score FROM pscore""",
+    )
+    _oracle(
+        "q_partition",
+        "pscore prows",
+        f"""SELECT identifier, {label} AS c FROM prows,
+          (SELECT * FROM pscore ORDER BY score DESC, h1, h2 LIMIT 1)""",
+    )
+
+
+partition_sql()
+
+NODES, SPAN = 64, 20.0
+
+
+def posterior_sql(tag: str, gamma: str) -> None:
+    shift = "CASE WHEN truth THEN d0 + d1 * {0} ELSE 0 END"
+    at_y = f"(b0 + b1 * y + {shift.format('y')})"
+    at_level = f"(b0 + b1 * level + {shift.format('level')})"
+    step = 2 * math.log(SPAN) / (NODES - 1)
+    ln_v = f"({-math.log(SPAN)!r} + j * {step!r})"
+    ln_w = f"((a - (n - k)) * {ln_v} - a * exp({ln_v}) - wss / (2 * exp(2 * {ln_v})))"
+    _view(
+        f"pcells_{tag}",
+        f"m {gamma}",
+        f"""SELECT identifier, condition, truth, count(*) AS n, avg(y) AS mean, sum(w) AS w, sum(w * y) / sum(w) AS wmean,
+          CASE WHEN count(*) > 1 THEN greatest(0.0, sum(w * y * y) - sum(w * y) ** 2 / sum(w)) ELSE 0 END AS wss
+        FROM (SELECT *, exp(-2 * {at_y}) AS w FROM m, {gamma}) GROUP BY identifier, condition, truth""",
+    )
+    _view(
+        f"pnodes_{tag}",
+        f"pcells_{tag} {gamma}",
+        f"""SELECT identifier, exp({at_level}) AS s_hat,
+          list_transform(range({NODES}), lambda j: {ln_w}) AS lw
+        FROM (SELECT identifier, truth, sum(n) AS n, count(*) AS k, sum(n * mean) / sum(n) AS level, sum(wss) AS wss
+              FROM pcells_{tag} GROUP BY identifier, truth), (SELECT *, 1 / dispersion AS a FROM {gamma})""",
+    )
+    _oracle(
+        f"q_posterior_{tag}",
+        f"pnodes_{tag} pcells_{tag} contrasts",
+        f"""SELECT identifier, comparison, round(z, 6) AS z, round({two_sided_normal('z')}, 6) AS err, round(lfc, 6) AS lfc FROM (
+          SELECT a.identifier, c.comparison, a.wmean - b.wmean AS lfc,
+            (a.wmean - b.wmean) / sqrt(ratio * (1 / a.w + 1 / b.w)) AS z
+          FROM pcells_{tag} a JOIN contrasts c ON a.condition = c.ca
+          JOIN pcells_{tag} b ON b.identifier = a.identifier AND b.condition = c.cb
+          JOIN (SELECT identifier,
+                  list_sum(list_transform(range({NODES}), lambda j: exp(2 * {ln_v}) * exp(lw[j + 1] - list_max(lw))))
+                  / list_sum(list_transform(lw, lambda v: exp(v - list_max(lw)))) AS ratio
+                FROM pnodes_{tag}) e ON e.identifier = a.identifier)""",
+    )
+
+
+posterior_sql("err", "gamma_one")
+posterior_sql("labelled", "gamma_two")
+
+_oracle(
+    "q_filter_features",
+    "stats_mvh cells_mvh",
+    """SELECT s.identifier, s.n, round(s.mean, 6) AS mean, round(sd, 6) AS sd, round(a.mean - n.mean, 6) AS "A_vs_N",
+      round(a.mean - r.mean, 6) AS "A_vs_R", round(n.mean - r.mean, 6) AS "N_vs_R",
+      CASE WHEN regexp_matches(s.identifier, ':Brand#[123]$') THEN 'TP' ELSE 'TN' END AS class
+    FROM (SELECT * REPLACE (CAST(n AS DOUBLE) AS n) FROM stats_mvh) s
+    LEFT JOIN cells_mvh a ON a.identifier = s.identifier AND a.condition = 'A'
+    LEFT JOIN cells_mvh n ON n.identifier = s.identifier AND n.condition = 'N'
+    LEFT JOIN cells_mvh r ON r.identifier = s.identifier AND r.condition = 'R'""",
+)

@@ -62,6 +62,21 @@ def balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Linear wide matrix of three conditions with three samples each, and its sample names.
+
+    A sample averages a part's lines with the same flag and line number modulo 3; a part
+    without such a line has a missing value there.
+    """
+    long = measurements(spark, sf_dir, log=False)
+    sample = F.concat_ws("_", "condition", (F.col("replicate") % 8 % 3 + 1).cast("string"))
+    names = [f"{c}_{r}" for c in CONDITIONS for r in (1, 2, 3)]
+    wide = long.groupBy("identifier").agg(
+        *[F.avg(F.when(sample == n, F.col("y"))).alias(n) for n in names]
+    )
+    return wide, names
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact, heavily tied scores of three methods for every order."""
     orders = table(spark, sf_dir, "orders").select(
