@@ -627,7 +627,7 @@ def q_posterior_err(spark, d):
     rows = views.measurements(spark, d)
     weight = prior.precision_weight(F.col("y"))
     p = moments.profiles(moments.cell_moments(rows, weight=weight))
-    return rounded(posterior.decision_error(p, prior, CONTRASTS).where("z is not null"), "z", "err", "lfc")
+    return rounded(posterior.decision_error(p, prior, CONTRASTS).where("lfc is not null"), "z", "err", "lfc")
 
 
 @query
@@ -638,7 +638,7 @@ def q_posterior_labelled(spark, d):
     keys = ("identifier", "c")
     weight = prior.precision_weight(F.col("y"), F.col("c"))
     p = moments.profiles(moments.cell_moments(rows, keys, weight=weight), keys)
-    errors = posterior.decision_error(p, prior, CONTRASTS, "c").where("z is not null")
+    errors = posterior.decision_error(p, prior, CONTRASTS, "c").where("lfc is not null")
     return rounded(errors, "z", "err", "lfc")
 
 
