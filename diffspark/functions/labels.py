@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffspark.operators.ordered import range_buckets, row_index
+from diffspark.operators.ordered import row_index
 from diffspark.stage import materialise
 
 
@@ -62,8 +62,7 @@ def with_level(df: DataFrame, column: str, levels: Sequence[str], out: str) -> D
 def frequency_levels(df: DataFrame, column: str, out: str = "level") -> DataFrame:
     """Values by falling count, then by name, with their position."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("_down", -F.col("n"))
-    order = ["_down", column]
-    placed = row_index(range_buckets(counts, [], order), [], order)
+    placed = row_index(counts, [], ["_down", column])
     return placed.select(column, "n", F.col("index").alias(out))
 
 

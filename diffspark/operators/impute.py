@@ -83,14 +83,18 @@ def imputed_profiles(
 ) -> DataFrame:
     """Profile of every identifier in every imputation.
 
-    Only the draws are shuffled per imputation, already reduced to one row per (imputation,
-    empty cell). They meet the observed profile once per identifier and the ``m``
-    profiles are unfolded behind that join.
+    ``observed`` are the cells with values. Only the draws are shuffled per imputation,
+    already reduced to one row per (imputation, empty cell). They meet the observed
+    profile once per identifier, and the ``m`` profiles are unfolded behind that join.
+    Rows multiply there, so both sides keep the full number of shuffle partitions instead
+    of being merged by their size; grouping and join reuse that one partitioning.
     """
+    parts = int(observed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = cell_moments(draws, ("imputation", "identifier"), "y", weight)
     fields = fields_of(drawn.columns)
     pieces = (
-        drawn.groupBy("identifier", "imputation")
+        drawn.repartition(parts, "identifier")
+        .groupBy("identifier", "imputation")
         .agg(
             F.map_from_entries(
                 F.collect_list(F.struct("condition", F.struct(*fields).alias("m")))
@@ -99,7 +103,8 @@ def imputed_profiles(
         .groupBy("identifier")
         .agg(F.map_from_entries(F.collect_list(F.struct("imputation", "filled"))).alias("pieces"))
     )
-    joined = observed.select("identifier", "cells").join(pieces, "identifier", "full")
+    base = profiles(observed.repartition(parts, "identifier"))
+    joined = base.join(pieces, "identifier", "full")
     unfolded = joined.withColumn("imputation", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     filled = F.col("pieces")[F.col("imputation")]
 
@@ -117,7 +122,6 @@ def imputed_profiles(
     )
 
 
-def observed_profile(measurements: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Profile of the measured values; conditions without a value are left out."""
-    cells = cell_moments(measurements, value="y", weight=weight).where(F.col("n") > 0)
-    return profiles(cells)
+def observed_cells(measurements: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Moments of the measured values; conditions without a value are left out."""
+    return cell_moments(measurements, value="y", weight=weight).where(F.col("n") > 0)

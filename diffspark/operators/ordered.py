@@ -27,12 +27,12 @@ HOT_KEYS = 64
 def range_buckets(df: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Stage ``df`` with a bucket number that increases along ``(groups, order)``.
 
-    ``(groups, order)`` must be unique: pre-aggregate first, which also removes the skew
-    of heavily tied keys. The bucket ids come from sampled range bounds and are
-    therefore written down before they are used twice.
+    ``(groups, order)`` should be unique, or nearly: pre-aggregate, or let the last column
+    break ties, so that no heavily tied key fills a bucket. The bucket ids come from sampled range bounds and are
+    therefore written down before they are used twice. No bucket count is given, so
+    adaptive execution merges neighbouring ranges of small data; merging keeps the order.
     """
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(buckets, *groups, *order)
+    ranged = df.repartitionByRange(*groups, *order)
     return materialise(ranged.withColumn(BUCKET, F.spark_partition_id()))
 
 
@@ -92,13 +92,41 @@ def suffix_min(
     )
 
 
-def row_index(bucketed: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """1-based position ``index`` of every key in its group and the group's ``size``."""
-    counted = running_sums(bucketed.withColumn("_one", F.lit(1)), groups, order, ["_one"])
-    return counted.select(
-        *[c for c in bucketed.columns],
-        (F.col("_one_before") + 1).alias("index"),
-        F.col("_one_total").alias("size"),
+def row_index(
+    df: DataFrame, groups: Sequence[str], order: Sequence[str], valid: str | None = None
+) -> DataFrame:
+    """Adds the 1-based position ``index`` in the group's order, the group's ``size`` and
+    the bucket.
+
+    Sorted ranges number their own rows (the low bits of the monotonic id); a table of at
+    most buckets + groups rows turns that into positions, so no window and no second
+    shuffle touch the rows. With ``valid``, rows where it is NULL are not counted; they
+    must come first in the order and get positions below 1.
+    """
+    ranged = df.repartitionByRange(*groups, *order).sortWithinPartitions(*groups, *order)
+    numbered = ranged.withColumn("_id", F.monotonically_increasing_id())
+    staged = materialise(
+        numbered.withColumns(
+            {BUCKET: F.shiftright("_id", 33), "_pos": F.col("_id").bitwiseAND((1 << 33) - 1)}
+        ).drop("_id")
+    )
+    everything = Window.partitionBy(*groups)
+    skipped = F.lit(0) if valid is None else F.count_if(F.col(valid).isNull())
+    spans = staged.groupBy(*groups, BUCKET).agg(
+        F.min("_pos").alias("_lo"), F.count(F.lit(1)).alias("_n"), skipped.alias("_skip")
+    )
+    earlier = F.coalesce(F.sum("_n").over(_before(everything.orderBy(BUCKET))), F.lit(0))
+    ignored = F.sum("_skip").over(everything)
+    starts = spans.select(
+        *groups,
+        BUCKET,
+        (earlier - F.col("_lo") + 1 - ignored).alias("_start"),
+        (F.sum("_n").over(everything) - ignored).alias("size"),
+    )
+    return (
+        staged.join(materialise(starts), [*groups, BUCKET])
+        .withColumn("index", F.col("_start") + F.col("_pos"))
+        .drop("_start", "_pos")
     )
 
 

@@ -258,7 +258,7 @@ def label_positions(
     """Evenly spaced label positions by falling auROC; a lone row sits at ``low``."""
     groups = list(groups)
     ranked = areas.withColumns({"_down": -F.col("auROC")})
-    placed = row_index(range_buckets(ranked, groups, ["_down", "method"]), groups, ["_down", "method"])
+    placed = row_index(ranked, groups, ["_down", "method"])
     gap = F.try_divide(F.lit(high - low), F.col("size") - 1)
     return placed.select(
         *areas.columns,
@@ -274,7 +274,7 @@ def thin(values: DataFrame, value: str = "alpha", limit: int = 2000) -> DataFram
     k; lists of up to ``limit`` values are kept whole.
     """
     distinct = values.select(value).distinct()
-    placed = row_index(range_buckets(distinct, [], [value]), [], [value])
+    placed = row_index(distinct, [], [value])
     k = f"((({limit - 1} * (index - 1)) + size - 2) div greatest(size - 1, 1))"
     hit = F.expr(f"{k} <= {limit - 1} and ({k} * (size - 1)) div {limit - 1} = index - 1")
     return placed.where((F.col("size") <= limit) | hit).select(value)

@@ -470,7 +470,7 @@ class Missing:
 
     def profiles(self, m: int, weighted: bool = False) -> DataFrame:
         weight = self.trend.precision_weight(F.col("y")) if weighted else None
-        observed = impute.observed_profile(self.rows, weight)
+        observed = impute.observed_cells(self.rows, weight)
         return impute.imputed_profiles(observed, self.draws(m), m, weight)
 
 
