@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from diffspark.functions.keyed import keyed_normal
 from diffspark.operators.moments import PLAIN, WEIGHTED, cell_moments, fields_of, profiles
-from diffspark.operators.ordered import quantiles
+from diffspark.operators.ordered import lookup, quantiles
 from diffspark.operators.trend import Trend
 
 LOW_TAIL = 0.01
@@ -24,12 +24,16 @@ def _draw(centre: Column, trend: Trend, seed: int, imputation: Column) -> Column
 
 
 def _missing_with_centre(measurements: DataFrame, cells: DataFrame, low: float) -> DataFrame:
-    """Missing rows only, next to their condition mean; observed rows never move."""
+    """Missing rows only, next to their condition mean; observed rows never move.
+
+    A condition that holds a large share of the gaps is matched by broadcast, so that its
+    rows stay spread out before they multiply.
+    """
     missing = measurements.where(F.col("y").isNull())
-    means = cells.select("identifier", "condition", F.col("mean").alias("_centre"))
-    return missing.join(means, ["identifier", "condition"], "left").withColumn(
-        "_centre", F.coalesce("_centre", F.lit(low))
+    centres = cells.where(F.col("gaps") > 0).select(
+        "identifier", "condition", F.coalesce("mean", F.lit(low)).alias("_centre"), "gaps"
     )
+    return lookup(missing, centres, ["identifier", "condition"], "gaps")
 
 
 def single_imputation(

@@ -59,8 +59,9 @@ def variance_prior(
     """Prior degrees of freedom d0 and ln prior variance, one row per group.
 
     The log prior variance is b0 + b1 u + b2 u^2 with u = level - centre (b1 = b2 = 0
-    without a trend). ``rows`` comes from :func:`residual_variance`; one map-side
-    combined aggregation, then arithmetic on one row per group.
+    without a trend). ``rows`` comes from :func:`residual_variance` over a stage table: it
+    is read once without a trend and twice with one, each time by a map-side combined
+    aggregation; the rest is arithmetic on one row per group.
     """
     groups = list(groups)
     c = F.col
@@ -74,8 +75,6 @@ def variance_prior(
         )
         fit = moments.withColumns({"b1": F.lit(0.0), "b2": F.lit(0.0), "centre": F.lit(0.0)})
     else:
-        if not robust:
-            data = materialise(data)
         centre = data.agg(F.avg("level")).first()[0]
         u = c("level") - F.lit(centre)
         sums = data.groupBy(*groups).agg(

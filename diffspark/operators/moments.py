@@ -25,11 +25,13 @@ def cell_moments(
     value: str = "y",
     weight: Column | None = None,
 ) -> DataFrame:
-    """n, mean and sum of squared deviations of each (keys, condition), NULLs skipped.
+    """n, mean and sum of squared deviations of each (keys, condition), NULLs skipped but
+    counted as ``gaps``.
 
     Everything combines on the map side, so a hot identifier costs one row per task.
     """
     aggs = [
+        F.count_if(F.col(value).isNull()).alias("gaps"),
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
         (F.var_pop(value) * F.count(value)).alias("ss"),
@@ -45,6 +47,7 @@ def cell_moments(
     return sums.select(
         *keys,
         "condition",
+        "gaps",
         *PLAIN,
         "w",
         F.try_divide("_wy", "w").alias("wmean"),

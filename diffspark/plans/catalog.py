@@ -165,7 +165,7 @@ def q_separate_unite(spark, d):
         "o_orderkey",
         parts[0].alias("imputation"),
         parts[1].alias("method"),
-        F.concat_ws("-", "o_orderstatus", code[0]).alias("cls_prd"),
+        F.concat_ws("-", "o_orderstatus", F.split_part("o_orderpriority", F.lit("-"), F.lit(1))).alias("cls_prd"),
     )
 
 
@@ -447,7 +447,8 @@ def q_ensemble(spark, d):
     floored = ensemble.floor_zeros(s).where(
         "not (method = 'ttest' and lfc > 300) and not (method = 'shrunk' and lfc < -100)"
     )
-    return rounded(ensemble.ensemble(floored, weights, anchor="shrunk"), "score", digits=9)
+    combined = ensemble.ensemble(floored, weights, anchor="shrunk")
+    return rounded(combined.withColumn("support", 1 - F.col("score")), "score", "support", digits=9)
 
 
 # --- imputation -----------------------------------------------------------------------------------
@@ -650,18 +651,7 @@ def q_filter_features(spark, d):
 
 
 def forest(spark, d) -> tuple[DataFrame, DataFrame]:
-    """All rows with features, and their predictions by a forest fitted on complete rows."""
-    rows = views.measurements(spark, d, "light")
-    names = classify.feature_names(CONTRASTS)
-
-    def features(of: DataFrame) -> DataFrame:
-        return materialise(
-            classify.filter_features(moments.profiles(moments.cell_moments(of)), CONTRASTS, TRUTH)
-        )
-
-    model = classify.fit_filter(features(relational.complete_cases(rows)), names)
-    everything = features(rows)
-    return everything, materialise(classify.predict_class(model, everything, names))
+    return study.identifiers_to_keep(views.measurements(spark, d, "light"), CONTRASTS, TRUTH)
 
 
 @query

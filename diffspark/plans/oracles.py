@@ -545,7 +545,8 @@ _view(
 _oracle(
     "q_ensemble",
     "partial weights",
-    """SELECT identifier, comparison, round(1 / (1 + exp(-l)), 9) AS score FROM (
+    """SELECT identifier, comparison, round(1 / (1 + exp(-l)), 9) AS score,
+      round(1 - 1 / (1 + exp(-l)), 9) AS support FROM (
       SELECT identifier, comparison, sum(weight * ln(p / (1 - p))) / nullif(sum(weight), 0) AS l,
         bool_or(method = 'shrunk') AS anchored
       FROM (SELECT *, least(greatest(score, 1e-12), 1 - 1e-12) AS p FROM partial)

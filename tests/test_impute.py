@@ -61,7 +61,9 @@ def test_spread_of_draws_follows_the_trend(spark):
         F.lit(0).cast("long").alias("replicate"),
         F.lit(None).cast("double").alias("y"),
     )
-    cells = rows.select("identifier", "condition", F.lit(8.0).alias("mean"))
+    cells = rows.select(
+        "identifier", "condition", F.lit(8.0).alias("mean"), F.lit(1).alias("gaps")
+    )
     y = impute.imputation_draws(rows, cells, TREND, 0.0, 1).toPandas().y
     assert y.mean() == pytest.approx(8.0, abs=0.06)
     assert y.std() == pytest.approx(np.exp(0.3 - 0.05 * 8), rel=0.05)
@@ -94,3 +96,19 @@ def test_merged_profiles_equal_direct_moments(gaps, parts, weighted):
         filled = filled.join((sums.wy / sums.w).rename("m"), on=key)
         filled["d"] = filled.w * (filled.y - filled.m) ** 2
         assert np.allclose(got.wss, filled.groupby(key).d.sum().sort_index(), atol=1e-9)
+
+
+def test_hot_condition_keeps_every_draw(spark):
+    """One condition holds most gaps and is matched by broadcast; nothing is lost."""
+    rows = spark.range(2000).selectExpr(
+        "if(id % 3 > 0, 'hot', concat('i', id)) as identifier",
+        "'A' as condition",
+        "id as replicate",
+        "if(id % 2 = 0, null, 5.0D + id % 7) as y",
+    )
+    cells = moments.cell_moments(rows)
+    draws = impute.imputation_draws(rows, cells, TREND, 1.0, 2).toPandas()
+    assert len(draws) == 2 * rows.where("y is null").count()
+    assert draws.y.notna().all()
+    centre = cells.where("identifier = 'hot'").first()["mean"]
+    assert draws[draws.identifier == "hot"].y.mean() == pytest.approx(centre, abs=0.2)
