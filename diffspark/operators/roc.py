@@ -172,20 +172,21 @@ def confusion_at(
     scores: DataFrame,
     thresholds: DataFrame,
     comparisons: Sequence[str],
-    truth_totals: str = "group",
     score: str = "score",
     truth: str = "truth",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Cells of the decision ``score < alpha`` at given thresholds, shared by all comparisons.
 
+    ``by`` are further keys, such as the method, that scores and thresholds both carry.
     Every row is decided one way or the other, so TN and FN are the complements. Rows
     without a score are never called. Thresholds and scores travel through one ordered
     pass; ``comparisons`` is the contrast list of the study.
     """
-    counts = _score_counts(scores, ["comparison"], score, truth).withColumn(
-        "wanted", F.lit(False)
-    )
+    groups = [*by, "comparison"]
+    counts = _score_counts(scores, groups, score, truth).withColumn("wanted", F.lit(False))
     grid = thresholds.select(
+        *by,
         F.explode(F.array(*[F.lit(x) for x in comparisons])).alias("comparison"),
         F.col("alpha").cast("double").alias("alpha"),
         F.lit(0).cast("long").alias("p_all"),
@@ -194,20 +195,20 @@ def confusion_at(
     )
     merged = (
         counts.unionByName(grid)
-        .groupBy("comparison", "alpha")
+        .groupBy(*groups, "alpha")
         .agg(
             F.sum("p_all").alias("p_all"),
             F.sum("n_all").alias("n_all"),
             F.bool_or("wanted").alias("wanted"),
         )
     )
-    bucketed = range_buckets(_scored(merged), ["comparison"], ["alpha"])
+    bucketed = range_buckets(_scored(merged), groups, ["alpha"])
     c = F.col
     walked = running_sums(
-        bucketed, ["comparison"], ["alpha"], ["pos", "neg"], totals=["p_all", "n_all"]
+        bucketed, groups, ["alpha"], ["pos", "neg"], totals=["p_all", "n_all"]
     ).where(c("wanted") & c("alpha").isNotNull())
     return walked.select(
-        "comparison",
+        *groups,
         "alpha",
         c("pos_before").alias("TP"),
         (c("n_all_total") - c("neg_before")).alias("TN"),
@@ -267,17 +268,19 @@ def label_positions(
     )
 
 
-def thin(values: DataFrame, value: str = "alpha", limit: int = 2000) -> DataFrame:
+def thin(
+    values: DataFrame, value: str = "alpha", limit: int = 2000, groups: Sequence[str] = ()
+) -> DataFrame:
     """Systematic thinning of the sorted distinct values to ``limit`` of them.
 
     Position i (1-based, of L) is kept when i = 1 + floor(k (L-1) / (limit-1)) for some
     k; lists of up to ``limit`` values are kept whole.
     """
-    distinct = values.select(value).distinct()
-    placed = row_index(distinct, [], [value])
+    distinct = values.select(*groups, value).distinct()
+    placed = row_index(distinct, list(groups), [value])
     k = f"((({limit - 1} * (index - 1)) + size - 2) div greatest(size - 1, 1))"
     hit = F.expr(f"{k} <= {limit - 1} and ({k} * (size - 1)) div {limit - 1} = index - 1")
-    return placed.where((F.col("size") <= limit) | hit).select(value)
+    return placed.where((F.col("size") <= limit) | hit).select(*groups, value)
 
 
 def decompose(
