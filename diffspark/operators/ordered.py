@@ -5,6 +5,7 @@ Here the distinct keys are range-partitioned over ``(groups, order)`` instead, s
 group is spread over as many buckets as its share of the rows; every bucket is a
 contiguous run of the order. Running values are then "value up to the bucket" (a table
 of at most buckets + groups rows) plus "value inside the bucket" (a local window).
+Group keys must not be NULL.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ BUCKET = "_bucket"
 # never more than HOT_KEYS of them.
 HOT_KEYS = 64
 
+# Lookup tables of up to this many rows, counted before the join, are broadcast whole.
+SMALL_TABLE = 100_000
+
 
 def range_buckets(df: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Stage ``df`` with a bucket number that increases along ``(groups, order)``.
@@ -229,13 +233,16 @@ def trapezoid(
 def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Left join of ``rows`` with ``table`` (one row per key, ``weight`` = rows per key).
 
-    Keys holding more than 1/HOT_KEYS of all rows, of which there are fewer than
-    HOT_KEYS, are matched by broadcast; the others by a shuffle join that is then free
-    of hot keys. Both inputs are read twice when hot keys exist, so pass stage tables.
+    A table of at most SMALL_TABLE rows is broadcast. Otherwise keys holding more than
+    1/HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are matched by
+    broadcast and the others by a shuffle join that is then free of hot keys; both inputs
+    are read twice in that case, so pass stage tables.
     """
-    total, top = table.agg(F.sum(weight), F.max(weight)).first()
+    size, total, top = table.agg(F.count(F.lit(1)), F.sum(weight), F.max(weight)).first()
     values = table.drop(weight)
-    if total is None or top * HOT_KEYS <= total:
+    if size <= SMALL_TABLE:
+        return rows.join(F.broadcast(values), list(keys), "left")
+    if top * HOT_KEYS <= total:
         return rows.join(values, list(keys), "left")
     hot = F.broadcast(table.where(F.col(weight) * HOT_KEYS > total).drop(weight))
     names = list(keys)

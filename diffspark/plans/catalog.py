@@ -70,7 +70,9 @@ def q_text_scan(spark, d):
 def q_stage_reload(spark, d):
     """Result tables saved per dataset and loaded together, tagged by their folder."""
     root = f"{stage_root(spark)}/diffspark/{uuid.uuid4().hex}"
-    s = views.scores(spark, d).withColumn("dataset", F.col("method"))
+    for _ in range(2):  # the second write finds the table and leaves it
+        s = tables.write_once(views.scores(spark, d), f"{root}-scores")
+    s = s.withColumn("dataset", F.col("method"))
     tables.save_result(s.where("method <> 'ttest'"), root)
     tables.save_result(s.where("method = 'ttest'"), root)
     loaded = tables.load_results(spark, root)
@@ -262,6 +264,19 @@ def q_contrasts(spark, d):
     )
 
 
+@query
+def q_design_matrix(spark, d):
+    """Samples per condition as column sums of the one-hot design."""
+    matrix = schema.design_matrix(views.measurements(spark, d), views.CONDITIONS)
+    return matrix.agg(*[F.sum(f"is_{c}").alias(f"n_{c}") for c in views.CONDITIONS])
+
+
+@query
+def q_contrast_matrix(spark, d):
+    design = schema.design_table(views.measurements(spark, d)).select("condition")
+    return schema.contrast_matrix(design, CONTRASTS)
+
+
 # --- moments, normalisation, tests --------------------------------------------------------
 
 

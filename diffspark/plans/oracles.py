@@ -282,6 +282,23 @@ _oracle(
          (SELECT condition, count(DISTINCT replicate) AS r FROM m GROUP BY condition) y
     WHERE x.condition < y.condition""",
 )
+_oracle(
+    "q_design_matrix",
+    "m",
+    "SELECT "
+    + ", ".join(f"count(DISTINCT replicate) FILTER (condition = '{c}') AS \"n_{c}\"" for c in "ANR")
+    + " FROM m",
+)
+_oracle(
+    "q_contrast_matrix",
+    "m contrasts",
+    "SELECT condition, "
+    + ", ".join(
+        f"CAST(max(CASE WHEN comparison = '{v}' THEN CASE condition WHEN ca THEN 1 WHEN cb THEN -1 ELSE 0 END END) AS INTEGER) AS \"{v}\""
+        for v in ("A vs N", "A vs R", "N vs R")
+    )
+    + " FROM (SELECT DISTINCT condition FROM m), contrasts GROUP BY condition",
+)
 _oracle(
     "q_pairwise_complete",
     "cells_mvh",

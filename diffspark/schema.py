@@ -86,3 +86,25 @@ def contrast_table(design: DataFrame) -> DataFrame:
             "cond_b"
         ),
     ).select(F.concat_ws(" vs ", "cond_a", "cond_b").alias("comparison"), "cond_a", "cond_b")
+
+
+def design_matrix(df: DataFrame, conditions: Sequence[str], sample: str = "replicate") -> DataFrame:
+    """One row per (condition, sample) found in the data, one 0/1 column per condition."""
+    samples = df.select("condition", sample).distinct()
+    return samples.select(
+        "condition",
+        sample,
+        *[(F.col("condition") == c).cast("int").alias(f"is_{c}") for c in conditions],
+    )
+
+
+def contrast_matrix(design: DataFrame, contrasts: Sequence[Contrast]) -> DataFrame:
+    """One row per condition of the design, one column per comparison with +1, -1 or 0."""
+    name = F.col("condition")
+    return design.select(
+        "condition",
+        *[
+            F.when(name == c.cond_a, 1).when(name == c.cond_b, -1).otherwise(0).alias(c.comparison)
+            for c in contrasts
+        ],
+    )

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from diffspark.operators import impute, moments
+from diffspark.operators import impute, moments, ordered
 from diffspark.operators.trend import Trend
 
 TREND = Trend(0.3, -0.05)
@@ -98,8 +98,10 @@ def test_merged_profiles_equal_direct_moments(gaps, parts, weighted):
         assert np.allclose(got.wss, filled.groupby(key).d.sum().sort_index(), atol=1e-9)
 
 
-def test_hot_condition_keeps_every_draw(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_hot_condition_keeps_every_draw(spark, monkeypatch, small):
     """One condition holds most gaps and is matched by broadcast; nothing is lost."""
+    monkeypatch.setattr(ordered, "SMALL_TABLE", small)
     rows = spark.range(2000).selectExpr(
         "if(id % 3 > 0, 'hot', concat('i', id)) as identifier",
         "'A' as condition",
