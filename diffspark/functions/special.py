@@ -76,13 +76,26 @@ def trigamma_inverse(v: pd.Series) -> pd.Series:
     return pd.Series(np.where(ok, x, np.nan)).astype("Float64").mask(~ok)
 
 
+# Stirling series of ln gamma in 1/x^2.
+LGAMMA_SERIES = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
+
+
+def _stirling_tail(z):
+    return _powers(LGAMMA_SERIES, 1 / (z * z)) / z
+
+
 def _np_lgamma(x):
     z = x + SHIFT
-    r = 1 / (z * z)
-    stirling = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
-    tail = _powers(stirling, r) / z
     shift = np.log(np.prod([x + i for i in range(SHIFT)], axis=0))
-    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + tail - shift
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + _stirling_tail(z) - shift
+
+
+def _np_lgamma_step(x, h):
+    """ln gamma(x + h) - ln gamma(x) without the cancellation of two large values."""
+    z = x + SHIFT
+    step = (z - 0.5) * np.log1p(h / z) + h * np.log(z + h) - h
+    shift = sum(np.log1p(h / (x + i)) for i in range(SHIFT))
+    return step + _stirling_tail(z + h) - _stirling_tail(z) - shift
 
 
 def _beta_fraction(a, b, x):
@@ -115,10 +128,11 @@ def beta_inc(a, b, x, y):
     flip = x > (a + 1) / (a + b + 2)
     p, q = np.where(flip, b, a), np.where(flip, a, b)
     u, w = np.where(flip, y, x), np.where(flip, x, y)
+    high, low = np.maximum(p, q), np.minimum(p, q)
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(
-            p * np.log(u) + q * np.log(w) + _np_lgamma(p + q) - _np_lgamma(p) - _np_lgamma(q)
-        )
+        ln_u = np.where(u > 0.5, np.log1p(-w), np.log(u))
+        ln_w = np.where(w > 0.5, np.log1p(-u), np.log(w))
+        front = np.exp(p * ln_u + q * ln_w + _np_lgamma_step(high, low) - _np_lgamma(low))
     part = np.where(u <= 0, 0.0, front * _beta_fraction(p, q, u) / p)
     return np.where(flip, 1 - part, part)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.functions.keyed import keyed_normal
-from diffspark.operators.moments import PLAIN, WEIGHTED, cell_moments, fields_of, profiles
+from diffspark.operators.moments import PLAIN, WEIGHTED, cell_moments, fields_of
 from diffspark.operators.ordered import lookup, quantiles
 from diffspark.operators.trend import Trend
 
@@ -87,7 +87,7 @@ def imputed_profiles(
 ) -> DataFrame:
     """Profile of every identifier in every imputation.
 
-    ``observed`` are the cells with values. Only the draws are shuffled per imputation,
+    ``observed`` is the profile of the measured values. Only the draws are shuffled per imputation,
     already reduced to one row per (imputation, empty cell). They meet the observed
     profile once per identifier, and the ``m`` profiles are unfolded behind that join.
     Rows multiply there, so both sides keep the full number of shuffle partitions instead
@@ -107,8 +107,7 @@ def imputed_profiles(
         .groupBy("identifier")
         .agg(F.map_from_entries(F.collect_list(F.struct("imputation", "filled"))).alias("pieces"))
     )
-    base = profiles(observed.repartition(parts, "identifier"))
-    joined = base.join(pieces, "identifier", "full")
+    joined = observed.select("identifier", "cells").join(pieces, "identifier", "full")
     unfolded = joined.withColumn("imputation", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     filled = F.col("pieces")[F.col("imputation")]
 
@@ -124,8 +123,3 @@ def imputed_profiles(
         "identifier",
         merged.otherwise(F.map_zip_with("cells", filled, combine)).alias("cells"),
     )
-
-
-def observed_cells(measurements: DataFrame, weight: Column | None = None) -> DataFrame:
-    """Moments of the measured values; conditions without a value are left out."""
-    return cell_moments(measurements, value="y", weight=weight).where(F.col("n") > 0)

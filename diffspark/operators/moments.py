@@ -43,18 +43,25 @@ def cell_moments(
     sums = measurements.groupBy(*keys, "condition").agg(
         *aggs, F.sum(w).alias("w"), F.sum(w * y).alias("_wy"), F.sum(w * y * y).alias("_wyy")
     )
-    centred = F.col("_wyy") - F.try_divide(F.col("_wy") * F.col("_wy"), F.col("w"))
     return sums.select(
         *keys,
         "condition",
         "gaps",
         *PLAIN,
-        "w",
-        F.try_divide("_wy", "w").alias("wmean"),
-        F.greatest(F.lit(0.0), F.when(F.col("n") > 1, centred).otherwise(0.0)).alias("wss"),
+        *_weighted(F.col("w"), F.col("_wy"), F.col("_wyy"), F.col("n")),
     )
 
 
+def _weighted(w: Column, wy: Column, wyy: Column, n: Column) -> list[Column]:
+    """Weighted moments from the sums of w, w y and w y^2."""
+    centred = wyy - F.try_divide(wy * wy, w)
+    return [
+        w.alias("w"),
+        F.try_divide(wy, w).alias("wmean"),
+        F.greatest(F.lit(0.0), F.when(n > 1, centred).otherwise(0.0)).alias("wss"),
+    ]
+
+
 def fields_of(columns: Sequence[str]) -> tuple[str, ...]:
     return (*PLAIN, *WEIGHTED) if "w" in columns else PLAIN
 
@@ -65,6 +72,43 @@ def profiles(cells: DataFrame, keys: Sequence[str] = ("identifier",)) -> DataFra
     return cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
 
 
+def direct_profiles(
+    measurements: DataFrame,
+    conditions: Sequence[str],
+    keys: Sequence[str] = ("identifier",),
+    value: str = "y",
+    weight: Column | None = None,
+) -> DataFrame:
+    """Profiles of the measured values in one shuffle, for a known, short list of conditions.
+
+    The conditions are aggregated side by side, so rows combine to one per identifier
+    before they are sent. Conditions without a value are left out.
+    """
+    aggs, entries = [], []
+    for i, condition in enumerate(conditions):
+        y = F.when(F.col("condition") == condition, F.col(value))
+        aggs += [
+            F.count(y).alias(f"n{i}"),
+            F.avg(y).alias(f"mean{i}"),
+            F.var_pop(y).alias(f"var{i}"),
+        ]
+        n = F.col(f"n{i}")
+        cell = [n.alias("n"), F.col(f"mean{i}").alias("mean"), (F.col(f"var{i}") * n).alias("ss")]
+        if weight is not None:
+            w = F.when(y.isNotNull(), weight)
+            aggs += [
+                F.sum(w).alias(f"w{i}"),
+                F.sum(w * y).alias(f"wy{i}"),
+                F.sum(w * y * y).alias(f"wyy{i}"),
+            ]
+            cell += _weighted(F.col(f"w{i}"), F.col(f"wy{i}"), F.col(f"wyy{i}"), n)
+        entries.append(F.struct(F.lit(condition).alias("condition"), F.struct(*cell).alias("m")))
+    measured = F.filter(F.array(*entries), lambda e: e["m"]["n"] > 0)
+    return (
+        measurements.groupBy(*keys).agg(*aggs).select(*keys, F.map_from_entries(measured).alias("cells"))
+    )
+
+
 def over_cells(term) -> Column:
     """Sum of ``term(cell)`` over the profile, NULL terms skipped."""
     return F.aggregate(

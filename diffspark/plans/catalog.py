@@ -45,7 +45,7 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 def profile(spark: SparkSession, d: str, missing: str | None = None) -> DataFrame:
-    return moments.profiles(moments.cell_moments(views.measurements(spark, d, missing)))
+    return moments.direct_profiles(views.measurements(spark, d, missing), views.CONDITIONS)
 
 
 # --- sources and sinks --------------------------------------------------------------
@@ -486,7 +486,7 @@ class Missing:
 
     def profiles(self, m: int, weighted: bool = False) -> DataFrame:
         weight = self.trend.precision_weight(F.col("y")) if weighted else None
-        observed = impute.observed_cells(self.rows, weight)
+        observed = moments.direct_profiles(self.rows, views.CONDITIONS, weight=weight)
         return impute.imputed_profiles(observed, self.draws(m), m, weight)
 
 
@@ -642,7 +642,7 @@ def q_posterior_err(spark, d):
     prior = trend.fit_gamma_trend(labelled_stats(spark, d), "sd")
     rows = views.measurements(spark, d)
     weight = prior.precision_weight(F.col("y"))
-    p = moments.profiles(moments.cell_moments(rows, weight=weight))
+    p = moments.direct_profiles(rows, views.CONDITIONS, weight=weight)
     return rounded(posterior.decision_error(p, prior, CONTRASTS).where("lfc is not null"), "z", "err", "lfc")
 
 
@@ -653,15 +653,14 @@ def q_posterior_labelled(spark, d):
     rows = views.measurements(spark, d).withColumn("c", upper)
     keys = ("identifier", "c")
     weight = prior.precision_weight(F.col("y"), F.col("c"))
-    p = moments.profiles(moments.cell_moments(rows, keys, weight=weight), keys)
+    p = moments.direct_profiles(rows, views.CONDITIONS, keys, weight=weight)
     errors = posterior.decision_error(p, prior, CONTRASTS, "c").where("lfc is not null")
     return rounded(errors, "z", "err", "lfc")
 
 
 @query
 def q_filter_features(spark, d):
-    cells = moments.cell_moments(views.measurements(spark, d, "heavy")).where("n > 0")
-    features = classify.filter_features(moments.profiles(cells), CONTRASTS, TRUTH)
+    features = classify.filter_features(profile(spark, d, "heavy"), CONTRASTS, TRUTH)
     return rounded(features, "mean", "sd", *classify.feature_names(CONTRASTS)[2:])
 
 

@@ -52,6 +52,11 @@ def parse_contrast(text: str, sep: str = "-") -> Contrast:
     return Contrast(a, b)
 
 
+def conditions_of(contrasts: Sequence[Contrast]) -> list[str]:
+    """Conditions that the contrasts mention, in order of appearance."""
+    return list(dict.fromkeys(name for c in contrasts for name in c))
+
+
 def contrast_array(contrasts: Sequence[Contrast]) -> Column:
     """The contrasts as an array literal, ready to be exploded next to a profile."""
     return F.array(

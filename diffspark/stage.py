@@ -18,11 +18,15 @@ _OWN_ROOTS: dict[str, str] = {}
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a private one only where it is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder named by ``spark.checkpoint.dir`` or set as the checkpoint folder of the
+    context; in local mode, where neither is set, a private one."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return shared
-    app = spark.sparkContext.applicationId
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
+    app = context.applicationId
     if app not in _OWN_ROOTS:
         _OWN_ROOTS[app] = tempfile.mkdtemp(prefix="diffspark-stage-")
     return _OWN_ROOTS[app]

@@ -75,7 +75,8 @@ def test_merged_profiles_equal_direct_moments(gaps, parts, weighted):
     cells, low = parts
     weight = TREND.precision_weight(F.col("y")) if weighted else None
     draws = impute.imputation_draws(gaps, cells, TREND, low, 3)
-    merged = impute.imputed_profiles(impute.observed_cells(gaps, weight), draws, 3, weight)
+    observed = moments.direct_profiles(gaps, ["A", "B"], weight=weight)
+    merged = impute.imputed_profiles(observed, draws, 3, weight)
     flat = merged.select("imputation", "identifier", F.explode("cells").alias("condition", "m"))
     got = flat.select("imputation", "identifier", "condition", "m.*").toPandas()
     seen = gaps.where("y is not null").toPandas()
@@ -114,3 +115,19 @@ def test_hot_condition_keeps_every_draw(spark, monkeypatch, small):
     assert draws.y.notna().all()
     centre = cells.where("identifier = 'hot'").first()["mean"]
     assert draws[draws.identifier == "hot"].y.mean() == pytest.approx(centre, abs=0.2)
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_direct_profiles_equal_folded_cells(gaps, weighted):
+    weight = TREND.precision_weight(F.col("y")) if weighted else None
+    direct = moments.direct_profiles(gaps, ["A", "B"], weight=weight)
+    folded = moments.profiles(moments.cell_moments(gaps, weight=weight).where("n > 0"))
+
+    def flat(p):
+        rows = p.select("identifier", F.explode("cells").alias("condition", "m"))
+        table = rows.select("identifier", "condition", "m.*").toPandas()
+        return table.set_index(["identifier", "condition"]).sort_index()
+
+    a, b = flat(direct), flat(folded)
+    assert list(a.columns) == list(b.columns) and (a.index == b.index).all()
+    assert np.allclose(a, b, atol=1e-9)
