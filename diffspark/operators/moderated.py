@@ -147,10 +147,12 @@ def moderated_t(
     """Moderated t, df, p-value and fold change for every profile row and contrast.
 
     One prior per group (an imputation). ``weighted`` uses the weighted cell moments.
+    A stage table of :func:`residual_variance` is the best input: the prior then reads its
+    three numbers per row and not the cells.
     """
     n, mean, _ = WEIGHTED if weighted else PLAIN
     groups = list(groups)
-    rows = residual_variance(profile, weighted)
+    rows = profile if "s2" in profile.columns else residual_variance(profile, weighted)
     prior = variance_prior(rows, groups, trend, robust)
     shrunk = shrink(rows, prior, groups)
     a, b, c = F.col("a"), F.col("b"), F.col

@@ -516,8 +516,9 @@ def q_imputed_cells(spark, d):
 
 
 def moderated_results(spark, d, weighted=False, **options) -> DataFrame:
-    p = materialise(Missing(spark, d).profiles(IMPUTATIONS, weighted))
-    return moderated.moderated_t(p, CONTRASTS, weighted=weighted, **options)
+    p = Missing(spark, d).profiles(IMPUTATIONS, weighted)
+    rows = materialise(moderated.residual_variance(p, weighted))
+    return moderated.moderated_t(rows, CONTRASTS, weighted=weighted, **options)
 
 
 def shown(tests: DataFrame) -> DataFrame:
@@ -546,8 +547,7 @@ def q_moderated_robust(spark, d):
 
 @query
 def q_variance_prior(spark, d):
-    p = materialise(Missing(spark, d).profiles(IMPUTATIONS))
-    rows = moderated.residual_variance(p)
+    rows = materialise(moderated.residual_variance(Missing(spark, d).profiles(IMPUTATIONS)))
     prior = moderated.variance_prior(rows, ["imputation"], trend=True, robust=True)
     return rounded(rounded(prior.drop("centre"), "b0", "b1", "b2"), "d0", digits=4)
 
