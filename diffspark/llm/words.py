@@ -60,8 +60,12 @@ def spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def hash_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in order, and where each text's words start."""
     raw, at = buffer(texts)
-    if len(raw) == 0:
-        return np.zeros(0, U), np.zeros(len(texts) + 1, np.int64)
+    out, start = hash_runs(raw)
+    return out, np.searchsorted(start, at)
+
+
+def hash_runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a buffer, and where each starts."""
     start, end = spans(raw)
     length = end - start
     upto = np.cumsum(length)
@@ -71,7 +75,7 @@ def hash_words(texts: list) -> tuple[np.ndarray, np.ndarray]:
         j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + WINDOW, "right")))
         out[i:j] = _hash(raw, start[i:j], length[i:j])
         i = j
-    return out, np.searchsorted(start, at)
+    return out, start
 
 
 def _hash(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
