@@ -42,7 +42,7 @@ FILE = "word_bpe_49k.json"
 CACHE = 300_000
 CELLS = 1 << 21  # leaves that are worked on at once
 NONE = np.int64(1) << 62
-BLANK = "\t-\r \x85\xa0  -     　"  # Unicode white space
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # Unicode white space
 SPLIT_BLANK = re.compile(f"[{BLANK}]+")
 CONTROL = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the pattern
 
