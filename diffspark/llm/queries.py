@@ -1,13 +1,14 @@
 """Registered queries of the corpus operators and their SQL."""
 
-from diffspark.llm import exact_dedup, near_dedup, packing, quality, sharding, word_bpe
+from diffspark.llm import exact_dedup, near_dedup, packing, quality, sharding, top_k, word_bpe
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_sharding": sharding.op4_sharding,
+    "op5_exact_top_k": top_k.op5_exact_top_k,
     "op6_packing": packing.op6_packing,
     "op9_bpe": word_bpe.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-ORACLES = {**exact_dedup.SQL}
+ORACLES = {**exact_dedup.SQL, **top_k.SQL}
