@@ -40,7 +40,8 @@ from diffspark.stage import materialise
 
 ship(__name__)
 
-BANDS, ROWS, BLOCK = 32, 5, 256
+BANDS, ROWS, BLOCK = 32, 5, 512
+FILTER_BITS = 24  # of the bitmap that tells which rows need their full sets
 MULTIPLY = words.series(BANDS * ROWS, 11) | np.uint64(1)
 ADD = words.series(BANDS * ROWS, 12)
 SLACK = 0.14  # signatures this far below the similarity are still confirmed (over 4 sigma)
@@ -58,7 +59,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (words.mix(least) & np.uint64(0xFFFF)).astype("<u2")
 
 
-SKETCH = "row long, doc_id long, n_shingles long, set_digest binary, signature binary, shingles binary"
+SKETCH = "row long, doc_id long, n_shingles long, set_digest binary, signature binary"
 
 
 def sketch(size: int):
@@ -67,14 +68,12 @@ def sketch(size: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 hashes, begin = words.hash_words(part.column("text").to_pylist())
-                n, digest, sig, raw = [], [], [], []
+                n, digest, sig = [], [], []
                 for i in range(part.num_rows):
                     s = words.shingles(hashes[begin[i] : begin[i + 1]], size)
-                    data = s.tobytes()
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(data, digest_size=16).digest() if len(s) else None)
+                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sig.append(signature(s).tobytes() if len(s) else None)
-                    raw.append(data)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"),
@@ -82,14 +81,57 @@ def sketch(size: int):
                         pa.array(n, pa.int64()),
                         pa.array(digest, pa.binary()),
                         pa.array(sig, pa.binary()),
-                        pa.array(raw, pa.binary()),
                     ],
-                    ["row", "doc_id", "n_shingles", "set_digest", "signature", "shingles"],
+                    ["row", "doc_id", "n_shingles", "set_digest", "signature"],
                 )
 
     return run
 
 
+def bitmap(rows: DataFrame) -> np.ndarray:
+    """Bitmap of the hashes of ``rows`` (node): of fixed size, whatever comes in."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS))
+    words64 = rows.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("bits")
+    )
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for word, bits in words64.collect():  # 2 ** (FILTER_BITS - 6) rows at most
+        out[word] = bits
+    return out
+
+
+def full_sets(size: int, wanted: np.ndarray):
+    """Shingle sets of the rows whose ``slot`` is in the bitmap (a few others pass too)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(wanted[slot >> 6] >> (slot & 63) & 1)
+            for at in range(0, len(hit), 256):
+                part = batch.take(pa.array(hit[at : at + 256]))
+                hashes, begin = words.hash_words(part.column("text").to_pylist())
+                sets = [
+                    words.shingles(hashes[i:j], size).tobytes()
+                    for i, j in zip(begin[:-1], begin[1:], strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"]
+                )
+
+    return run
+
+
+def alike(percent: int):
+    """Pairs whose signatures allow the similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            one, two = (np.frombuffer(b"".join(f[c]), "<u2").reshape(len(f), -1) for c in ("sig_u", "sig_v"))
+            yield f.loc[(one == two).mean(axis=1) >= percent / 100 - SLACK, ["u", "v"]]
+
+    return run
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union of two sorted sets."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -102,17 +144,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def confirm(percent: int):
-    """Pairs with signatures and sets to links."""
+    """Pairs with their sets to links."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = []
-            for s, t, a, b in zip(f["sig_u"], f["sig_v"], f["set_u"], f["set_v"], strict=True):
-                alike = np.mean(np.frombuffer(s, "<u2") == np.frombuffer(t, "<u2"))
-                keep.append(
-                    alike >= percent / 100 - SLACK
-                    and similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), percent)
-                )
+            keep = [
+                similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), percent)
+                for a, b in zip(f["set_u"], f["set_v"], strict=True)
+            ]
             yield f.loc[keep, ["u", "v"]]
 
     return run
@@ -149,10 +188,10 @@ def compare_blocks(percent: int):
             if not len(others):
                 continue
             same = sig[others] == sig[i]
-            alike = same.mean(axis=1)
+            agree = same.mean(axis=1)
             first = same.reshape(len(others), BANDS, ROWS).all(axis=2).argmax(axis=1)
-            good = (alike >= percent / 100 - SLACK) & (first == band)
-            pairs += [(-x, i, j) for x, j in zip(alike[good], others[good], strict=True)]
+            good = (agree >= percent / 100 - SLACK) & (first == band)
+            pairs += [(-x, i, j) for x, j in zip(agree[good], others[good], strict=True)]
         for _, i, j in sorted(pairs):
             a, b = find(int(group[i])), find(int(group[j]))
             if a != b and similar(sets[i], sets[j], percent):
@@ -163,9 +202,9 @@ def compare_blocks(percent: int):
     return run
 
 
-def links(nodes: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) among nodes (node, signature, shingles) that give the same components
-    as all pairs of the required similarity."""
+def links(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """Links (u, v) among nodes (node, signature) that give the same components as all
+    pairs of the required similarity. ``texts``: (node, text) of these and other rows."""
     width = 2 * ROWS
     bands = nodes.select(
         "node",
@@ -185,10 +224,18 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
     )
     members = materialise(bands.join(buckets, "bucket"))
     pairs = members.where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    one = nodes.select(F.col("node").alias("u"), F.col("signature").alias("sig_u"), F.col("shingles").alias("set_u"))
-    two = nodes.select(F.col("node").alias("v"), F.col("signature").alias("sig_v"), F.col("shingles").alias("set_v"))
+    sig_u = nodes.select(F.col("node").alias("u"), F.col("signature").alias("sig_u"))
+    sig_v = nodes.select(F.col("node").alias("v"), F.col("signature").alias("sig_v"))
+    likely = materialise(
+        pairs.join(sig_u, "u").join(sig_v, "v").mapInPandas(alike(percent), "u long, v long")
+    )
+    wanted = bitmap(members.select("node").distinct())
+    slots = texts.withColumn("slot", F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)))
+    sets = materialise(slots.mapInArrow(full_sets(size, wanted), "node long, shingles binary"))
+    set_u = sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u"))
+    set_v = sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v"))
     star = materialise(
-        pairs.join(one, "u").join(two, "v").mapInPandas(confirm(percent), "u long, v long")
+        likely.join(set_u, "u").join(set_v, "v").mapInPandas(confirm(percent), "u long, v long")
     )
     known = components(star)
     labelled = materialise(
@@ -220,7 +267,7 @@ def links(nodes: DataFrame, percent: int) -> DataFrame:
         )
     )
     rest = (
-        dealt.join(nodes, "node")
+        dealt.join(nodes.join(sets, "node"), "node")
         .groupBy("bucket", "i", "j")
         .applyInPandas(compare_blocks(percent), "u long, v long")
     )
@@ -239,9 +286,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     )
     classes = materialise(classes)
     nodes = classes.select("node").join(
-        sketches.select(F.col("row").alias("node"), "signature", "shingles"), "node"
+        sketches.select(F.col("row").alias("node"), "signature"), "node"
     )
-    found = components(links(nodes, percent))
+    texts = rows.select(F.col("row").alias("node"), "text")
+    found = components(links(materialise(nodes), texts, percent, size))
     grouped = materialise(
         classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
