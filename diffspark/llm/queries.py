@@ -1,8 +1,9 @@
 """Registered queries of the corpus operators and their SQL."""
 
-from diffspark.llm import exact_dedup, near_dedup, packing, quality, sharding, top_k, word_bpe
+from diffspark.llm import exact_dedup, line_dedup, near_dedup, packing, quality, sharding, top_k, word_bpe
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op3_quality_classifier": quality.op3_quality_classifier,
     "op4_sharding": sharding.op4_sharding,
