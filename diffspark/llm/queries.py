@@ -1,6 +1,17 @@
 """Registered queries of the corpus operators and their SQL."""
 
-from diffspark.llm import exact_dedup, line_dedup, lm_score, near_dedup, packing, quality, sharding, top_k, word_bpe
+from diffspark.llm import (
+    exact_dedup,
+    line_dedup,
+    lm_score,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    token_counts,
+    top_k,
+    word_bpe,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,6 +21,7 @@ QUERIES = {
     "op5_exact_top_k": top_k.op5_exact_top_k,
     "op6_packing": packing.op6_packing,
     "op7_lm_score": lm_score.op7_lm_score,
+    "op8_token_counts": token_counts.op8_token_counts,
     "op9_bpe": word_bpe.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
