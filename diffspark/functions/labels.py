@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.operators.ordered import row_index
+from diffspark.schema import Contrast
 from diffspark.stage import materialise
 
 
@@ -36,16 +37,22 @@ def remove(column: Column, pattern: str) -> Column:
     return F.regexp_replace(column, pattern, "")
 
 
-def canonical_pair(column: Column, sep: str = " vs ") -> Column:
-    """Pair label with its two sides in alphabetical order."""
-    return F.array_join(F.array_sort(F.split(column, sep)), sep)
-
-
-def orient_results(results: DataFrame, sep: str = " vs ") -> DataFrame:
-    """Results with canonical comparison labels; the fold change follows the direction."""
-    label = canonical_pair(F.col("comparison"), sep)
-    flip = F.when(label == F.col("comparison"), 1.0).otherwise(-1.0)
-    return results.withColumns({"comparison": label, "lfc": F.col("lfc") * flip})
+def orient_results(
+    results: DataFrame, contrasts: Sequence[Contrast], written: str = r"(?i)\s+vs\s+"
+) -> DataFrame:
+    """Results labelled as in the list of contrasts; the fold change follows the direction.
+
+    ``written`` matches the separator as it occurs in the data. Labels that are no contrast
+    in either direction keep their text and fold change.
+    """
+    label = F.regexp_replace("comparison", written, " vs ")
+    turned = [(Contrast(c.cond_b, c.cond_a).comparison, c.comparison) for c in contrasts]
+    names = F.create_map(*[F.lit(x) for pair in turned for x in pair])
+    other = F.try_element_at(names, label)
+    flip = F.when(other.isNull(), 1.0).otherwise(-1.0)
+    return results.withColumns(
+        {"comparison": F.coalesce(other, label), "lfc": F.col("lfc") * flip}
+    )
 
 
 def unify_methods(column: Column, prefix: str, renames: dict[str, str]) -> Column:

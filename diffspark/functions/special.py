@@ -62,17 +62,19 @@ def _np_tetragamma(x, h=1e-5):
 
 @F.pandas_udf(T.DoubleType())
 def trigamma_inverse(v: pd.Series) -> pd.Series:
-    """x with trigamma(x) = v, for v > 0; NULL otherwise. Newton steps on 1/trigamma."""
+    """x with trigamma(x) = v, for v > 0; NULL otherwise, also where Newton's steps on
+    1/trigamma do not settle."""
     target = v.to_numpy(dtype=float, na_value=np.nan)
     ok = target > 0
     goal = np.where(ok, target, 1.0)
     x = 0.5 + 1 / goal
-    for _ in range(60):
+    for _ in range(200):
         tri = _np_trigamma(x)
         step = tri * (1 - tri / goal) / _np_tetragamma(x)
         x = np.maximum(x + step, x / 4)
         if np.all(np.abs(step) <= 1e-13 * x):
             break
+    ok &= np.abs(step) <= 1e-10 * x
     return pd.Series(np.where(ok, x, np.nan)).astype("Float64").mask(~ok)
 
 
@@ -108,8 +110,9 @@ def _beta_fraction(a, b, x):
 
     num = np.ones_like(x)
     den = 1 / guard(1 - (a + b) * x / (a + 1))
-    out = den.copy()
-    for m in range(1, 1000):
+    out, m, open_ = den.copy(), 0, True
+    while open_:  # about as many steps as the root of the larger parameter
+        m += 1
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         for coef in (even, odd):
@@ -117,8 +120,7 @@ def _beta_fraction(a, b, x):
             num = guard(1 + coef / num)
             delta = den * num
             out = out * delta
-        if np.all(np.abs(delta - 1) < 1e-15):
-            break
+        open_ = bool(np.any(np.abs(delta - 1) >= 1e-15))
     return out
 
 
@@ -137,7 +139,25 @@ def beta_inc(a, b, x, y):
     return np.where(flip, 1 - part, part)
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+ERFC_SPLIT, ERFC_TERMS = 2.0, 100
+
+
+def _erfc(x):
+    """Complementary error function of non-negative arrays: the series of erf with positive
+    terms below ERFC_SPLIT, the continued fraction above."""
+    x = np.asarray(x, dtype=float)
+    low = np.minimum(x, ERFC_SPLIT)
+    term = total = low
+    for n in range(1, ERFC_TERMS):
+        term = term * (2 * low * low / (2 * n + 1))
+        total = total + term
+    near = 1 - 2 / math.sqrt(math.pi) * np.exp(-low * low) * total
+    high = np.maximum(x, ERFC_SPLIT)
+    tail = high
+    for n in range(ERFC_TERMS, 0, -1):
+        tail = high + n / 2 / tail
+    far = np.exp(-high * high) / (math.sqrt(math.pi) * tail)
+    return np.where(x < ERFC_SPLIT, near, far)
 
 
 def _nullable(values, ok) -> pd.Series:

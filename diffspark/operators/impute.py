@@ -83,13 +83,16 @@ def _merge(a: Column, b: Column, names: tuple[str, str, str]) -> list[Column]:
 
 
 def imputed_profiles(
-    observed: DataFrame, draws: DataFrame, m: int, weight: Column | None = None
+    observed: DataFrame, draws: DataFrame, m: int, weight: Column | None = None, expand: bool = True
 ) -> DataFrame:
     """Profile of every identifier in every imputation.
 
     ``observed`` is the profile of the measured values. Only the draws are shuffled per imputation,
     already reduced to one row per (imputation, empty cell). They meet the observed
-    profile once per identifier, and the ``m`` profiles are unfolded behind that join.
+    profile once per identifier, as a list of (imputation, filled cells) that is unfolded
+    behind that join entry by entry, so the work is linear in ``m``. An identifier without
+    draws has one profile for all imputations: with ``expand`` it is repeated, otherwise it is one row
+    whose imputation is NULL.
     Rows multiply there, so both sides keep the full number of shuffle partitions instead
     of being merged by their size; grouping and join reuse that one partitioning.
     """
@@ -105,11 +108,19 @@ def imputed_profiles(
             ).alias("filled")
         )
         .groupBy("identifier")
-        .agg(F.map_from_entries(F.collect_list(F.struct("imputation", "filled"))).alias("pieces"))
+        .agg(F.collect_list(F.struct("imputation", "filled")).alias("pieces"))
     )
     joined = observed.select("identifier", "cells").join(pieces, "identifier", "full")
-    unfolded = joined.withColumn("imputation", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    filled = F.col("pieces")[F.col("imputation")]
+    every = F.sequence(F.lit(0), F.lit(m - 1)) if expand else F.array(F.lit(None).cast("int"))
+    kind = pieces.schema["pieces"].dataType.elementType["filled"].dataType
+    same = F.transform(
+        every, lambda i: F.struct(i.alias("imputation"), F.lit(None).cast(kind).alias("filled"))
+    )
+    entry = F.explode(F.coalesce("pieces", same)).alias("piece")
+    unfolded = joined.select("identifier", "cells", entry).select(
+        "identifier", "cells", "piece.imputation", "piece.filled"
+    )
+    filled = F.col("filled")
 
     def combine(_, seen, new):
         parts = _merge(seen, new, PLAIN)
@@ -123,3 +134,10 @@ def imputed_profiles(
         "identifier",
         merged.otherwise(F.map_zip_with("cells", filled, combine)).alias("cells"),
     )
+
+
+def every_imputation(rows: DataFrame, m: int) -> DataFrame:
+    """Rows whose imputation is NULL, once for each of the ``m`` imputations."""
+    every = F.sequence(F.lit(0), F.lit(m - 1))
+    own = F.when(F.col("imputation").isNull(), every).otherwise(F.array("imputation"))
+    return rows.withColumn("imputation", F.explode(own))

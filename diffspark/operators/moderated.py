@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.functions.special import digamma, t_two_sided, trigamma, trigamma_inverse
+from diffspark.operators.impute import every_imputation
 from diffspark.operators.moments import PLAIN, WEIGHTED, over_cells, per_contrast, residual_df
 from diffspark.operators.ordered import quantiles
 from diffspark.schema import Contrast
@@ -54,10 +55,18 @@ def _winsorise(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def variance_prior(
-    rows: DataFrame, groups: Sequence[str], trend: bool = False, robust: bool = False
+    rows: DataFrame,
+    groups: Sequence[str],
+    trend: bool = False,
+    robust: bool = False,
+    m: int | None = None,
 ) -> DataFrame:
     """Prior degrees of freedom d0 and ln prior variance, one row per group.
 
+    With ``m``, a row whose imputation is NULL belongs to all ``m`` imputations. Its sums are
+    made once and repeated as sums; the robust variant, which needs order statistics of each
+    imputation, repeats its three numbers.
+
     The log prior variance is b0 + b1 u + b2 u^2 with u = level - centre (b1 = b2 = 0
     without a trend). ``rows`` comes from :func:`residual_variance` over a stage table: it
     is read once without a trend and twice with one, each time by a map-side combined
@@ -68,23 +77,31 @@ def variance_prior(
     usable = rows.withColumn("e", log_variance_residual()).where(c("e").isNotNull())
     data = usable.select(*groups, "e", "level", trigamma(c("df") / 2).alias("tri"))
     if robust:
+        if m is not None:
+            data = every_imputation(data, m)
         data = _winsorise(materialise(data), groups)
-    if not trend:
-        moments = data.groupBy(*groups).agg(
-            F.avg("e").alias("b0"), (F.var_samp("e") - F.avg("tri")).alias("excess")
-        )
-        fit = moments.withColumns({"b1": F.lit(0.0), "b2": F.lit(0.0), "centre": F.lit(0.0)})
+    centre = data.agg(F.avg("level")).first()[0] if trend else 0.0
+    u = c("level") - F.lit(centre)
+    sums = data.groupBy(*groups).agg(
+        F.count("e").alias("n"),
+        F.sum("e").alias("e0"),
+        F.sum(c("e") * c("e")).alias("ee"),
+        F.sum("tri").alias("tri"),
+        *[F.sum(F.pow(u, F.lit(k))).alias(f"u{k}") for k in (1, 2, 3, 4) if trend],
+        *[F.sum(c("e") * F.pow(u, F.lit(k))).alias(f"e{k}") for k in (1, 2) if trend],
+    )
+    if m is not None and not robust:
+        added = [n for n in sums.columns if n not in groups]
+        sums = every_imputation(sums, m).groupBy(*groups).agg(*[F.sum(n).alias(n) for n in added])
+    sums = sums.withColumn("tri", c("tri") / c("n"))
+    if trend:
+        fit = _quadratic(sums)
     else:
-        centre = data.agg(F.avg("level")).first()[0]
-        u = c("level") - F.lit(centre)
-        sums = data.groupBy(*groups).agg(
-            F.count("e").alias("n"),
-            *[F.sum(F.pow(u, F.lit(k))).alias(f"u{k}") for k in (1, 2, 3, 4)],
-            *[F.sum(c("e") * F.pow(u, F.lit(k))).alias(f"e{k}") for k in (0, 1, 2)],
-            F.sum(c("e") * c("e")).alias("ee"),
-            F.avg("tri").alias("tri"),
+        spread = F.try_divide(c("ee") - c("e0") * c("e0") / c("n"), c("n") - 1)
+        fit = sums.withColumns(
+            {"b0": c("e0") / c("n"), "excess": spread - c("tri"), "b1": F.lit(0.0), "b2": F.lit(0.0)}
         )
-        fit = _quadratic(sums).withColumn("centre", F.lit(centre))
+    fit = fit.withColumn("centre", F.lit(centre))
     d0 = F.when(c("excess") > 0, 2 * trigamma_inverse("excess"))
     return fit.withColumn("d0", F.coalesce(d0, F.lit(float("inf")))).select(
         *groups, "d0", "b0", "b1", "b2", "centre"
@@ -143,18 +160,20 @@ def moderated_t(
     trend: bool = False,
     weighted: bool = False,
     robust: bool = False,
+    m: int | None = None,
 ) -> DataFrame:
     """Moderated t, df, p-value and fold change for every profile row and contrast.
 
     One prior per group (an imputation). ``weighted`` uses the weighted cell moments.
     A stage table of :func:`residual_variance` is the best input: the prior then reads its
-    three numbers per row and not the cells.
+    three numbers per row and not the cells. With ``m``, rows whose imputation is NULL stand
+    for all ``m`` imputations and are repeated in the last projection only.
     """
     n, mean, _ = WEIGHTED if weighted else PLAIN
     groups = list(groups)
     rows = profile if "s2" in profile.columns else residual_variance(profile, weighted)
-    prior = variance_prior(rows, groups, trend, robust)
-    shrunk = shrink(rows, prior, groups)
+    prior = variance_prior(rows, groups, trend, robust, m)
+    shrunk = shrink(rows if m is None else every_imputation(rows, m), prior, groups)
     a, b, c = F.col("a"), F.col("b"), F.col
     keep = [*groups, "identifier", "s2_post", "df_total", "df"]
     se2 = c("s2_post") * (F.try_divide(F.lit(1.0), a[n]) + F.try_divide(F.lit(1.0), b[n]))

@@ -24,10 +24,6 @@ BUCKET = "_bucket"
 # never more than HOT_KEYS of them.
 HOT_KEYS = 64
 
-# Lookup tables of up to this many rows, counted before the join, are broadcast whole.
-SMALL_TABLE = 100_000
-
-
 def range_buckets(df: DataFrame, groups: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Stage ``df`` with a bucket number that increases along ``(groups, order)``.
 
@@ -233,18 +229,13 @@ def trapezoid(
 def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
     """Left join of ``rows`` with ``table`` (one row per key, ``weight`` = rows per key).
 
-    A table of at most SMALL_TABLE rows is broadcast. Otherwise keys holding more than
-    1/HOT_KEYS of all rows, of which there are fewer than HOT_KEYS, are matched by
-    broadcast and the others by a shuffle join that is then free of hot keys; both inputs
-    are read twice in that case, so pass stage tables.
+    Keys holding more than 1/HOT_KEYS of all rows, of which there are fewer than HOT_KEYS (and
+    often none), are matched by broadcast and the others by an ordinary join that is then free
+    of hot keys and left to adaptive execution. Both inputs are read twice, so pass stage
+    tables.
     """
-    size, total, top = table.agg(F.count(F.lit(1)), F.sum(weight), F.max(weight)).first()
-    values = table.drop(weight)
-    if size <= SMALL_TABLE:
-        return rows.join(F.broadcast(values), list(keys), "left")
-    if top * HOT_KEYS <= total:
-        return rows.join(values, list(keys), "left")
-    hot = F.broadcast(table.where(F.col(weight) * HOT_KEYS > total).drop(weight))
     names = list(keys)
-    cold = rows.join(hot.select(*names), names, "left_anti").join(values, names, "left")
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(weight) * HOT_KEYS > total).drop(weight))
+    cold = rows.join(hot.select(*names), names, "left_anti").join(table.drop(weight), names, "left")
     return rows.join(hot, names).unionByName(cold)

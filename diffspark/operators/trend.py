@@ -135,7 +135,8 @@ def partition_trends(
     A configuration (h1, h2) starts from the rows below the h1 quantile and above the
     1 - h2 quantile of the one-trend residuals; then lines are fitted and all rows moved
     to the closer line, ``rounds`` times. The best configuration has the largest gamma
-    log-likelihood kernel -sum(ln mu + s/mu). Every identifier is used in every
+    log-likelihood kernel -sum(ln mu + s/mu); one that has no line for a label has no score and ranks
+    last, and if none has two lines all rows are LOWER. Every identifier is used in every
     configuration; each round is one aggregation whose shuffle is two rows per
     configuration and task.
     """
@@ -177,12 +178,17 @@ def partition_trends(
         fitted.groupBy("config")
         .agg(F.sum(-(log_mu + F.exp(F.col("_y") - log_mu))).alias("score"))
         .join(small(lines), "config")
-        .join(small(grid.select("config", "h1", "h2")), "config")
-        .where(F.col("score").isNotNull() & F.col("b1_U").isNotNull() & F.col("b1_L").isNotNull())
+        .join(small(grid.select("config", "h1", "h2")), "config")        .withColumn("score", F.when(F.col("b1_U").isNotNull() & F.col("b1_L").isNotNull(), F.col("score")))
     )
     order = Window.orderBy(F.desc("score"), "h1", "h2")
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    best = scored.orderBy(F.desc("score"), "h1", "h2").select("b0_U", "b1_U", "b0_L", "b1_L").first()
-    named = base.drop("_r").withColumns({k: F.lit(best[k]) for k in ("b0_U", "b1_U", "b0_L", "b1_L")})
+    lines_of_best = ("b0_U", "b1_U", "b0_L", "b1_L")
+    best = scored.where("score is not null").orderBy(F.desc("score"), "h1", "h2").select(*lines_of_best).first()
+    if best is None:  # no configuration has two lines
+        return Partition(
+            ranked.select("h1", "h2", "score", "rank"),
+            base.select(*rows.columns).withColumn(label, F.lit(LOWER)),
+        )
+    named = base.drop("_r").withColumns({k: F.lit(best[k]) for k in lines_of_best})
     labelled = named.withColumn(label, _closer()).select(*rows.columns, label)
     return Partition(ranked.select("h1", "h2", "score", "rank"), labelled)

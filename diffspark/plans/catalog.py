@@ -56,10 +56,13 @@ def q_text_scan(spark, d):
     """Tab- and comma-separated text with NA tokens, written and read back by schema."""
     lines = views.table(spark, d, "lineitem").select("l_returnflag", "l_tax", "l_extendedprice")
     root = f"{stage_root(spark)}/diffspark/{uuid.uuid4().hex}"
-    tables.write_delimited(relational.zero_as_missing(lines, ["l_tax"]), f"{root}/tsv", sep="\t")
     schema_text = "l_returnflag string, l_tax double, l_extendedprice double"
-    read = tables.read_delimited(spark, f"{root}/tsv", schema_text, sep="\t")
-    return read.groupBy("l_returnflag").agg(
+    parts = []
+    for name, sep in (("tab", "\t"), ("comma", ",")):
+        tables.write_delimited(relational.zero_as_missing(lines, ["l_tax"]), f"{root}/{name}", sep=sep)
+        read = tables.read_delimited(spark, f"{root}/{name}", schema_text, sep=sep)
+        parts.append(read.withColumn("format", F.lit(name)))
+    return relational.union_all(parts).groupBy("format", "l_returnflag").agg(
         F.count(F.lit(1)).alias("n"),
         F.count("l_tax").alias("taxed"),
         F.round(F.sum("l_extendedprice"), 2).alias("total"),
@@ -97,6 +100,30 @@ def q_wide_ingest(spark, d):
     return rounded(tables.wide_to_long(samples), "y")
 
 
+@query
+def q_clean_headers(spark, d):
+    """Raw headers and what becomes of them, next to the sums of their columns."""
+    raw = ["Retail Price (USD)", "retail-price USD", "Size %", "2nd Size", "µm α", "Part#Key"]
+    sources = ["p_retailprice", "p_retailprice", "p_size", "p_size", "p_size", "p_partkey"]
+    wide = views.table(spark, d, "part").select(
+        *[F.col(c).cast("double").alias(n) for n, c in zip(raw, sources, strict=True)]
+    )
+    named = tables.clean_names(wide)
+    sums = named.agg(*[F.round(F.sum(c), 2).alias(c) for c in named.columns])
+    return relational.to_long(sums.withColumn("all", F.lit(1)), ["all"], named.columns, "header", "total").drop("all")
+
+
+@query
+def q_renamed_samples(spark, d):
+    """Sample columns renamed by a function of their names and counted anew, then picked by a
+    pattern."""
+    wide, _ = views.matrix(spark, d)
+    flags = {"A": "first", "N": "second", "R": "third"}
+    named = tables.rename_samples(wide, lambda old: flags[old.split("_")[0]], 3)
+    wanted = relational.columns_like(named, "^(first|third)_[12]$")
+    return rounded(tables.wide_to_long(named.select("identifier", *wanted), wanted), "y")
+
+
 # --- filters ------------------------------------------------------------------------
 
 
@@ -186,12 +213,18 @@ def q_regex_labels(spark, d):
 
 @query
 def q_pair_canonical(spark, d):
+    """Labels in both directions and spellings, of names whose numbers do not sort as text."""
+    names = ["ng50", "ng100", "fmol25", "fmol100"]
+    name = F.array(*[F.lit(n) for n in names])
+    key = F.col("o_orderkey")
+    left, right = (key % 4).cast("int"), ((key % 4 + 1 + F.col("o_custkey") % 3) % 4).cast("int")
+    sep = F.when(F.col("o_orderstatus") == "F", " Vs ").otherwise(" vs ")
     orders = views.table(spark, d, "orders").select(
         "o_orderkey",
-        F.concat_ws(" vs ", "o_orderstatus", F.substring("o_orderpriority", 3, 1)).alias("comparison"),
+        F.concat(F.get(name, left), sep, F.get(name, right)).alias("comparison"),
         F.col("o_totalprice").alias("lfc"),
     )
-    return labels.orient_results(orders)
+    return labels.orient_results(orders, schema.pairwise_contrasts(names[:3]))
 
 
 @query
@@ -244,7 +277,11 @@ def q_nest_unnest(spark, d):
 @query
 def q_join_methods(spark, d):
     s = views.scores(spark, d)
-    parts = {m: s.where((F.col("method") == m) & (F.col("lfc") > 100 * (i + 1))) for i, m in enumerate(METHODS)}
+    # a method has no score where the fold change is small
+    parts = {
+        m: s.where(F.col("method") == m).withColumn("score", F.when(F.col("lfc") > 100 * i, F.col("score")))
+        for i, m in enumerate(METHODS)
+    }
     return ensemble.join_method_tables(parts, METHODS[0])
 
 
@@ -258,7 +295,7 @@ def q_group_value(spark, d):
 def q_contrasts(spark, d):
     design = schema.design_table(views.measurements(spark, d))
     sizes = design.select(F.col("condition").alias("cond_a"), F.col("replicates").alias("n_a"))
-    pairs = schema.contrast_table(design).join(sizes, "cond_a")
+    pairs = schema.contrast_table(design, ["R", "A", "N", "X"]).join(sizes, "cond_a")
     return pairs.join(sizes.toDF("cond_b", "n_b"), "cond_b").select(
         "comparison", "cond_a", "cond_b", "n_a", "n_b"
     )
@@ -448,6 +485,21 @@ def q_spearman_weights(spark, d):
     return rounded(weights, "rho", "weight", digits=9)
 
 
+@query
+def q_weights_degenerate(spark, d):
+    """A method on one plateau and one that is all zero have no rank correlation and no weight."""
+    s = views.degenerate_scores(spark, d)
+    return rounded(ensemble.method_weights(ensemble.rank_correlation(s)), "rho", "weight", digits=9)
+
+
+@query
+def q_zero_floor_degenerate(spark, d):
+    """Zeros stay where a group has nothing else."""
+    return ensemble.floor_zeros(views.degenerate_scores(spark, d)).select(
+        "method", "identifier", "comparison", "score"
+    )
+
+
 @query
 def q_zero_floor(spark, d):
     return ensemble.floor_zeros(views.scores(spark, d)).select(
@@ -459,9 +511,8 @@ def q_zero_floor(spark, d):
 def q_ensemble(spark, d):
     s = views.scores(spark, d)
     weights = ensemble.method_weights(ensemble.rank_correlation(s))
-    floored = ensemble.floor_zeros(s).where(
-        "not (method = 'ttest' and lfc > 300) and not (method = 'shrunk' and lfc < -100)"
-    )
+    absent = F.expr("(method = 'ttest' and lfc > 300) or (method = 'shrunk' and lfc < -100)")
+    floored = ensemble.floor_zeros(s).withColumn("score", F.when(~absent, F.col("score")))
     combined = ensemble.ensemble(floored, weights, anchor="shrunk")
     return rounded(combined.withColumn("support", 1 - F.col("score")), "score", "support", digits=9)
 
@@ -583,7 +634,7 @@ def q_consensus_roc(spark, d):
     results = trend_results(spark, d)
     labelled = critical_rows(results).withColumn("truth", labels.truth_flag(TRUTH))
     thresholds = consensus.consensus_thresholds(results, COMPARISONS[0])
-    cells = consensus.consensus_roc(labelled, thresholds, COMPARISONS, limit=500)
+    cells = consensus.consensus_roc(labelled, thresholds, COMPARISONS)
     return rounded(cells.select("comparison", "alpha", *CELLS), "alpha")
 
 

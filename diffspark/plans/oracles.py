@@ -35,7 +35,9 @@ def sql(needs: str, body: str) -> str:
 def _measurements(value: str) -> str:
     return f"""
     SELECT CAST(l_partkey AS VARCHAR) || ':' || p_brand AS identifier,
-           l_returnflag AS condition, l_orderkey * 8 + l_linenumber AS replicate,
+           l_returnflag AS condition,
+           row_number() OVER (PARTITION BY l_partkey, l_returnflag
+             ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_discount) AS replicate,
            {value} AS y, regexp_matches(p_brand, '^Brand#[123]$') AS truth
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
@@ -189,16 +191,37 @@ _oracle("q_unpivot", "s", "SELECT identifier, comparison, method, score FROM s")
 _oracle(
     "q_join_methods",
     "s",
-    """SELECT a.identifier, a.comparison, a.score AS shrunk, t.score AS ttest, p.score AS posterior
-    FROM (SELECT * FROM s WHERE method = 'shrunk' AND lfc > 100) a
-    LEFT JOIN (SELECT * FROM s WHERE method = 'ttest' AND lfc > 200) t USING (identifier, comparison)
-    LEFT JOIN (SELECT * FROM s WHERE method = 'posterior' AND lfc > 300) p USING (identifier, comparison)""",
+    """SELECT a.identifier, a.comparison, CASE WHEN a.lfc > 0 THEN a.score END AS shrunk,
+    CASE WHEN t.lfc > 100 THEN t.score END AS ttest, CASE WHEN p.lfc > 200 THEN p.score END AS posterior
+    FROM (SELECT * FROM s WHERE method = 'shrunk') a
+    LEFT JOIN (SELECT * FROM s WHERE method = 'ttest') t USING (identifier, comparison)
+    LEFT JOIN (SELECT * FROM s WHERE method = 'posterior') p USING (identifier, comparison)""",
+)
+_oracle(
+    "q_clean_headers",
+    "",
+    """SELECT header, CASE p WHEN 'price' THEN price WHEN 'size' THEN size ELSE key END AS total
+    FROM (SELECT round(sum(p_retailprice), 2) AS price, round(sum(p_size), 2) AS size,
+      round(CAST(sum(p_partkey) AS DOUBLE), 2) AS key FROM part),
+      (VALUES ('retail_price_usd', 'price'), ('retail_price_usd_2', 'price'), ('size_percent', 'size'),
+        ('x2nd_size', 'size'), ('um_a', 'size'), ('part_number_key', 'key')) v(header, p)""",
+)
+_oracle(
+    "q_renamed_samples",
+    "lin",
+    """SELECT i.identifier, cond AS condition, CAST(v.r AS BIGINT) AS replicate, round(avg(y), 6) AS y
+    FROM (SELECT DISTINCT identifier FROM lin) i
+    CROSS JOIN (VALUES ('A', 'first'), ('R', 'third')) c(flag, cond) CROSS JOIN (VALUES (1), (2)) v(r)
+    LEFT JOIN (SELECT *, (replicate - 1) % 3 + 1 AS r FROM lin) l
+      ON l.identifier = i.identifier AND l.condition = flag AND l.r = v.r
+    GROUP BY i.identifier, cond, v.r""",
 )
 _oracle(
     "q_text_scan",
     "",
-    """SELECT l_returnflag, count(*) AS n, count(nullif(l_tax, 0)) AS taxed,
-    round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_returnflag""",
+    """SELECT format, l_returnflag, count(*) AS n, count(nullif(l_tax, 0)) AS taxed,
+    round(sum(l_extendedprice), 2) AS total FROM lineitem, (VALUES ('tab'), ('comma')) f(format)
+    GROUP BY format, l_returnflag""",
 )
 _oracle(
     "q_stage_reload",
@@ -242,9 +265,11 @@ _oracle(
 _oracle(
     "q_pair_canonical",
     "",
-    """SELECT o_orderkey, least(o_orderstatus, s) || ' vs ' || greatest(o_orderstatus, s) AS comparison,
-    CASE WHEN o_orderstatus <= s THEN o_totalprice ELSE -o_totalprice END AS lfc
-    FROM (SELECT *, substr(o_orderpriority, 3, 1) AS s FROM orders)""",
+    """SELECT o_orderkey, CASE WHEN turned THEN n[r + 1] || ' vs ' || n[l + 1] ELSE n[l + 1] || ' vs ' || n[r + 1] END
+      AS comparison, CASE WHEN turned THEN -o_totalprice ELSE o_totalprice END AS lfc
+    FROM (SELECT *, r < l AND l < 3 AS turned FROM (
+      SELECT *, o_orderkey % 4 AS l, (o_orderkey % 4 + 1 + o_custkey % 3) % 4 AS r,
+        ['ng50', 'ng100', 'fmol25', 'fmol100'] AS n FROM orders))""",
 )
 _oracle(
     "q_order_dimension",
@@ -280,7 +305,7 @@ _oracle(
     x.r AS n_a, y.r AS n_b
     FROM (SELECT condition, count(DISTINCT replicate) AS r FROM m GROUP BY condition) x,
          (SELECT condition, count(DISTINCT replicate) AS r FROM m GROUP BY condition) y
-    WHERE x.condition < y.condition""",
+    WHERE strpos('RAN', x.condition) < strpos('RAN', y.condition)""",
 )
 _oracle(
     "q_design_matrix",
@@ -545,6 +570,30 @@ _view(
       GROUP BY method, comparison))
     WINDOW w AS (PARTITION BY comparison)""",
 )
+_view(
+    "ds",
+    "s",
+    """SELECT * EXCLUDE (score), CASE WHEN method = 'shrunk' AND comparison = '1-URGENT' THEN 1.0
+      WHEN method = 'ttest' AND comparison = '2-HIGH' THEN 0.0 ELSE score END AS score FROM s""",
+)
+_oracle(
+    "q_weights_degenerate",
+    "ds",
+    f"""SELECT method, comparison, round(rho, 9) AS rho, round(CASE WHEN sum(u) OVER w > 0 THEN u / sum(u) OVER w
+      ELSE 1.0 / count(*) OVER w END, 9) AS weight
+    FROM (SELECT *, greatest(-coalesce(rho, 0), 0) AS u FROM (
+      SELECT method, comparison, CASE WHEN min(rs) < max(rs) AND min(rf) < max(rf) THEN corr(rs, rf) END AS rho FROM (
+        SELECT method, comparison, {average_rank('abs(score)', MC)} AS rs, {average_rank('abs(lfc)', MC)} AS rf FROM ds)
+      GROUP BY method, comparison))
+    WINDOW w AS (PARTITION BY comparison)""",
+)
+_oracle(
+    "q_zero_floor_degenerate",
+    "ds",
+    """SELECT method, identifier, comparison, CASE WHEN score = 0 THEN coalesce(low, 0) ELSE score END AS score
+    FROM ds JOIN (SELECT method, comparison, min(score) FILTER (score <> 0) AS low FROM ds
+      GROUP BY method, comparison) USING (method, comparison)""",
+)
 _oracle("q_spearman_weights", "weights", f"SELECT {MC}, {show('rho weight')} FROM weights")
 _view(
     "floored",
@@ -557,16 +606,17 @@ _oracle("q_zero_floor", "floored", "SELECT method, identifier, comparison, score
 _view(
     "partial",
     "floored",
-    "SELECT * FROM floored WHERE NOT (method = 'ttest' AND lfc > 300) AND NOT (method = 'shrunk' AND lfc < -100)",
+    """SELECT * EXCLUDE (score), CASE WHEN NOT (method = 'ttest' AND lfc > 300)
+      AND NOT (method = 'shrunk' AND lfc < -100) THEN score END AS score FROM floored""",
 )
 _oracle(
     "q_ensemble",
     "partial weights",
     """SELECT identifier, comparison, round(1 / (1 + exp(-l)), 9) AS score,
       round(1 - 1 / (1 + exp(-l)), 9) AS support FROM (
-      SELECT identifier, comparison, sum(weight * ln(p / (1 - p))) / nullif(sum(weight), 0) AS l,
+      SELECT identifier, comparison, sum(weight * ln(p / (1 - p))) / nullif(sum(weight) FILTER (score IS NOT NULL), 0) AS l,
         bool_or(method = 'shrunk') AS anchored
-      FROM (SELECT *, least(greatest(score, 1e-12), 1 - 1e-12) AS p FROM partial)
+      FROM (SELECT *, CASE WHEN score IS NOT NULL THEN least(greatest(score, 1e-12), 1 - 1e-12) END AS p FROM partial)
       JOIN weights USING (method, comparison) GROUP BY identifier, comparison) WHERE anchored""",
 )
 
@@ -813,19 +863,13 @@ _view(
 _oracle(
     "q_min_alpha", "minalpha", "SELECT identifier, comparison, round(min_alpha, 6) AS min_alpha FROM minalpha"
 )
-_view(
-    "thinned",
-    "thresholds",
-    """SELECT alpha FROM (SELECT alpha, row_number() OVER (ORDER BY alpha) AS i, count(*) OVER () AS n FROM thresholds)
-    WHERE n <= 500 OR i IN (SELECT 1 + (k * ((SELECT count(*) FROM thresholds) - 1)) // 499 FROM range(500) r(k))""",
-)
 _oracle(
     "q_consensus_roc",
-    "crit thinned",
+    "crit thresholds",
     """SELECT c.comparison, round(alpha, 6) AS alpha,
       count(*) FILTER (truth AND critical < alpha) AS "TP", count(*) FILTER (NOT truth AND critical >= alpha) AS "TN",
       count(*) FILTER (NOT truth AND critical < alpha) AS "FP", count(*) FILTER (truth AND critical >= alpha) AS "FN"
-    FROM crit c, thinned GROUP BY c.comparison, alpha""",
+    FROM crit c, thresholds GROUP BY c.comparison, alpha""",
 )
 _view("ms", "minalpha", "SELECT identifier, comparison, round(min_alpha, 6) AS score, truth FROM minalpha")
 _view("c_ms", "ms", confusion("ms", "comparison", "strict", STRICT_EXTRA))

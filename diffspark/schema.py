@@ -8,27 +8,6 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MEASUREMENT = T.StructType(
-    [
-        T.StructField("identifier", T.StringType()),
-        T.StructField("condition", T.StringType()),
-        T.StructField("replicate", T.LongType()),
-        T.StructField("y", T.DoubleType()),
-    ]
-)
-
-RESULT = T.StructType(
-    [
-        T.StructField("method", T.StringType()),
-        T.StructField("identifier", T.StringType()),
-        T.StructField("comparison", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField("lfc", T.DoubleType()),
-    ]
-)
-
 
 class Contrast(NamedTuple):
     """One comparison: mean of ``cond_a`` minus mean of ``cond_b``."""
@@ -77,20 +56,21 @@ def design_table(df: DataFrame, sample: str = "replicate") -> DataFrame:
     return df.groupBy("condition").agg(F.count_distinct(sample).alias("replicates"))
 
 
-def contrast_table(design: DataFrame) -> DataFrame:
-    """Every pair of conditions of a design, earlier name first.
+def contrast_table(design: DataFrame, levels: Sequence[str]) -> DataFrame:
+    """Every pair of conditions of a design, in the order of ``levels``.
 
-    The design has one row per condition, so the sorted list of names is as long as the
-    design is wide.
+    ``levels`` names the conditions in the order of the experiment, as names with numbers do
+    not sort by themselves. Pairs are made from that list and kept where the design has
+    both conditions.
     """
-    names = design.agg(F.array_sort(F.collect_set("condition")).alias("names"))
-    first = names.select("names", F.posexplode("names").alias("i", "cond_a"))
-    return first.select(
-        "cond_a",
-        F.explode(F.slice("names", F.col("i") + 2, F.greatest(F.size("names"), F.lit(1)))).alias(
-            "cond_b"
-        ),
-    ).select(F.concat_ws(" vs ", "cond_a", "cond_b").alias("comparison"), "cond_a", "cond_b")
+    pairs = design.sparkSession.createDataFrame(
+        [(c.comparison, *c) for c in pairwise_contrasts(levels)],
+        "comparison string, cond_a string, cond_b string",
+    )
+    for side in ("cond_a", "cond_b"):
+        found = design.select(F.col("condition").alias(side)).distinct()
+        pairs = pairs.join(found, side, "left_semi")
+    return pairs.select("comparison", "cond_a", "cond_b")
 
 
 def design_matrix(df: DataFrame, conditions: Sequence[str], sample: str = "replicate") -> DataFrame:
