@@ -55,6 +55,18 @@ def orient_results(
     )
 
 
+def relabel_comparisons(
+    df: DataFrame, contrasts: Sequence[Contrast], names: dict[str, str]
+) -> DataFrame:
+    """Comparisons under the reported names of their conditions, with ``position``, their place
+    in the list of contrasts. Other comparisons stay as they are, without a position."""
+    known, label = F.array(*[F.lit(c.comparison) for c in contrasts]), F.col("comparison")
+    new = [Contrast(names.get(c.cond_a, c.cond_a), names.get(c.cond_b, c.cond_b)) for c in contrasts]
+    place = F.nullif(F.array_position(known, label), F.lit(0))
+    text = F.get(F.array(*[F.lit(c.comparison) for c in new]), (place - 1).cast("int"))
+    return df.withColumns({"position": place, "comparison": F.coalesce(text, label)})
+
+
 def unify_methods(column: Column, prefix: str, renames: dict[str, str]) -> Column:
     """Drops the imputation prefix and applies the renames in order."""
     return replace_all(remove(column, prefix), renames)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,7 @@ from diffspark.operators import (
 from diffspark.plans import study, views
 from diffspark.plans.views import COMPARISONS, CONTRASTS, METHODS, TRUTH
 from diffspark.sources import tables
-from diffspark.stage import materialise, stage_root
+from diffspark.stage import materialise, new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,7 +54,7 @@ def profile(spark: SparkSession, d: str, missing: str | None = None) -> DataFram
 def q_text_scan(spark, d):
     """Tab- and comma-separated text with NA tokens, written and read back by schema."""
     lines = views.table(spark, d, "lineitem").select("l_returnflag", "l_tax", "l_extendedprice")
-    root = f"{stage_root(spark)}/diffspark/{uuid.uuid4().hex}"
+    root = new_path(spark)
     schema_text = "l_returnflag string, l_tax double, l_extendedprice double"
     parts = []
     for name, sep in (("tab", "\t"), ("comma", ",")):
@@ -72,9 +71,9 @@ def q_text_scan(spark, d):
 @query
 def q_stage_reload(spark, d):
     """Result tables saved per dataset and loaded together, tagged by their folder."""
-    root = f"{stage_root(spark)}/diffspark/{uuid.uuid4().hex}"
+    root, scores = new_path(spark), new_path(spark)
     for _ in range(2):  # the second write finds the table and leaves it
-        s = tables.write_once(views.scores(spark, d), f"{root}-scores")
+        s = tables.write_once(views.scores(spark, d), scores)
     s = s.withColumn("dataset", F.col("method"))
     tables.save_result(s.where("method <> 'ttest'"), root)
     tables.save_result(s.where("method = 'ttest'"), root)
@@ -529,16 +528,16 @@ class Missing:
         self.rows = materialise(views.measurements(spark, d, "light"))
         self.cells = materialise(moments.cell_moments(self.rows))
         stats = moments.row_stats(moments.profiles(self.cells.where("n > 0")))
-        self.trend = trend.fit_log_trend(stats, "sd_p")
+        self.trend = trend.fit_gamma_trend(materialise(stats), "sd_p")
         self.low = impute.low_tail(self.cells)
 
     def draws(self, m: int) -> DataFrame:
         return impute.imputation_draws(self.rows, self.cells, self.trend, self.low, m)
 
-    def profiles(self, m: int, weighted: bool = False) -> DataFrame:
+    def profiles(self, m: int, weighted: bool = False, expand: bool = True) -> DataFrame:
         weight = self.trend.precision_weight(F.col("y")) if weighted else None
         observed = moments.direct_profiles(self.rows, views.CONDITIONS, weight=weight)
-        return impute.imputed_profiles(observed, self.draws(m), m, weight)
+        return impute.imputed_profiles(observed, self.draws(m), m, weight, expand)
 
 
 @query
@@ -567,9 +566,9 @@ def q_imputed_cells(spark, d):
 
 
 def moderated_results(spark, d, weighted=False, **options) -> DataFrame:
-    p = Missing(spark, d).profiles(IMPUTATIONS, weighted)
+    p = Missing(spark, d).profiles(IMPUTATIONS, weighted, expand=False)
     rows = materialise(moderated.residual_variance(p, weighted))
-    return moderated.moderated_t(rows, CONTRASTS, weighted=weighted, **options)
+    return moderated.moderated_t(rows, CONTRASTS, weighted=weighted, m=IMPUTATIONS, **options)
 
 
 def shown(tests: DataFrame) -> DataFrame:
@@ -596,10 +595,18 @@ def q_moderated_robust(spark, d):
     return shown(moderated_results(spark, d, trend=True, robust=True))
 
 
+@query
+def q_moderated_full(spark, d):
+    """Weighted, trended and robust: the combination that studies run."""
+    return shown(moderated_results(spark, d, weighted=True, trend=True, robust=True))
+
+
 @query
 def q_variance_prior(spark, d):
-    rows = materialise(moderated.residual_variance(Missing(spark, d).profiles(IMPUTATIONS)))
-    prior = moderated.variance_prior(rows, ["imputation"], trend=True, robust=True)
+    rows = materialise(
+        moderated.residual_variance(Missing(spark, d).profiles(IMPUTATIONS, expand=False))
+    )
+    prior = moderated.variance_prior(rows, ["imputation"], trend=True, robust=True, m=IMPUTATIONS)
     return rounded(rounded(prior.drop("centre"), "b0", "b1", "b2"), "d0", digits=4)
 
 
@@ -622,6 +629,21 @@ def q_consensus(spark, d):
     return rounded(rounded(summary, "median_p_val", "median_lfc"), "binom_p_value", digits=9)
 
 
+@query
+def q_consensus_methods(spark, d):
+    """Two methods in one pass, keyed by method, with their critical thresholds."""
+    full = moderated_results(spark, d, weighted=True, trend=True, robust=True)
+    named = {"trend": moderated_results(spark, d, trend=True), "full": full}
+    both = materialise(
+        relational.union_all([t.withColumn("method", F.lit(n)) for n, t in named.items()])
+    )
+    adjusted = consensus.adjust_within_imputation(both, ["method"])
+    table = consensus.consensus_table(adjusted, IMPUTATIONS, by=["method"])
+    return rounded(
+        rounded(table, "median_p_val", "median_lfc", "critical"), "binom_p_value", digits=9
+    )
+
+
 @query
 def q_min_alpha(spark, d):
     results = trend_results(spark, d)

@@ -642,12 +642,39 @@ def trigamma(x: str) -> str:
     return f"(1.0 / {z} + {r} / 2 + {r} / {z} * ({TRIGAMMA.replace('r*', r + '*')}) + {head})"
 
 
-_view(
-    "logtrend",
-    "stats_mv",
-    """SELECT regr_intercept(ln(sd_p), mean) AS b0, regr_slope(ln(sd_p), mean) AS b1
-    FROM stats_mv WHERE sd_p > 0""",
-)
+STEPS = 40
+
+
+def gamma_steps(terms: str, rows: str = "glmrows") -> str:
+    """Reweighted least squares; with a log link all weights are 1.
+
+    State b0, b1 and the shifts d0, d1 of rows with c; one row per step.
+    """
+    eta = "(b0 + b1 * x + CASE WHEN c THEN d0 + d1 * x ELSE 0 END)"
+    z = f"({eta} + (s - exp({eta})) / exp({eta}))"
+    if terms == "mean":
+        new = "regr_intercept(z, x), regr_slope(z, x), 0.0, 0.0"
+    elif terms == "mean+c":
+        slope = "((regr_sxy(z, x) FILTER (c) + regr_sxy(z, x) FILTER (NOT c)) / (regr_sxx(z, x) FILTER (c) + regr_sxx(z, x) FILTER (NOT c)))"
+        low = f"(avg(z) FILTER (NOT c) - {slope} * avg(x) FILTER (NOT c))"
+        new = f"{low}, {slope}, avg(z) FILTER (c) - {slope} * avg(x) FILTER (c) - {low}, 0.0"
+    else:
+        a, b = "regr_intercept(z, x)", "regr_slope(z, x)"
+        new = f"{a} FILTER (NOT c), {b} FILTER (NOT c), {a} FILTER (c) - {a} FILTER (NOT c), {b} FILTER (c) - {b} FILTER (NOT c)"
+    k = {"mean": 2, "mean+c": 3, "mean*c": 4}[terms]
+    return f"""
+    WITH RECURSIVE it(step, b0, b1, d0, d1) AS (
+      SELECT 0, ln(avg(s)), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM {rows}
+      UNION ALL
+      SELECT step + 1, {new} FROM (SELECT step, x, c, {z} AS z FROM it, {rows} WHERE step < {STEPS})
+      GROUP BY step)
+    SELECT '{terms}' AS terms, b0, b1, d0, d1,
+      sum(power((s - exp({eta})) / exp({eta}), 2)) / (count(*) - {k}) AS dispersion
+    FROM it, {rows} WHERE step = {STEPS} GROUP BY b0, b1, d0, d1"""
+
+
+_view("spreadrows", "stats_mv", "SELECT mean AS x, sd_p AS s, false AS c FROM stats_mv WHERE sd_p > 0")
+_view("spreadtrend", "spreadrows", gamma_steps("mean", "spreadrows"))
 _view("low", "cells_mv", "SELECT quantile_cont(mean, 0.01) AS low FROM cells_mv WHERE mean IS NOT NULL")
 
 
@@ -664,12 +691,12 @@ def draws(m: int) -> str:
     FROM (SELECT i.imputation, v.identifier, v.condition, v.replicate, coalesce(c.mean, low) AS centre
           FROM mv v LEFT JOIN cells_mv c ON c.identifier = v.identifier AND c.condition = v.condition,
                low, range({m}) i(imputation)
-          WHERE v.y IS NULL), logtrend"""
+          WHERE v.y IS NULL), spreadtrend"""
 
 
 IMPUTATIONS = 20
-_view("draws1", "mv cells_mv logtrend low", draws(1))
-_view("draws", "mv cells_mv logtrend low", draws(IMPUTATIONS))
+_view("draws1", "mv cells_mv spreadtrend low", draws(1))
+_view("draws", "mv cells_mv spreadtrend low", draws(IMPUTATIONS))
 _oracle(
     "q_impute_single",
     "draws1",
@@ -684,13 +711,13 @@ _oracle(
 WEIGHT = "exp(-2 * (b0 + b1 * y))"
 _view(
     "icells",
-    "draws logtrend",
+    "draws spreadtrend",
     f"""SELECT imputation, identifier, condition, count(*) AS n, avg(y) AS mean, var_pop(y) * count(*) AS ss,
       sum({WEIGHT}) AS w, sum({WEIGHT} * y) / sum({WEIGHT}) AS wmean,
       CASE WHEN count(*) > 1 THEN greatest(0.0, sum({WEIGHT} * y * y) - sum({WEIGHT} * y) ** 2 / sum({WEIGHT})) ELSE 0 END AS wss
     FROM (SELECT imputation, identifier, condition, y FROM draws
           UNION ALL SELECT imputation, identifier, condition, y FROM mv, range({IMPUTATIONS}) r(imputation)
-          WHERE y IS NOT NULL), logtrend
+          WHERE y IS NOT NULL), spreadtrend
     GROUP BY imputation, identifier, condition""",
 )
 _oracle(
@@ -799,8 +826,9 @@ moderated_views("plain", False, False, False)
 moderated_views("trend", False, True, False)
 moderated_views("weighted", True, False, False)
 moderated_views("robust", False, True, True)
+moderated_views("full", True, True, True)
 
-for _tag in ("plain", "trend", "weighted", "robust"):
+for _tag in ("plain", "trend", "weighted", "robust", "full"):
     _oracle(
         f"q_moderated_{_tag}",
         f"mod_{_tag}",
@@ -843,6 +871,27 @@ _oracle(
         SELECT identifier, comparison, count(*) FILTER (q_val < 0.05) AS hits, median(q_val) AS mp, median(lfc) AS ml
         FROM adj GROUP BY identifier, comparison) JOIN tail USING (hits)""",
 )
+_view(
+    "mod_both",
+    "mod_trend mod_full",
+    """SELECT 'trend' AS method, imputation, identifier, comparison, p, lfc, ord FROM mod_trend
+    UNION ALL SELECT 'full', imputation, identifier, comparison, p, lfc, ord FROM mod_full""",
+)
+_view(
+    "adj_both",
+    "mod_both",
+    bh("mod_both", "method, imputation, comparison", "p", "method, imputation, identifier, comparison, p, lfc, ord"),
+)
+_oracle(
+    "q_consensus_methods",
+    "adj_both tail",
+    f"""SELECT method, identifier, comparison, hits, round(tail.p, 9) AS binom_p_value, round(mp, 6) AS median_p_val,
+      round(ml, 6) AS median_lfc, round(critical, 6) AS critical FROM (
+        SELECT method, identifier, comparison, count(*) FILTER (q_val < 0.05) AS hits, median(q_val) AS mp,
+          median(lfc) AS ml, max(CASE WHEN k = {NEED} THEN q_val END) AS critical
+        FROM (SELECT *, row_number() OVER (PARTITION BY method, identifier, comparison ORDER BY q_val) AS k FROM adj_both)
+        GROUP BY method, identifier, comparison) JOIN tail USING (hits)""",
+)
 _view(
     "crit",
     "adj",
@@ -887,37 +936,6 @@ _view(
     """SELECT identifier, mean AS x, sd AS s, regexp_matches(identifier, ':Brand#[123]$') AS c
     FROM stats_m WHERE sd > 0""",
 )
-STEPS = 40
-
-
-def gamma_steps(terms: str) -> str:
-    """Reweighted least squares; with a log link all weights are 1.
-
-    State b0, b1 and the shifts d0, d1 of rows with c; one row per step.
-    """
-    eta = "(b0 + b1 * x + CASE WHEN c THEN d0 + d1 * x ELSE 0 END)"
-    z = f"({eta} + (s - exp({eta})) / exp({eta}))"
-    if terms == "mean":
-        new = "regr_intercept(z, x), regr_slope(z, x), 0.0, 0.0"
-    elif terms == "mean+c":
-        slope = "((regr_sxy(z, x) FILTER (c) + regr_sxy(z, x) FILTER (NOT c)) / (regr_sxx(z, x) FILTER (c) + regr_sxx(z, x) FILTER (NOT c)))"
-        low = f"(avg(z) FILTER (NOT c) - {slope} * avg(x) FILTER (NOT c))"
-        new = f"{low}, {slope}, avg(z) FILTER (c) - {slope} * avg(x) FILTER (c) - {low}, 0.0"
-    else:
-        a, b = "regr_intercept(z, x)", "regr_slope(z, x)"
-        new = f"{a} FILTER (NOT c), {b} FILTER (NOT c), {a} FILTER (c) - {a} FILTER (NOT c), {b} FILTER (c) - {b} FILTER (NOT c)"
-    k = {"mean": 2, "mean+c": 3, "mean*c": 4}[terms]
-    return f"""
-    WITH RECURSIVE it(step, b0, b1, d0, d1) AS (
-      SELECT 0, ln(avg(s)), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM glmrows
-      UNION ALL
-      SELECT step + 1, {new} FROM (SELECT step, x, c, {z} AS z FROM it, glmrows WHERE step < {STEPS})
-      GROUP BY step)
-    SELECT '{terms}' AS terms, b0, b1, d0, d1,
-      sum(power((s - exp({eta})) / exp({eta}), 2)) / (count(*) - {k}) AS dispersion
-    FROM it, glmrows WHERE step = {STEPS} GROUP BY b0, b1, d0, d1"""
-
-
 for _tag, _terms in (("one", "mean"), ("two", "mean+c"), ("four", "mean*c")):
     _view(f"gamma_{_tag}", "glmrows", gamma_steps(_terms))
 _oracle(

@@ -5,16 +5,24 @@ everything upstream), fixes values that must not change between two uses (range
 bucket ids), and gives the optimizer the real size of the table, so that the
 automatic broadcast threshold acts on measured bytes and larger tables fall back to a
 shuffle join.
+
+The folder must be one that driver and executors share; only in local mode, where they are
+one process, a private one serves. Stage tables stay until :func:`stage_scope` or the owner of
+the folder removes them.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_ROOTS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -24,7 +32,7 @@ def stage_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return shared
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     app = context.applicationId
     if app not in _OWN_ROOTS:
@@ -32,9 +40,30 @@ def stage_root(spark: SparkSession) -> str:
     return _OWN_ROOTS[app]
 
 
+def new_path(spark: SparkSession) -> str:
+    """Path for a new stage table; the innermost open scope removes what is put there."""
+    path = f"{stage_root(spark)}/diffspark/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as a stage table and return a scan of it."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/diffspark/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stage_scope(spark: SparkSession) -> Iterator[None]:
+    """Stage tables made inside are removed at the end: use a result before that."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from diffspark.operators import impute, moments, ordered
+from diffspark.operators import impute, moments
 from diffspark.operators.trend import Trend
 
 TREND = Trend(0.3, -0.05)
@@ -99,10 +99,8 @@ def test_merged_profiles_equal_direct_moments(gaps, parts, weighted):
         assert np.allclose(got.wss, filled.groupby(key).d.sum().sort_index(), atol=1e-9)
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_hot_condition_keeps_every_draw(spark, monkeypatch, small):
+def test_hot_condition_keeps_every_draw(spark):
     """One condition holds most gaps and is matched by broadcast; nothing is lost."""
-    monkeypatch.setattr(ordered, "SMALL_TABLE", small)
     rows = spark.range(2000).selectExpr(
         "if(id % 3 > 0, 'hot', concat('i', id)) as identifier",
         "'A' as condition",
@@ -131,3 +129,19 @@ def test_direct_profiles_equal_folded_cells(gaps, weighted):
     a, b = flat(direct), flat(folded)
     assert list(a.columns) == list(b.columns) and (a.index == b.index).all()
     assert np.allclose(a, b, atol=1e-9)
+
+
+def test_one_row_for_profiles_without_gaps(gaps):
+    """Unexpanded profiles are the expanded ones, with gap-free identifiers once."""
+    cells = moments.cell_moments(gaps)
+    draws = impute.imputation_draws(gaps, cells, TREND, 1.0, 7)
+    observed = moments.direct_profiles(gaps, ["A", "B"])
+    full = impute.imputed_profiles(observed, draws, 7)
+    short = impute.imputed_profiles(observed, draws, 7, expand=False)
+    whole = {r.identifier for r in gaps.groupBy("identifier").agg(F.count_if("y is null").alias("n")).where("n = 0").collect()}
+    assert {r.identifier for r in short.where("imputation is null").collect()} == whole
+
+    def flat(p):
+        return sorted(map(tuple, p.select("identifier", "imputation", F.sort_array(F.map_entries("cells"))).collect()))
+
+    assert flat(impute.every_imputation(short, 7)) == flat(full)

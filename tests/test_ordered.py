@@ -93,9 +93,10 @@ def test_trapezoid_edges(spark):
     assert got == {"one": 0.0, "none": None}
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_lookup_splits_hot_keys(data, monkeypatch, small):
-    monkeypatch.setattr(ordered, "SMALL_TABLE", small)
+@pytest.mark.parametrize("hot", [2, 64, 10**9])
+def test_lookup_splits_hot_keys(data, monkeypatch, hot):
+    """With no, some and only hot keys."""
+    monkeypatch.setattr(ordered, "HOT_KEYS", hot)
     pdf, df = data
     table = df.groupBy("v").agg(F.count("id").alias("n"), F.max("id").alias("top"))
     got = ordered.lookup(df, table, ["v"], "n").toPandas()

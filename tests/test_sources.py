@@ -71,15 +71,19 @@ def test_contrasts(spark):
     assert [c.comparison for c in schema.pairwise_contrasts(["x", "y", "z"])] == ["x vs y", "x vs z", "y vs z"]
     assert schema.parse_contrast("ng50-ng100").comparison == "ng50 vs ng100"
     design = spark.createDataFrame([("c",), ("a",), ("b",)], "condition string")
-    got = sorted(r.comparison for r in schema.contrast_table(design).collect())
-    assert got == ["a vs b", "a vs c", "b vs c"]
-    assert schema.contrast_table(design.limit(1)).count() == 0
+    got = sorted(r.comparison for r in schema.contrast_table(design, ["b", "a", "x", "c"]).collect())
+    assert got == ["a vs c", "b vs a", "b vs c"]
+    assert schema.contrast_table(design.limit(1), ["c", "a"]).count() == 0
 
 
 def test_labels(spark):
+    pairs = schema.pairwise_contrasts(["ng50", "ng100"])
+    rows = [("ng100 Vs ng50", 2.0), ("ng50 vs ng100", 1.0), ("x vs y", 3.0)]
+    turned = labels.orient_results(spark.createDataFrame(rows, "comparison string, lfc double"), pairs)
+    assert [tuple(r) for r in turned.collect()] == [("ng50 vs ng100", -2.0), ("ng50 vs ng100", 1.0), ("x vs y", 3.0)]
+    named = labels.relabel_comparisons(turned, pairs, {"ng50": "50", "ng100": "100"}).collect()
+    assert [(r.comparison, r.position) for r in named] == [("50 vs 100", 1), ("50 vs 100", 1), ("x vs y", None)]
     df = spark.createDataFrame([("B vs A", 2.0), ("A vs B", 1.0)], "comparison string, lfc double")
-    got = labels.orient_results(df).collect()
-    assert [(r.comparison, r.lfc) for r in got] == [("A vs B", -2.0), ("A vs B", 1.0)]
     row = df.select(
         labels.replace_first(F.lit("aXbXc"), "X", "-").alias("one"),
         labels.replace_all(F.lit("Mix-Gamma"), {"Mix": "GCR", "Gamma": "GR"}).alias("all"),

@@ -85,3 +85,15 @@ def test_keyed_draws(spark):
     assert abs(pdf.z.mean()) < 0.03 and abs(pdf.z.std() - 1) < 0.03
     again = df.repartition(7).toPandas()
     assert np.allclose(np.sort(again.z), np.sort(pdf.z), rtol=0, atol=0)
+
+
+def test_array_tail_agrees_with_math():
+    x = np.concatenate([np.linspace(0, 6, 601), [10.0, 20.0, 27.0]])
+    want = np.array([math.erfc(v) for v in x])
+    assert np.allclose(special._erfc(x), want, rtol=1e-12, atol=0)
+
+
+def test_fraction_steps_until_it_settles():
+    n = 1e7  # symmetric: one half, plus half the probability of the middle
+    got = float(special.beta_inc(n, n + 1, 0.5, 0.5))
+    assert got == pytest.approx(0.5 + 0.5 / math.sqrt(math.pi * n), rel=1e-7)

@@ -56,7 +56,9 @@ def test_survivor_evidence_and_two_stage_partition(rows):
         imputations=6,
         grid=(2, 2),
         consensus_evidence="survivors",
-        two_stage_partition=True,
+        gaps_grid=(2, 2),
+        gaps_two_stage=True,
+        weight_spread="sd_p",
         weight_terms="mean*c",
         mode="inclusive",
         pn_scope="global",
@@ -64,10 +66,21 @@ def test_survivor_evidence_and_two_stage_partition(rows):
         robust=False,
     )
     other = study.run_study(rows, options)
-    assert set(other.partition.columns) >= {"c", "c_p"}
+    assert "c_p" not in other.partition.columns
+    assert set(other.weight_partition.columns) >= {"c", "c_p"}
     assert {r.method for r in other.areas.collect()} == set(study.METHOD_ORDER)
 
 
+def test_preset_settings():
+    """Which data the labels of the weights come from, and what is reported."""
+    human, ramus, ups, yeast = (study.preset(d) for d in ("human", "ramus", "ups", "yeast"))
+    assert [p.gaps_grid for p in (human, ramus, ups, yeast)] == [(25, 25), None, (30, 30), (25, 25)]
+    assert [p.gaps_two_stage for p in (human, ramus, ups, yeast)] == [False, False, True, False]
+    assert [p.weight_spread for p in (human, ramus, ups, yeast)] == ["sd", "sd", "sd_p", "sd"]
+    assert human.ensemble_methods == () and ramus.relabel == study.RAMUS_AMOUNTS
+    assert all(p.threshold_limit is None for p in (human, ramus, ups, yeast))
+
+
 def test_presets():
     assert [len(study.preset(d).contrasts) for d in ("human", "ramus", "ups", "yeast")] == [3, 36, 3, 1]
     assert study.preset("yeast", imputations=20).imputations == 20
