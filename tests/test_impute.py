@@ -138,7 +138,7 @@ def test_one_row_for_profiles_without_gaps(gaps):
     observed = moments.direct_profiles(gaps, ["A", "B"])
     full = impute.imputed_profiles(observed, draws, 7)
     short = impute.imputed_profiles(observed, draws, 7, expand=False)
-    whole = {r.identifier for r in gaps.groupBy("identifier").agg(F.count_if("y is null").alias("n")).where("n = 0").collect()}
+    whole = {r.identifier for r in gaps.groupBy("identifier").agg(F.count_if(F.col("y").isNull()).alias("n")).where("n = 0").collect()}
     assert {r.identifier for r in short.where("imputation is null").collect()} == whole
 
     def flat(p):
