@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from diffspark.llm.common import table
+from diffspark.llm.common import settled, table
 from diffspark.stage import materialise, stage_root
 
 COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
@@ -86,6 +86,7 @@ def keep_first(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns and no others; a key with many
     copies is one row on the side that is kept."""
     tag, key = "_exact_row", "_exact_digest"
+    docs = settled(docs)
     tagged = docs.withColumn(tag, F.monotonically_increasing_id())
     kept = index.add(tagged.select("doc_id", "text")).where("kept").select(F.col("row").alias(key))
     return tagged.join(kept, F.col(tag) == F.col(key), "left_semi").drop(tag)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.llm import words
-from diffspark.llm.common import parallelism, ship, table
+from diffspark.llm.common import parallelism, settled, ship, table
 from diffspark.llm.elias_fano import SUCCESSOR_BITS, Trie, value
 from diffspark.stage import materialise
 
@@ -277,7 +277,7 @@ def score(docs: DataFrame) -> DataFrame:
     held out."""
     spark = docs.sparkSession
     shards = parallelism(spark)
-    rows = docs.select(
+    rows = settled(docs).select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     word_answers = materialise(

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.llm import words
-from diffspark.llm.common import ship, table
+from diffspark.llm.common import settled, ship, table
 from diffspark.llm.components import components
 from diffspark.stage import materialise
 
@@ -277,6 +277,7 @@ def links(nodes: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFr
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_shingles, component_id, first (this row
     is the one that stays)."""
+    docs = settled(docs)
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
@@ -316,6 +317,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
 def keep_one(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """One row of each component, with the columns of ``docs`` and no others."""
     tag, key = "_near_row", "_near_first"
+    docs = settled(docs)
     kept = near_duplicates(docs, percent, size).where("first").select(F.col("row").alias(key))
     tagged = docs.withColumn(tag, F.monotonically_increasing_id())
     return tagged.join(kept, F.col(tag) == F.col(key), "left_semi").drop(tag)

@@ -30,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.llm import words
-from diffspark.llm.common import ship, table
+from diffspark.llm.common import settled, ship, table
 from diffspark.stage import materialise
 
 ship(__name__)
 
 BUCKETS = 1 << 14
 SAMPLE = 20_000
+SMOOTH = 64.0 * BUCKETS  # counts that the target model takes from the raw one, against few labels
 BINS = 1024
 KEEP_COST = 4.0  # a good document rejected weighs as much as so many bad ones kept
 
@@ -168,11 +169,12 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .agg(F.sum("raw"), F.sum("target"))
         .collect()  # BUCKETS rows at most
     )
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
+    raw, target = np.ones(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in counts:
         raw[b] += r
         target[b] += t
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    share = raw / raw.sum()
+    ratio = np.log((target + SMOOTH * share) / (target.sum() + SMOOTH)) - np.log(share)
     seen = sum(t for _, _, t in counts)
     held = F.when(~F.col("fits"), F.col("good"))
     weighed = materialise(
@@ -203,6 +205,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are sampled, with their columns and no others."""
     tag, key = "_quality_row", "_quality_kept"
+    docs = settled(docs)
     kept = scores(docs, labels).where("kept").select(F.col("row").alias(key))
     tagged = docs.withColumn(tag, F.monotonically_increasing_id())
     return tagged.join(kept, F.col(tag) == F.col(key), "left_semi").drop(tag)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from diffspark.llm.common import parallelism, table
+from diffspark.llm.common import parallelism, settled, table
 from diffspark.stage import materialise
 
 ROW_BYTES = 8  # added to every row's text bytes by the contract
@@ -73,6 +73,7 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
 def write_shards(docs: DataFrame, shards: int, path: str, files_per_shard: int = 4) -> None:
     """Write the documents in folders ``shard=0`` ... in slot order within each file. A
     shard is dealt to ``files_per_shard`` tasks by contiguous slots."""
+    docs = settled(docs)
     tagged = docs.withColumn("_shard_row", F.monotonically_increasing_id())
     to = shard(tagged.select("doc_id", "text"), shards).select("row", "shard", "slot")
     both = tagged.join(to, tagged["_shard_row"] == to["row"]).drop("_shard_row", "row")
