@@ -32,13 +32,24 @@ def feature_names(contrasts: Sequence[Contrast]) -> list[str]:
 
 
 def fit_filter(
-    complete: DataFrame, features: Sequence[str], trees: int = 100, seed: int = 1
+    complete: DataFrame,
+    features: Sequence[str],
+    trees: int = 100,
+    seed: int = 1,
+    depth: int = 20,
+    least_in_node: int = 1,
+    subset: str = "sqrt",
+    train_rows: int = 1_000_000,
 ) -> PipelineModel:
     """Class-weighted forest on rows with complete features.
 
-    With w the share of positives, negatives weigh w and positives 1 - w.
+    With w the share of positives, negatives weigh w and positives 1 - w. Trees grow to ``depth``
+    with ``subset`` of the features tried at a split. At most about ``train_rows`` rows are
+    learned from, drawn by the hash of the identifier; all rows are judged.
     """
     data = complete.na.drop("any", subset=list(features))
+    share = min(1.0, train_rows / max(1, data.count()))
+    data = data.where(F.pmod(F.xxhash64("identifier"), F.lit(1 << 20)) < int(share * (1 << 20)))
     share = data.agg(F.avg((F.col("class") == "TP").cast("double"))).first()[0]
     weighted = data.withColumns(
         {
@@ -48,7 +59,8 @@ def fit_filter(
     )
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     forest = RandomForestClassifier(
-        featuresCol="_features", labelCol="_label", weightCol="_weight", numTrees=trees, seed=seed
+        featuresCol="_features", labelCol="_label", weightCol="_weight", numTrees=trees, seed=seed,
+        maxDepth=depth, minInstancesPerNode=least_in_node, featureSubsetStrategy=subset
     )
     return Pipeline(stages=[assembler, forest]).fit(weighted)
 

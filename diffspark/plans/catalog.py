@@ -696,7 +696,7 @@ def q_gamma_glm(spark, d):
 
 def partition(spark, d) -> trend.Partition:
     stats = moments.row_stats(profile(spark, d))
-    return trend.partition_trends(stats, 5, 5, (0.05, 0.4), (0.05, 0.4), rounds=3)
+    return trend.partition_trends(stats, 10, 10, (0.05, 0.4), (0.05, 0.4))
 
 
 @query
@@ -746,6 +746,32 @@ def q_forest_keep(spark, d):
     return classify.keep_list(forest(spark, d)[1])
 
 
+@query
+def q_forest_classes(spark, d):
+    """How many rows of each class the forest has judged: all with complete features."""
+    judged = forest(spark, d)[1].groupBy("class").agg(F.count(F.lit(1)).alias("judged"))
+    return judged
+
+
+def by_rule(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Features and predictions of a fixed rule in place of the forest."""
+    features = materialise(classify.filter_features(profile(spark, d, "heavy"), CONTRASTS, TRUTH))
+    full = features.na.drop("any", subset=classify.feature_names(CONTRASTS))
+    lifted = F.round("A_vs_N", 6) + F.round("A_vs_R", 6) > 0.8
+    pred = F.when(lifted, "TP").otherwise("TN")
+    return features, full.select("identifier", "class", F.concat_ws("-", "class", pred).alias("cls_prd"))
+
+
+@query
+def q_keep_rule(spark, d):
+    return classify.keep_list(by_rule(spark, d)[1])
+
+
+@query
+def q_labels_rule(spark, d):
+    return classify.with_predictions(*by_rule(spark, d)).select("identifier", "cls_prd", "level")
+
+
 @query
 def q_forest_labels(spark, d):
     everything, predicted = forest(spark, d)

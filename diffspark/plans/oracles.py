@@ -37,7 +37,7 @@ def _measurements(value: str) -> str:
     SELECT CAST(l_partkey AS VARCHAR) || ':' || p_brand AS identifier,
            l_returnflag AS condition,
            row_number() OVER (PARTITION BY l_partkey, l_returnflag
-             ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_discount) AS replicate,
+             ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice) AS replicate,
            {value} AS y, regexp_matches(p_brand, '^Brand#[123]$') AS truth
     FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
@@ -946,7 +946,7 @@ _oracle(
     FROM (FROM gamma_one UNION ALL FROM gamma_two UNION ALL FROM gamma_four)""",
 )
 
-PART_GRID, PART_ROUNDS = 5, 3
+PART_GRID, PART_ROUNDS = 10, 5
 PART_LOW, PART_HIGH = 0.05, 0.4
 
 
@@ -1056,8 +1056,8 @@ def posterior_sql(tag: str, gamma: str) -> None:
 posterior_sql("err", "gamma_one")
 posterior_sql("labelled", "gamma_two")
 
-_oracle(
-    "q_filter_features",
+_view(
+    "features",
     "stats_mvh cells_mvh",
     """SELECT s.identifier, s.n, round(s.mean, 6) AS mean, round(sd, 6) AS sd, round(a.mean - n.mean, 6) AS "A_vs_N",
       round(a.mean - r.mean, 6) AS "A_vs_R", round(n.mean - r.mean, 6) AS "N_vs_R",
@@ -1067,3 +1067,39 @@ _oracle(
     LEFT JOIN cells_mvh n ON n.identifier = s.identifier AND n.condition = 'N'
     LEFT JOIN cells_mvh r ON r.identifier = s.identifier AND r.condition = 'R'""",
 )
+_view(
+    "features_mv",
+    "stats_mv cells_mv",
+    """SELECT s.identifier, s.n, round(s.mean, 6) AS mean, round(sd, 6) AS sd, round(a.mean - n.mean, 6) AS "A_vs_N",
+      round(a.mean - r.mean, 6) AS "A_vs_R", round(n.mean - r.mean, 6) AS "N_vs_R",
+      CASE WHEN regexp_matches(s.identifier, ':Brand#[123]$') THEN 'TP' ELSE 'TN' END AS class
+    FROM (SELECT * REPLACE (CAST(n AS DOUBLE) AS n) FROM stats_mv) s
+    LEFT JOIN cells_mv a ON a.identifier = s.identifier AND a.condition = 'A'
+    LEFT JOIN cells_mv n ON n.identifier = s.identifier AND n.condition = 'N'
+    LEFT JOIN cells_mv r ON r.identifier = s.identifier AND r.condition = 'R'""",
+)
+_oracle("q_filter_features", "features", "SELECT * FROM features")
+_view(
+    "ruled",
+    "features",
+    """SELECT identifier, class, CASE WHEN "A_vs_N" + "A_vs_R" > 0.8 THEN 'TP' ELSE 'TN' END AS pred FROM features
+    WHERE mean IS NOT NULL AND sd IS NOT NULL AND "A_vs_N" IS NOT NULL AND "A_vs_R" IS NOT NULL AND "N_vs_R" IS NOT NULL""",
+)
+_oracle("q_keep_rule", "ruled", "SELECT identifier FROM ruled WHERE NOT (class = 'TP' AND pred = 'TN')")
+_oracle(
+    "q_labels_rule",
+    "features ruled",
+    """SELECT identifier, cls_prd, level FROM (
+      SELECT f.identifier, coalesce(r.class || '-' || r.pred, 'Discarded') AS cls_prd
+      FROM features f LEFT JOIN ruled r USING (identifier)) JOIN (
+      SELECT cls_prd, row_number() OVER (ORDER BY count(*) DESC, cls_prd) AS level FROM (
+        SELECT coalesce(r.class || '-' || r.pred, 'Discarded') AS cls_prd
+        FROM features f LEFT JOIN ruled r USING (identifier)) GROUP BY cls_prd) USING (cls_prd)""",
+)
+_oracle(
+    "q_forest_classes",
+    "features_mv",
+    """SELECT class, count(*) AS judged FROM features_mv
+    WHERE mean IS NOT NULL AND sd IS NOT NULL AND "A_vs_N" IS NOT NULL AND "A_vs_R" IS NOT NULL AND "N_vs_R" IS NOT NULL
+    GROUP BY class""",
+)

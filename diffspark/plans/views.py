@@ -31,7 +31,14 @@ def measurements(
     ``missing`` removes values by discount: "light" about 5 %, "heavy" about half.
     """
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"
+        "l_partkey",
+        "l_returnflag",
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey",
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
     )
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).withColumn(
@@ -48,7 +55,7 @@ def measurements(
     # unique within (identifier, condition), of which each has a bounded number of lines
     replicate = F.row_number().over(
         Window.partitionBy("l_partkey", "l_returnflag").orderBy(
-            "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"
+            "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice"
         )
     )
     return joined.select(
