@@ -187,20 +187,18 @@ def quantiles(
 
 
 def trapezoid(
-    points: DataFrame, groups: Sequence[str], x: str, y: str, out: str, bucketed: bool = False
+    points: DataFrame, groups: Sequence[str], x: str, y: str, out: str
 ) -> DataFrame:
     """Area under ``y`` over ``x`` per group, points taken in ``(x, y)`` order.
 
     Pairs with a NULL are left out; one point gives 0 and none gives NULL. Every bucket
     yields its own area and its end points; neighbouring buckets are then stitched.
-    Set ``bucketed`` when the points already carry a bucket that follows the order.
+    The distinct points are staged, as they are read for the sampled bounds, for the ranges
+    and for the groups.
     """
     usable = F.col(x).isNotNull() & F.col(y).isNotNull()
-    if not bucketed:
-        distinct = points.where(usable).select(*groups, x, y).distinct()
-        piece = range_buckets(distinct, groups, [x, y])
-    else:
-        piece = points.where(usable)
+    points = materialise(points.select(*groups, x, y).distinct())
+    piece = range_buckets(points.where(usable), groups, [x, y])
     step = Window.partitionBy(*groups, BUCKET).orderBy(x, y)
     inner = piece.select(
         *groups,

@@ -339,6 +339,12 @@ def q_psrn(spark, d):
     return rounded(out.select("identifier", "sample", "y"), "y")
 
 
+@query
+def q_psrn_wide(spark, d):
+    """The wide matrix normalised row by row, then made long."""
+    return rounded(study.normalised(*views.matrix(spark, d)), "y")
+
+
 @query
 def q_tstat(spark, d):
     t = ttest.t_statistics(profile(spark, d), CONTRASTS).where(F.col("t").isNotNull())
@@ -778,6 +784,20 @@ def q_forest_labels(spark, d):
     return classify.with_predictions(everything, predicted).select("identifier", "cls_prd", "level")
 
 
+IMPUTATIONS_OF_STUDIES = 1000
+
+
+@query
+def q_consensus_1000(spark, d):
+    """Consensus over as many imputations as studies use; too many tests for the SQL, which
+    has :func:`q_consensus` with the same code for fewer."""
+    m = IMPUTATIONS_OF_STUDIES
+    rows = materialise(moderated.residual_variance(Missing(spark, d).profiles(m, expand=False)))
+    tests = materialise(moderated.moderated_t(rows, CONTRASTS, trend=True, m=m))
+    summary = consensus.consensus(consensus.adjust_within_imputation(tests), m)
+    return rounded(rounded(summary, "median_p_val", "median_lfc"), "binom_p_value", digits=9)
+
+
 # --- whole study ------------------------------------------------------------------------------------------
 
 

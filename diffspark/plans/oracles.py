@@ -362,6 +362,25 @@ _oracle(
         SELECT identifier, avg(ln(y)) AS level FROM mb GROUP BY identifier HAVING count(*) = 3)
       USING (identifier) GROUP BY sample) USING (sample)""",
 )
+_view(
+    "matrix",
+    "lin",
+    """SELECT i.identifier, cond AS condition, r.r AS replicate, avg(y) AS y
+    FROM (SELECT DISTINCT identifier FROM lin) i CROSS JOIN (VALUES ('A'), ('N'), ('R')) c(cond)
+    CROSS JOIN (VALUES (1), (2), (3)) r(r)
+    LEFT JOIN (SELECT *, (replicate - 1) % 3 + 1 AS k FROM lin) l
+      ON l.identifier = i.identifier AND l.condition = cond AND l.k = r.r
+    GROUP BY i.identifier, cond, r.r""",
+)
+_oracle(
+    "q_psrn_wide",
+    "matrix",
+    """SELECT identifier, condition, CAST(replicate AS BIGINT) AS replicate, round(log2(y / size), 6) AS y
+    FROM matrix JOIN (
+      SELECT condition, replicate, median(exp(ln(y) - level)) AS size FROM matrix JOIN (
+        SELECT identifier, avg(ln(y)) AS level FROM matrix GROUP BY identifier HAVING count(y) = 9)
+      USING (identifier) GROUP BY condition, replicate) USING (condition, replicate)""",
+)
 _oracle(
     "q_tstat",
     "tstat",

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from check_oracles import canonical, compare, database
 
-SLOW = {"q_study"}
+SLOW = {"q_study", "q_consensus_1000"}
 KEYS = [k for k in entry.queries() if k not in SLOW]
 
 
