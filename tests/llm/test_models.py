@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from check_oracles import compare, database
 from diffspark.llm import elias_fano, lm_score, quality, queries, sharding, top_k
 from tests.llm.conftest import texts
 
@@ -243,6 +244,12 @@ def test_stages_pass_columns_on(spark, docs, small):
         assert df.columns == docs.columns
 
 
+@pytest.mark.parametrize("key", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, small, key):
+    text, *_ = compare(spark, database(small), key, small)
+    assert text.startswith("ok") and "TYPES" not in text, text
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES)
     assert numbers == list(range(1, 11))
