@@ -62,9 +62,6 @@ def to_long(
     return df.unpivot(list(ids), list(columns), name, value)
 
 
-def to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, values: Sequence[str]) -> DataFrame:
-    return df.groupBy(*keys).pivot(name, list(values)).agg(F.first(value, ignorenulls=True))
-
 
 def nest(df: DataFrame, keys: Sequence[str], out: str = "data") -> DataFrame:
     """Rows of a key as a list column. For keys whose groups are bounded, such as the
