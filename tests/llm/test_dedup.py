@@ -217,6 +217,31 @@ def test_lines_against_all_pairs(spark, edits):
     assert sum(r.kept for r in out if r.class_doc_id is not None) == len(classes)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_short_lines_against_all_pairs(spark, edits):
+    """Lines of 0 to 20 characters: no length is left out, nor a pair across the two methods."""
+    rng = random.Random(edits)
+    lines = ["", "a", "é", "ab", "xyz", "And ornd.", "And | ornd.", "😀a😀b", "😀ab"]
+    for n in [*range(3, 21)] * 2:
+        line = [rng.choice("abcdé ") for _ in range(n)]
+        lines.append("".join(line))
+        for _ in range(3):
+            near = list(line)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(near) + 1)
+                near[at : at + rng.randrange(2)] = rng.choice(["", "z", "zz"])
+            lines.append("".join(near))
+    distinct, links = sorted(set(lines)), Counter()
+    for a, b in itertools.combinations(distinct, 2):
+        if distance(a, b) <= edits:
+            links[a] += 1
+            links[b] += 1
+    assert any(links[x] for x in distinct if 3 <= len(x) < 16)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    out = line_dedup.near_lines(df, edits).collect()
+    assert {r.doc_id: r.n_links for r in out} == {i: links[x] for i, x in enumerate(lines)}
+
+
 def test_lines_of_odd_texts(odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     out = line_dedup.near_lines(odd).collect()
