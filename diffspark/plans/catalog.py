@@ -571,10 +571,10 @@ def q_imputed_cells(spark, d):
 # --- moderated test ---------------------------------------------------------------------------------
 
 
-def moderated_results(spark, d, weighted=False, **options) -> DataFrame:
-    p = Missing(spark, d).profiles(IMPUTATIONS, weighted, expand=False)
+def moderated_results(spark, d, weighted=False, m: int = IMPUTATIONS, **options) -> DataFrame:
+    p = Missing(spark, d).profiles(m, weighted, expand=False)
     rows = materialise(moderated.residual_variance(p, weighted))
-    return moderated.moderated_t(rows, CONTRASTS, weighted=weighted, m=IMPUTATIONS, **options)
+    return moderated.moderated_t(rows, CONTRASTS, weighted=weighted, m=m, **options)
 
 
 def shown(tests: DataFrame) -> DataFrame:
@@ -787,22 +787,39 @@ def q_forest_labels(spark, d):
 IMPUTATIONS_OF_STUDIES = 1000
 
 
+def consensus_parts(spark, d, m: int) -> DataFrame:
+    """Consensus of the weighted, trended and robust test over ``m`` imputations (part
+    "pairs") and its ROC at all thresholds (part "roc")."""
+    results = materialise(
+        moderated_results(spark, d, weighted=True, m=m, trend=True, robust=True)
+    )
+    adjusted = consensus.adjust_within_imputation(results)
+    table = materialise(consensus.consensus_table(adjusted, m))
+    pairs = rounded(
+        rounded(table, "median_p_val", "median_lfc", "critical"), "binom_p_value", digits=9
+    )
+    thresholds = consensus.consensus_thresholds(results, COMPARISONS[0])
+    labelled = table.withColumn("truth", labels.truth_flag(TRUTH))
+    cells = consensus.consensus_roc(labelled, thresholds, COMPARISONS)
+    cells = rounded(cells.select("comparison", "alpha", *CELLS), "alpha")
+    return pairs.withColumn("part", F.lit("pairs")).unionByName(
+        cells.withColumn("part", F.lit("roc")), allowMissingColumns=True
+    )
+
+
 @query
 def q_consensus_1000(spark, d):
-    """Consensus over as many imputations as studies use; too many tests for the SQL, which
-    has :func:`q_consensus` with the same code for fewer."""
-    m = IMPUTATIONS_OF_STUDIES
-    rows = materialise(moderated.residual_variance(Missing(spark, d).profiles(m, expand=False)))
-    tests = materialise(moderated.moderated_t(rows, CONTRASTS, trend=True, m=m))
-    summary = consensus.consensus(consensus.adjust_within_imputation(tests), m)
-    return rounded(rounded(summary, "median_p_val", "median_lfc"), "binom_p_value", digits=9)
+    """Consensus and ROC over as many imputations as studies use; too many tests for the SQL,
+    which has :func:`q_consensus_methods` and :func:`q_consensus_roc` for fewer."""
+    return consensus_parts(spark, d, IMPUTATIONS_OF_STUDIES)
 
 
 # --- whole study ------------------------------------------------------------------------------------------
 
 
 def study_options(**changes) -> study.StudyOptions:
-    base = {"imputations": IMPUTATIONS, "grid": (5, 5), "h1_prop": (0.01, 0.3), "h2_prop": (0.01, 0.3)}
+    """Imputations and grids of all studies; the range of the partition is that of the fixture."""
+    base = {"h1_prop": (0.01, 0.3), "h2_prop": (0.01, 0.3)}
     return study.StudyOptions(CONTRASTS, TRUTH, **(base | changes))
 
 

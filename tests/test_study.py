@@ -99,3 +99,25 @@ def test_forest_filter(spark, small):
     sizes = labelled.groupby("cls_prd").size().sort_values(ascending=False)
     levels = labelled.drop_duplicates("cls_prd").set_index("cls_prd").level
     assert levels[sizes.index[0]] == 1
+
+
+def test_registered_study_runs_the_defaults():
+    options = catalog.study_options()
+    whole = study.StudyOptions(CONTRASTS, TRUTH)
+    for name in ("imputations", "grid", "gaps_grid", "robust", "threshold_limit"):
+        assert getattr(options, name) == getattr(whole, name), name
+    assert options.imputations == catalog.IMPUTATIONS_OF_STUDIES == 1000
+
+
+def test_consensus_parts_are_those_of_the_full_test(spark, small):
+    """The query of 1000 imputations, for as many as the query that has SQL."""
+    parts = catalog.consensus_parts(spark, small, catalog.IMPUTATIONS).cache()
+    full = catalog.q_consensus_methods(spark, small).where("method = 'full'").drop("method")
+    pairs = parts.where("part = 'pairs'").select(*full.columns)
+    assert sorted(map(tuple, pairs.collect()), key=repr) == sorted(map(tuple, full.collect()), key=repr)
+    rows = parts.where("part = 'roc'").select("comparison", "alpha", *catalog.CELLS).collect()
+    assert {r.comparison for r in rows} == set(COMPARISONS)
+    n = full.where("critical is not null").groupBy("comparison").count().collect()
+    assert {r.comparison: r["count"] for r in n} == {
+        r.comparison: sum(r[c] for c in catalog.CELLS) for r in rows
+    }
