@@ -10,7 +10,8 @@ of documents whose weight passes a threshold fitted on labelled documents that t
 model has not seen.
 
 All documents are counted, weighted and ranked. Labels are used up to SAMPLE rows, those
-with the smallest hash of the id; this bounds the broadcast and what the driver fits.
+with the smallest hash of the id; this bounds the broadcast and what the driver fits, as rows that
+share a labelled id give the threshold one weight, the least of theirs.
 
 Cases: null and empty texts have no features and weight 0. Repeated rows are weighted and
 sampled on their own (draws of equal ids and texts are equal; ties go to the earlier row).
@@ -148,6 +149,12 @@ def cutoff(keys: DataFrame, k: int) -> tuple[float, int]:
     return low, k - above
 
 
+def judged_weights(keyed: DataFrame) -> DataFrame:
+    """(verdict, log_weight) of the labelled ids, one row each: the least weight of an id's rows."""
+    one = keyed.where("verdict is not null").groupBy("doc_id", "verdict")
+    return one.agg(F.min("log_weight").alias("log_weight")).select("verdict", "log_weight")
+
+
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_features, log_weight, key, kept."""
     draw = F.xxhash64("doc_id")
@@ -185,7 +192,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     noise = -F.log(-F.log((F.pmod(F.xxhash64("doc_id", F.lit("gumbel")), F.lit(1 << 52)) + 0.5) / float(1 << 52)))
     keyed = materialise(weighed.withColumn("key", F.col("log_weight") + F.coalesce(noise, F.lit(0.0))))
-    judged = keyed.where("verdict is not null").select("verdict", "log_weight").distinct().collect()
+    judged = judged_weights(keyed).collect()  # SAMPLE rows at most
     good = np.array([w for v, w in judged if v])
     bad = np.array([w for v, w in judged if not v])
     out = keyed.drop("verdict")

@@ -209,6 +209,14 @@ def test_cutoff(spark):
         assert ties == k - sum(x > least for x in keys)
 
 
+def test_quality_judges_each_labelled_id_once(spark):
+    """However many rows share a labelled id, the driver gets one weight of it."""
+    rows = [(1, True, float(i)) for i in range(500)] + [(2, True, 7.0), (3, False, 7.0), (4, None, 1.0)]
+    keyed = spark.createDataFrame(rows, "doc_id long, verdict boolean, log_weight double")
+    got = sorted(tuple(r) for r in quality.judged_weights(keyed).collect())
+    assert got == [(False, 7.0), (True, 0.0), (True, 7.0)]
+
+
 def test_quality_odd_cases(odd, none, spark):
     labels = spark.createDataFrame([(1, 1), (None, 0), (7, None), (13, 0), (13, 1)], "doc_id long, quality int")
     out = quality.keep_good(odd, labels)
