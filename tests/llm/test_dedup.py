@@ -2,10 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +150,19 @@ def test_near_odd_cases(odd, none):
     assert near_dedup.near_duplicates(none, 85).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_signatures_lose_less_than_bands(percent):
+    """The share of pairs that signatures drop, by what ``alike`` lets through."""
+    s, n = percent / 100, near_dedup.BANDS * near_dedup.ROWS
+    one = np.zeros(n, "<u2")
+    sigs = [(np.arange(n) >= k).astype("<u2").tobytes() for k in range(n + 1)]  # k minima agree
+    f = pd.DataFrame({"u": range(n + 1), "v": -1, "sig_u": sigs, "sig_v": one.tobytes()})
+    (passed,) = near_dedup.alike(percent)(iter([f]))
+    lost = set(range(n + 1)) - set(passed["u"])
+    tail = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in lost)
+    assert 0 < tail < (1 - s**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def test_near_large_group_in_blocks(spark, monkeypatch):
     """Variants of one text, most of them too far from the smallest: found block by block."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
