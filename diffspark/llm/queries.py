@@ -2,14 +2,17 @@
 
 from diffspark.llm import (
     exact_dedup,
+    fill_middle,
     line_dedup,
     lm_score,
     near_dedup,
     packing,
     quality,
     sharding,
+    suffix_dedup,
     token_counts,
     top_k,
+    whitening,
     word_bpe,
 )
 
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_bpe": word_bpe.op9_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_suffix_dedup": suffix_dedup.op11_suffix_dedup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
-ORACLES = {**exact_dedup.SQL, **top_k.SQL}
+ORACLES = {**exact_dedup.SQL, **top_k.SQL, **fill_middle.SQL}
