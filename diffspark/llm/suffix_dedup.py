@@ -52,7 +52,7 @@ U = np.uint64
 LENGTH = 100  # bytes of a string
 W = 16  # bytes under the rolling hash
 SPAN = 64  # positions of which one triggers; a power of two
-CHUNK = 1 << 22  # bytes parsed at a time, or one document
+CHUNK = 1 << 19  # bytes parsed at a time: short documents together, a long one in pieces
 PLACE_BITS = 31
 BYTES = words.series(256, 21), words.series(256, 22)
 BASES = U(0xD6E8FEB86659FD93), U(0x9FB21C651E98DF25)
@@ -91,7 +91,6 @@ class Parse(NamedTuple):
     entry: np.ndarray
     context: np.ndarray
     again: np.ndarray
-    hashes: tuple[Rolling, Rolling]
 
 
 def triggers(roll: Rolling, n: int) -> np.ndarray:
@@ -106,16 +105,15 @@ def triggers(roll: Rolling, n: int) -> np.ndarray:
     return ((1 << PLACE_BITS) - 1 - (key & U((1 << PLACE_BITS) - 1)).astype(np.int64))
 
 
-def parse(raw: np.ndarray, bounds: np.ndarray) -> Parse:
-    """Anchors of the documents ``raw[bounds[i]:bounds[i + 1]]``."""
+def _runs(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The first six columns of a parse."""
     roll = Rolling(raw, 0), Rolling(raw, 1)
     sizes = np.maximum(np.diff(bounds) - LENGTH + 1, 0)
     doc = np.repeat(np.arange(len(sizes)), sizes)
     skipped = np.cumsum(sizes) - sizes
     start = np.arange(len(doc)) - np.repeat(skipped, sizes) + bounds[doc]
     if not len(start):
-        none = np.zeros(0, np.int64)
-        return Parse(none, none, none, none, none, none, none.astype(bool), roll)
+        return (np.zeros(0, np.int64),) * 6
     anchor = triggers(roll[0], len(raw))[start]
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
@@ -126,13 +124,50 @@ def parse(raw: np.ndarray, bounds: np.ndarray) -> Parse:
     with np.errstate(over="ignore"):
         shape = ((anchor - first) * SPAN + last - first).astype(U)
         context = words.mix(roll[1].pieces(first, last + LENGTH) + words.mix(shape))
+    return anchor, doc, first, last, entry.view(np.int64), context.view(np.int64)
+
+
+def parse(raw: np.ndarray, bounds: np.ndarray) -> Parse:
+    """Anchors of the documents ``raw[bounds[i]:bounds[i + 1]]``; one that is longer than CHUNK
+    stands alone and is parsed in pieces that end between two runs of starts."""
+    if len(raw) <= CHUNK or len(bounds) != 2:
+        columns = _runs(raw, bounds)
+    else:
+        parts, at = [], 0
+        while True:
+            piece = raw[at : at + CHUNK + LENGTH - 1]
+            part = _runs(piece, np.array([0, len(piece)]))
+            final = at + len(piece) == len(raw)
+            keep = len(part[0]) if final else len(part[0]) - 1  # the last run may go on
+            moved = [c[:keep] + at if k in (0, 2, 3) else c[:keep] for k, c in enumerate(part)]
+            parts.append(moved)
+            if final:
+                break
+            at += int(part[2][keep])
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    anchor, doc, _, _, entry, context = columns
     order = np.lexsort((anchor, context, entry, doc))
     same = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
     same[1:] = (doc[a] == doc[b]) & (entry[a] == entry[b]) & (context[a] == context[b])
     again = np.empty(len(order), bool)
     again[order] = same
-    return Parse(anchor, doc, first, last, entry.view(np.int64), context.view(np.int64), again, roll)
+    return Parse(*columns, again)
+
+
+def names(raw: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each string; ``start`` ascends."""
+    out = [np.empty(len(start), np.int64) for _ in BYTES]
+    i = 0
+    while i < len(start):
+        low = int(start[i])
+        j = int(np.searchsorted(start, low + CHUNK))
+        piece = raw[low : int(start[j - 1]) + LENGTH]
+        at = start[i:j] - low
+        for k, o in enumerate(out):
+            o[i:j] = words.mix(Rolling(piece, k).pieces(at, at + LENGTH)).view(np.int64)
+        i = j
+    return out
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -182,7 +217,7 @@ class Removed:
         np.add.at(self.change, end, -1)
 
     def mask(self) -> np.ndarray:
-        return np.cumsum(self.change[:-1]) > 0
+        return np.cumsum(self.change[:-1], dtype=np.int32) > 0
 
 
 def summary(raw: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, str]:
@@ -229,7 +264,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             before = np.cumsum(count) - count
             start = np.arange(int(count.sum())) - np.repeat(before, count) + np.repeat(p.first[todo], count)
             of = np.repeat(p.doc[todo], count)
-            names = [words.mix(r.pieces(start, start + LENGTH)).view(np.int64) for r in p.hashes]
+            found = names(raw, start)
             pending = np.zeros(n, bool)
             pending[of] = True
             rows, texts, spans = [], [], []
@@ -257,8 +292,8 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(texts, pa.binary()),
                     pa.array(spans, pa.list_(pa.int32())),
                     ragged((start - bounds[of]).astype(np.int32), of, n, pa.int32()),
-                    ragged(names[0], of, n, pa.int64()),
-                    ragged(names[1], of, n, pa.int64()),
+                    ragged(found[0], of, n, pa.int64()),
+                    ragged(found[1], of, n, pa.int64()),
                 ],
                 [c.split()[0] for c in RESOLVED.split(", ")],
             )

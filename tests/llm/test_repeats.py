@@ -91,6 +91,25 @@ def test_repeats_one_hot_text(spark):
     check_removal(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_repeats_of_long_texts(spark, monkeypatch):
+    """Documents longer than the pieces that are parsed at a time."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    test_repeats_across_chunks()
+    for _, text in repetitive(6):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        bounds = np.array([0, len(raw)])
+        pieces = suffix_dedup.parse(raw, bounds)
+        with monkeypatch.context() as whole:
+            whole.setattr(suffix_dedup, "CHUNK", 1 << 19)
+            for a, b in zip(pieces, suffix_dedup.parse(raw, bounds), strict=True):
+                assert (a == b).all()
+            start = np.arange(0, len(raw) - 99, 7)
+            want = suffix_dedup.names(raw, start)
+        assert all((a == b).all() for a, b in zip(suffix_dedup.names(raw, start), want, strict=True))
+    rows = [(k, t) for k, (_, t) in enumerate(repetitive(7))]
+    check_removal(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_repeats_across_chunks():
     """Parses that are cut at other places name the same strings."""
     texts = [t.encode() for _, t in repetitive(5)]
