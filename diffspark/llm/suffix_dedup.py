@@ -16,7 +16,8 @@ not cross documents and are judged on the input.
    suffix of the parse: all but the first of them are removed as a whole. An entry with one
    context is settled.
 4. *Combination.* Only the first anchor of each context of an entry with several contexts
-   still has to place its strings, which it does one by one; equal ones meet, the first stays.
+   still has to place its strings. It hands on the bytes of its context; steps 2 and 3 are
+   repeated for blocks of BLOCK strings, and then one by one: equal ones meet, the first stays.
 
 Suffixes are named by two 64-bit hashes of their first bytes instead of being ranked: of the order of
 all suffixes, only which neighbours agree in LENGTH bytes is used, and ranks would need
@@ -60,25 +61,40 @@ INVERSES = tuple(U(pow(int(b), -1, 1 << 64)) for b in BASES)
 WHOLE, OPEN = 0, 1  # anchors that are removed, anchors whose strings must be placed
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse."""
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        with np.errstate(over="ignore"):
+            both = [np.full(max(n, CHUNK + LENGTH), b, U) for b in (BASES[which], INVERSES[which])]
+            for x in both:
+                x[0] = 1
+                np.cumprod(x, out=x)
+        _POWERS[which] = both[0], both[1]
+    return tuple(x[:n] for x in _POWERS[which])
+
+
 class Rolling:
     """Hashes of any piece of a buffer: sums of byte values times powers, shifted back."""
 
     def __init__(self, raw: np.ndarray, which: int):
         n = len(raw)
+        power, self.back = powers(which, n + 1)
+        self.upto = np.zeros(n + 1, U)
         with np.errstate(over="ignore"):
-            power = np.full(n + 1, BASES[which], U)
-            power[0] = 1
-            np.cumprod(power, out=power)
-            self.upto = np.zeros(n + 1, U)
             np.cumsum(BYTES[which][raw] * power[:n], out=self.upto[1:])
-            self.back = np.full(n + 1, INVERSES[which], U)
-            self.back[0] = 1
-            np.cumprod(self.back, out=self.back)
 
     def pieces(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (self.upto[end] - self.upto[start]) * self.back[start]
 
+    def steps(self, width: int) -> np.ndarray:
+        """Hashes of the pieces of ``width`` bytes at all positions."""
+        with np.errstate(over="ignore"):
+            return (self.upto[width:] - self.upto[:-width]) * self.back[: len(self.upto) - width]
+
 
 class Parse(NamedTuple):
     """Anchors of a buffer of documents: place, document, first and last start of their
@@ -93,16 +109,18 @@ class Parse(NamedTuple):
     again: np.ndarray
 
 
-def triggers(roll: Rolling, n: int) -> np.ndarray:
+def triggers(roll: Rolling) -> np.ndarray:
     """For every position the trigger chosen by the SPAN positions from there on."""
-    at = np.arange(n - W + 1)
-    key = words.mix(roll.pieces(at, at + W))
-    key = (key >> U(PLACE_BITS) << U(PLACE_BITS)) | (U((1 << PLACE_BITS) - 1) - at.astype(U))
+    low = U((1 << PLACE_BITS) - 1)
+    with np.errstate(over="ignore"):
+        key = roll.steps(W) * BASES[1]
+    key &= ~low
+    key |= low - np.arange(len(key), dtype=U)
     step = 1
     while step < SPAN:  # the least of 2, 4, ... successive keys
         key = np.minimum(key[:-step], key[step:])
         step *= 2
-    return ((1 << PLACE_BITS) - 1 - (key & U((1 << PLACE_BITS) - 1)).astype(np.int64))
+    return (low - (key & low)).astype(np.int64)
 
 
 def _runs(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -114,7 +132,7 @@ def _runs(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.arange(len(doc)) - np.repeat(skipped, sizes) + bounds[doc]
     if not len(start):
         return (np.zeros(0, np.int64),) * 6
-    anchor = triggers(roll[0], len(raw))[start]
+    anchor = triggers(roll[0])[start]
     new = np.ones(len(start), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
@@ -155,21 +173,6 @@ def parse(raw: np.ndarray, bounds: np.ndarray) -> Parse:
     return Parse(*columns, again)
 
 
-def names(raw: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """Two hashes of each string; ``start`` ascends."""
-    out = [np.empty(len(start), np.int64) for _ in BYTES]
-    i = 0
-    while i < len(start):
-        low = int(start[i])
-        j = int(np.searchsorted(start, low + CHUNK))
-        piece = raw[low : int(start[j - 1]) + LENGTH]
-        at = start[i:j] - low
-        for k, o in enumerate(out):
-            o[i:j] = words.mix(Rolling(piece, k).pieces(at, at + LENGTH)).view(np.int64)
-        i = j
-    return out
-
-
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows (from, to) with their texts as one buffer and its bounds; null is empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -228,10 +231,10 @@ def summary(raw: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, str]:
 
 
 DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-RESOLVED = f"row long, {DONE}, text binary, gone array<int>, places array<int>, h0 array<long>, h1 array<long>"
+RESOLVED = f"row long, {DONE}, text binary, gone array<int>, places array<int>, runs array<int>, strings array<binary>"
 
 
-def ragged(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
+def ragged(values, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
     """Lists of ``values`` for the owners 0 to n - 1; owners ascend."""
     offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
@@ -248,7 +251,7 @@ def named(column, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Remove whole contexts. A document without open anchors is finished; of the others, the text, the
-    bytes known to go and the names of all strings of open anchors are handed on."""
+    bytes known to go and the contexts of open anchors are handed on."""
     for batch in batches:
         for i, j, raw, bounds in chunks(batch.column("text")):
             p = parse(raw, bounds)
@@ -260,11 +263,9 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone.add(p.first[whole], p.last[whole] + LENGTH)
             gone = gone.mask()
             todo = np.sort(spot[code & 1 == OPEN])
-            count = p.last[todo] - p.first[todo] + 1
-            before = np.cumsum(count) - count
-            start = np.arange(int(count.sum())) - np.repeat(before, count) + np.repeat(p.first[todo], count)
-            of = np.repeat(p.doc[todo], count)
-            found = names(raw, start)
+            of = p.doc[todo]
+            run = np.column_stack([p.anchor[todo] - p.first[todo], p.last[todo] - p.first[todo]])
+            contexts = [raw[a:b].tobytes() for a, b in zip(p.first[todo], p.last[todo] + LENGTH, strict=True)]
             pending = np.zeros(n, bool)
             pending[of] = True
             rows, texts, spans = [], [], []
@@ -291,26 +292,98 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(digest, pa.string()),
                     pa.array(texts, pa.binary()),
                     pa.array(spans, pa.list_(pa.int32())),
-                    ragged((start - bounds[of]).astype(np.int32), of, n, pa.int32()),
-                    ragged(found[0], of, n, pa.int64()),
-                    ragged(found[1], of, n, pa.int64()),
+                    ragged((p.first[todo] - bounds[of]).astype(np.int32), of, n, pa.int32()),
+                    ragged((run[:, 0] * SPAN + run[:, 1]).astype(np.int32), of, n, pa.int32()),
+                    ragged(contexts, of, n, pa.binary()),
                 ],
                 [c.split()[0] for c in RESOLVED.split(", ")],
             )
 
 
+def contexts_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Slices of open contexts: their rows, one buffer of bytes, where each begins, and the
+    offset of the anchor and the number of further strings of each."""
+    for i, j, raw, bounds in chunks(batch.column("strings")):
+        part = batch.slice(i, j - i)
+        run = part.column("runs").to_numpy(zero_copy_only=False).astype(np.int64)
+        yield part, raw, bounds[:-1], run // SPAN, run % SPAN
+
+
+BLOCK = 8  # successive strings that are tried together
+PART = "entry long, context long, doc_id long, row long, place int, size int, head int"
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open contexts in blocks of BLOCK strings, cut by their offset to the anchor: the bytes
+    that all strings a block could have would share are its entry, all it has are its context."""
+    for batch in batches:
+        for part, raw, begin, offset, more in contexts_of(batch):
+            roll = Rolling(raw, 0), Rolling(raw, 1)
+            high, low = offset // BLOCK, (offset - more) // BLOCK
+            count = high - low + 1
+            of = np.repeat(np.arange(len(begin)), count)
+            block = high[of] - (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count))
+            first = begin[of] + np.maximum(offset[of] - (block * BLOCK + BLOCK - 1), 0)
+            last = begin[of] + np.minimum(offset[of] - block * BLOCK, more[of])
+            common = begin[of] + offset[of] - block * BLOCK  # start of the last string it could have
+            shape = ((common - first) * BLOCK + last - first).astype(U)
+            entry = words.mix(roll[0].pieces(common, common + LENGTH - BLOCK + 1))
+            with np.errstate(over="ignore"):
+                context = words.mix(roll[1].pieces(first, last + LENGTH) + words.mix(shape))
+            row = pa.array(of)
+            head = part.column("places").take(row)
+            place = head.to_numpy(zero_copy_only=False) + first - begin[of]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(entry.view(np.int64)),
+                    pa.array(context.view(np.int64)),
+                    part.column("doc_id").take(row),
+                    part.column("row").take(row),
+                    pa.array(place.astype(np.int32)),
+                    pa.array((last - first + 1).astype(np.int32)),
+                    head,
+                ],
+                [c.split()[0] for c in PART.split(", ")],
+            )
+
+
+STRING = "h0 long, h1 long, doc_id long, row long, place int"
+
+
+def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings of open blocks (``place``, ``size``) in their contexts."""
+    for batch in batches:
+        for part, raw, begin, _, _ in contexts_of(batch):
+            head, place, size = (
+                part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("places", "place", "size")
+            )
+            of = np.repeat(np.arange(len(size)), size)
+            shift = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + place[of] - head[of]
+            at = begin[of] + shift
+            found = [words.mix(Rolling(raw, k).pieces(at, at + LENGTH)).view(np.int64) for k in (0, 1)]
+            row = pa.array(of)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(f) for f in found),
+                    part.column("doc_id").take(row),
+                    part.column("row").take(row),
+                    pa.array((head[of] + shift).astype(np.int32)),
+                ],
+                [c.split()[0] for c in STRING.split(", ")],
+            )
+
+
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the strings found to be later ones from documents that were handed on."""
+    """Remove the blocks and strings found to be later ones from documents that were handed on."""
     for batch in batches:
         for i, j, raw, bounds in chunks(batch.column("text")):
             gone = Removed(len(raw))
-            for name, width in (("gone", 0), ("later", LENGTH)):
-                flat, owner = named(batch.column(name), i, j)
-                flat = flat + bounds[owner]
-                if width:
-                    gone.add(flat, flat + width)
-                else:
-                    gone.add(flat[0::2], flat[1::2])
+            flat, owner = named(batch.column("gone"), i, j)
+            flat = flat + bounds[owner]
+            gone.add(flat[0::2], flat[1::2])
+            code, owner = named(batch.column("later"), i, j)
+            start = code // (2 * BLOCK) + bounds[owner]
+            gone.add(start, start + code % (2 * BLOCK) - 1 + LENGTH)
             mask = gone.mask()
             rows = [
                 summary(raw[a:b], mask[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)
@@ -323,27 +396,30 @@ def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def open_and_whole(found: DataFrame) -> DataFrame:
-    """(row, place, kind) of the anchors that are removed as a whole or still open."""
-    first = F.min(F.struct("doc_id", "row", "place")).alias("first")
-    contexts = materialise(found.groupBy("entry", "context").agg(first, F.count(F.lit(1)).alias("n")))
+def repeated(rows: DataFrame) -> DataFrame:
+    """Rows whose entry occurs more than once."""
+    entries = rows.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
+    return materialise(rows.join(materialise(entries), "entry"))
+
+
+def later_ones(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of rows with the same ``keys`` the first (by doc_id, row, place), with how many there are
+    (n), and all others."""
+    others = [c for c in rows.columns if c not in (*keys, "doc_id", "row", "place")]
+    first = F.min(F.struct("doc_id", "row", "place", *others)).alias("first")
+    firsts = materialise(rows.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("n")))
     several = materialise(
-        contexts.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("entry")
-    )
-    opened = (
-        contexts.join(several, "entry", "left_semi")
-        .select(F.col("first.row").alias("row"), F.col("first.place").alias("place"))
-        .withColumn("kind", F.lit(OPEN))
+        firsts.where("n > 1").select(*keys, F.col("first.row").alias("_row"), F.col("first.place").alias("_place"))
     )
-    repeated = materialise(contexts.where("n > 1").select("entry", "context", "first"))
-    later = (F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place"))
-    whole = (
-        found.join(repeated, ["entry", "context"])
-        .where(later)
-        .select("row", "place")
-        .withColumn("kind", F.lit(WHOLE))
-    )
-    return whole.unionByName(opened)
+    other = (F.col("row") != F.col("_row")) | (F.col("place") != F.col("_place"))
+    later = rows.join(several, keys).where(other).drop("_row", "_place")
+    return firsts, later
+
+
+def still_open(firsts: DataFrame) -> DataFrame:
+    """First rows of the contexts of entries with several contexts."""
+    entries = firsts.groupBy("entry").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("entry")
+    return firsts.join(materialise(entries), "entry", "left_semi").select("first.*")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -354,33 +430,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
-    parsed = rows.select("row", "doc_id", "text").mapInArrow(anchors, ANCHORS)
-    repeated = materialise(
-        parsed.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry")
-    )
-    found = materialise(parsed.join(repeated, "entry"))
-    code = F.col("place").cast("long") * 2 + F.col("kind")
-    codes = materialise(
-        open_and_whole(found).groupBy("row").agg(F.collect_list(code).alias("codes"))
-    )
+    firsts, later = later_ones(repeated(rows.mapInArrow(anchors, ANCHORS)), ["entry", "context"])
+
+    def coded(of: DataFrame, kind: int) -> DataFrame:
+        return of.select("row", (F.col("place").cast("long") * 2 + kind).alias("code"))
+
+    codes = coded(later, WHOLE).unionByName(coded(still_open(firsts), OPEN))
+    codes = materialise(codes.groupBy("row").agg(F.collect_list("code").alias("codes")))
     handled = materialise(rows.join(codes, "row", "left").mapInArrow(resolve, RESOLVED))
-    strings = handled.where("text is not null").select(
-        "doc_id", "row", F.inline(F.arrays_zip("places", "h0", "h1"))
-    )
-    first = F.min(F.struct("doc_id", "row", "places")).alias("first")
-    shared = materialise(
-        strings.groupBy("h0", "h1").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pending = handled.where("text is not null")
+    contexts = materialise(
+        pending.select("doc_id", "row", F.inline(F.arrays_zip("places", "runs", "strings")))
     )
-    later = (F.col("row") != F.col("first.row")) | (F.col("places") != F.col("first.places"))
-    lists = materialise(
-        strings.join(shared, ["h0", "h1"])
-        .where(later)
-        .groupBy("row")
-        .agg(F.collect_list("places").alias("later"))
+    firsts, later = later_ones(repeated(contexts.mapInArrow(parts, PART)), ["entry", "context"])
+    opened = still_open(firsts).select(F.col("row"), "place", "size", F.col("head").alias("places"))
+    strings = materialise(contexts.join(opened, ["row", "places"]).mapInArrow(single, STRING))
+    _, same = later_ones(strings, ["h0", "h1"])
+    code = F.col("place").cast("long") * (2 * BLOCK) + F.col("size")
+    removed = later.select("row", "place", "size").unionByName(
+        same.select("row", "place", F.lit(1).alias("size"))
     )
-    pending = handled.where("text is not null").select("row", "doc_id", "text", "gone").join(lists, "row", "left")
+    lists = materialise(removed.groupBy("row").agg(F.collect_list(code).alias("later")))
+    rest = pending.select("row", "doc_id", "text", "gone").join(lists, "row", "left")
     return handled.where("text is null").select([c.split()[0] for c in DONE.split(", ")]).unionByName(
-        pending.select("doc_id", "text", "gone", "later").mapInArrow(finish, DONE)
+        rest.select("doc_id", "text", "gone", "later").mapInArrow(finish, DONE)
     )
 
 
