@@ -47,7 +47,14 @@ def trigamma(x: Column) -> Column:
     return F.lit(1.0) / z + r / 2 + r / z * _horner(TRIGAMMA_SERIES, r) + head
 
 
-def _np_trigamma(x):
+def np_digamma(x):
+    z = x + SHIFT
+    r = 1 / (z * z)
+    head = sum(1 / (x + i) for i in range(SHIFT))
+    return np.log(z) - 0.5 / z + r * _powers(DIGAMMA_SERIES, r) - head
+
+
+def np_trigamma(x):
     z = x + SHIFT
     r = 1 / (z * z)
     return 1 / z + r / 2 + r / z * _powers(TRIGAMMA_SERIES, r) + sum(
@@ -57,24 +64,28 @@ def _np_trigamma(x):
 
 def _np_tetragamma(x, h=1e-5):
     step = h * x
-    return (_np_trigamma(x + step) - _np_trigamma(x - step)) / (2 * step)
+    return (np_trigamma(x + step) - np_trigamma(x - step)) / (2 * step)
 
 
-@F.pandas_udf(T.DoubleType())
-def trigamma_inverse(v: pd.Series) -> pd.Series:
-    """x with trigamma(x) = v, for v > 0; NULL otherwise, also where Newton's steps on
-    1/trigamma do not settle."""
-    target = v.to_numpy(dtype=float, na_value=np.nan)
+def np_trigamma_inverse(target):
+    """x with trigamma(x) = target, and where that holds: for positive numbers on which Newton's
+    steps on 1/trigamma settle."""
     ok = target > 0
     goal = np.where(ok, target, 1.0)
     x = 0.5 + 1 / goal
     for _ in range(200):
-        tri = _np_trigamma(x)
+        tri = np_trigamma(x)
         step = tri * (1 - tri / goal) / _np_tetragamma(x)
         x = np.maximum(x + step, x / 4)
         if np.all(np.abs(step) <= 1e-13 * x):
             break
-    ok &= np.abs(step) <= 1e-10 * x
+    return x, ok & (np.abs(step) <= 1e-10 * x)
+
+
+@F.pandas_udf(T.DoubleType())
+def trigamma_inverse(v: pd.Series) -> pd.Series:
+    """x with trigamma(x) = v, for v > 0; NULL otherwise."""
+    x, ok = np_trigamma_inverse(v.to_numpy(dtype=float, na_value=np.nan))
     return pd.Series(np.where(ok, x, np.nan)).astype("Float64").mask(~ok)
 
 
@@ -164,11 +175,8 @@ def _nullable(values, ok) -> pd.Series:
     return pd.Series(np.where(ok, values, 0.0)).astype("Float64").mask(~ok)
 
 
-@F.pandas_udf(T.DoubleType())
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided tail of Student's t; infinite df is the normal limit, NULL stays NULL."""
-    tv = t.to_numpy(dtype=float, na_value=np.nan)
-    dv = df.to_numpy(dtype=float, na_value=np.nan)
+def np_t_two_sided(tv, dv):
+    """Two-sided tail of Student's t; infinite df is the normal limit, NaN stays NaN."""
     ok = ~(np.isnan(tv) | np.isnan(dv)) & (dv > 0)
     normal = dv > 1e9
     d = np.where(ok & ~normal, dv, 1.0)
@@ -176,7 +184,14 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     p = beta_inc(d / 2, 0.5, d / (d + sq), sq / (d + sq))
     if normal.any():
         p = np.where(normal, _erfc(np.sqrt(sq / 2)), p)
-    return _nullable(p, ok)
+    return np.where(ok, p, np.nan)
+
+
+@F.pandas_udf(T.DoubleType())
+def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+    """The same for columns; NULL stays NULL."""
+    p = np_t_two_sided(*(v.to_numpy(dtype=float, na_value=np.nan) for v in (t, df)))
+    return _nullable(p, ~np.isnan(p))
 
 
 @F.pandas_udf(T.DoubleType())

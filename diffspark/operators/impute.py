@@ -23,7 +23,7 @@ def _draw(centre: Column, trend: Trend, seed: int, imputation: Column) -> Column
     return centre + trend.predict(centre) * keyed_normal(seed, keys)
 
 
-def _missing_with_centre(measurements: DataFrame, cells: DataFrame, low: float) -> DataFrame:
+def missing_with_centre(measurements: DataFrame, cells: DataFrame, low: float) -> DataFrame:
     """Missing rows only, next to their condition mean; observed rows never move.
 
     A condition that holds a large share of the gaps is matched by broadcast, so that its
@@ -45,7 +45,7 @@ def single_imputation(
     given level, ``low`` the centre for conditions without any value.
     """
     observed = measurements.where(F.col("y").isNotNull())
-    filled = _missing_with_centre(measurements, cells, low).withColumn(
+    filled = missing_with_centre(measurements, cells, low).withColumn(
         "y", _draw(F.col("_centre"), trend, seed, F.lit(0))
     )
     return observed.unionByName(filled.select(*measurements.columns))
@@ -55,7 +55,7 @@ def imputation_draws(
     measurements: DataFrame, cells: DataFrame, trend: Trend, low: float, m: int, seed: int = 1
 ) -> DataFrame:
     """Missing rows times ``m`` draws: (imputation, identifier, condition, replicate, y)."""
-    spread = _missing_with_centre(measurements, cells, low).withColumn(
+    spread = missing_with_centre(measurements, cells, low).withColumn(
         "imputation", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     )
     return spread.select(

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
 from typing import NamedTuple
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from diffspark.functions import lines
 from diffspark.operators.ordered import quantiles
 from diffspark.stage import materialise
 
@@ -51,66 +52,102 @@ def fit_log_trend(rows: DataFrame, spread: str = "sd") -> Trend:
     return Trend(fit["b0"], fit["b1"])
 
 
-def fit_gamma_trend(
-    rows: DataFrame, spread: str = "sd", terms: str = "mean", label: str = "c"
-) -> Trend:
-    """Gamma regression with log link: ``mean``, ``mean+c`` or ``mean*c``.
+#: Features beside the constant of each set of terms.
+TERMS = {"mean": ("mean",), "mean+c": ("mean", "up"), "mean*c": ("mean", "up", "both")}
+TOLERANCE, STEPS = 1e-10, 50
 
-    ``rows`` is read once per reweighting step: pass a stage table.
-    """
-    columns = {"mean": ["mean"], "mean+c": ["mean", "_up"], "mean*c": ["mean", "_up", "_both"]}[terms]
-    data = _usable(rows, spread).withColumn(spread, F.col(spread).cast("double"))
-    if "_up" in columns:
-        up = (F.col(label) == UPPER).cast("double")
-        data = data.where(F.col(label).isNotNull()).withColumns(
-            {"_up": up, "_both": up * F.col("mean")}
-        )
-    features = VectorAssembler(inputCols=columns, outputCol="_x").transform(data)
-    model = GeneralizedLinearRegression(
-        family="gamma", link="log", featuresCol="_x", labelCol=spread, maxIter=50, tol=1e-10
-    ).fit(features.select("_x", spread))
-    slopes = list(model.coefficients) + [0.0, 0.0]
-    return Trend(
-        float(model.intercept),
-        float(slopes[0]),
-        float(slopes[1]),
-        float(slopes[2]),
-        float(model.summary.dispersion),
-    )
 
+class Regression(NamedTuple):
+    """What a gamma regression is of: spread column, terms (``mean``, ``mean+c`` or ``mean*c``)
+    and the column of labels that the terms with c use."""
 
-# --- partition of identifiers into two trends -------------------------------------
+    spread: str = "sd"
+    terms: str = "mean"
+    label: str = "c"
 
+    def features(self) -> list[Column]:
+        up = (F.col(self.label) == UPPER).cast("double")
+        mean = F.col("mean").cast("double")
+        named = {"mean": mean, "up": up, "both": up * mean}
+        return [F.lit(1.0), *(named[t] for t in TERMS[self.terms])]
 
-def _grid(span: tuple[float, float], n: int) -> list[float]:
-    lo, hi = span
-    return [lo + (hi - lo) * i / (n - 1) for i in range(n)] if n > 1 else [lo]
+    def usable(self) -> Column:
+        ok = (F.col(self.spread) > 0) & F.col("mean").isNotNull()
+        return ok if self.terms == "mean" else ok & F.col(self.label).isNotNull()
 
 
-def _lines(labelled: DataFrame) -> DataFrame:
-    """Least-squares line of ln(spread) on mean for both labels of every configuration.
+def _one_row(rows: DataFrame, sums: list[Column]) -> np.ndarray:
+    """Many sums over ``rows`` by one aggregation; no rows give zeros."""
+    found = rows.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
+    return np.array([0.0 if v is None else float(v) for v in found])
 
-    The running sums combine on the map side: a task sends 2 rows per configuration.
+
+def fit_gamma_trends(rows: DataFrame, models: dict[str, Regression]) -> dict[str, Trend]:
+    """Gamma regressions with log link of several models at once.
+
+    With this link all working weights are 1, so the normal equations are summed once and a
+    step needs X'(y / mu - 1) only. Every step is one aggregation for all models: a few sums
+    for each. ``rows`` is read once per step: pass a stage table.
     """
-    x, y = F.col("mean"), F.col("_y")
+    x = {k: m.features() for k, m in models.items()}
+    y = {k: F.col(m.spread).cast("double") for k, m in models.items()}
+
+    def totals(terms: dict[str, list[Column]]) -> dict[str, np.ndarray]:
+        """Sums of the terms of each model over its usable rows."""
+        flat = [F.sum(F.when(models[k].usable(), t)) for k, ts in terms.items() for t in ts]
+        out, at = _one_row(rows, flat), 0
+        parts = {}
+        for k, ts in terms.items():
+            parts[k] = out[at : at + len(ts)]
+            at += len(ts)
+        return parts
+
+    begin = totals({k: [a * b for a in x[k] for b in x[k]] + [a * F.ln(y[k]) for a in x[k]] for k in models})
+    inverse, beta, n, spread = {}, {}, {}, {}
+    for k, sums in begin.items():
+        size = len(x[k])
+        squares = sums[: size * size].reshape(size, size)
+        n[k] = squares[0, 0]
+        if not n[k]:
+            raise ValueError(f"no usable rows for {models[k]}")
+        inverse[k] = np.linalg.pinv(squares, hermitian=True)
+        beta[k] = inverse[k] @ sums[size * size :]
+    open_ = set(models)
+    for _ in range(STEPS):
+        excess = {
+            k: y[k] * F.exp(-sum(F.lit(float(b)) * c for b, c in zip(beta[k], x[k], strict=True))) - 1.0
+            for k in open_
+        }
+        for k, sums in totals({k: [e * e] + [e * c for c in x[k]] for k, e in excess.items()}).items():
+            spread[k] = sums[0]
+            step = inverse[k] @ sums[1:]
+            beta[k] = beta[k] + step
+            if np.abs(step).max() <= TOLERANCE * (1 + np.abs(beta[k]).max()):
+                open_ = open_ - {k}
+        if not open_:
+            break
+
+    def trend(k: str) -> Trend:
+        padded = [*(float(b) for b in beta[k]), 0.0, 0.0]
+        free = n[k] - len(x[k])
+        return Trend(*padded[:4], float(spread[k] / free) if free > 0 else None)
+
+    return {k: trend(k) for k in models}
 
-    def fit(of: str):
-        mine = F.col("_label") == of
-        xs, ys = F.when(mine, x), F.when(mine, y)
-        return [
-            F.regr_intercept(ys, xs).alias(f"b0_{of}"),
-            F.regr_slope(ys, xs).alias(f"b1_{of}"),
-        ]
 
-    return labelled.groupBy("config").agg(*fit(LOWER), *fit(UPPER))
+def fit_gamma_trend(
+    rows: DataFrame, spread: str = "sd", terms: str = "mean", label: str = "c"
+) -> Trend:
+    """One gamma regression, see :func:`fit_gamma_trends`."""
+    return fit_gamma_trends(rows, {"": Regression(spread, terms, label)})[""]
 
 
-def _distance(of: str) -> Column:
-    return F.abs(F.col("_y") - F.col(f"b0_{of}") - F.col(f"b1_{of}") * F.col("mean"))
+# --- partition of identifiers into two trends -------------------------------------
 
 
-def _closer() -> Column:
-    return F.when(_distance(UPPER) < _distance(LOWER), UPPER).otherwise(LOWER)
+def _grid(span: tuple[float, float], n: int) -> list[float]:
+    lo, hi = span
+    return [lo + (hi - lo) * i / (n - 1) for i in range(n)] if n > 1 else [lo]
 
 
 class Partition(NamedTuple):
@@ -137,58 +174,62 @@ def partition_trends(
     to the closer line, ``rounds`` times. The best configuration has the largest gamma
     log-likelihood kernel -sum(ln mu + s/mu); one that has no line for a label has no score and ranks
     last, and if none has two lines all rows are LOWER. Every identifier is used in every
-    configuration; each round is one aggregation whose shuffle is two rows per
+    configuration. A round is one pass in which tasks hold blocks of rows against all
+    configurations; what is shuffled, and collected in the end, is one row of sums per
     configuration and task.
     """
-    one = fit_log_trend(rows, spread)
-    base = materialise(
-        _usable(rows, spread)
-        .withColumn("_y", F.ln(spread))
-        .withColumn("_r", F.col("_y") - one.log_predict(F.col("mean")))
-    )
+    usable = _usable(rows, spread).withColumn("_y", F.ln(spread))
+    x, y = F.col("mean"), F.col("_y")
+    one = usable.agg(F.regr_intercept(y, x), F.regr_slope(y, x), F.avg(x), F.avg(y)).first()
+    trend = Trend(*one[:2])
+    centre = (one[2] or 0.0, one[3] or 0.0)
+    base = materialise(usable.withColumn("_r", y - trend.log_predict(x)))
+    points = base.select(*[F.col(c).cast("double") for c in ("mean", "_y", "_r")]).na.drop()
     h1s, h2s = _grid(h1_prop, n_h1), _grid(h2_prop, n_h2)
     probs = {f"lo{i}": h for i, h in enumerate(h1s)} | {f"hi{j}": 1 - h for j, h in enumerate(h2s)}
     cut = quantiles(base, [], "_r", probs).first()
-    spark = rows.sparkSession
-    configs = [
-        (i * n_h2 + j, h1, h2, cut[f"lo{i}"], cut[f"hi{j}"])
-        for i, h1 in enumerate(h1s)
-        for j, h2 in enumerate(h2s)
-    ]
-    grid = spark.createDataFrame(configs, "config int, h1 double, h2 double, lo double, hi double")
-    spread_out = base.withColumn(
-        "config", F.explode(F.sequence(F.lit(0), F.lit(n_h1 * n_h2 - 1)))
-    )
-    start = F.when(F.col("_r") <= F.col("lo"), LOWER).when(F.col("_r") >= F.col("hi"), UPPER)
-    # The configuration table has n_h1 * n_h2 rows, an argument of the call.
-    small = F.broadcast
-    lines = materialise(
-        _lines(spread_out.join(small(grid), "config").withColumn("_label", start))
-    )
-    for _ in range(rounds - 1):
-        lines = materialise(
-            _lines(spread_out.join(small(lines), "config").withColumn("_label", _closer()))
-        )
-    fitted = spread_out.join(small(lines), "config").withColumn("_label", _closer())
-    upper = F.col("_label") == UPPER
-    log_mu = F.when(upper, F.col("b0_U") + F.col("b1_U") * F.col("mean")).otherwise(
-        F.col("b0_L") + F.col("b1_L") * F.col("mean")
+    nothing = float("nan")
+    low, high = (
+        np.array([cut[f"{side}{i}"] if cut[f"{side}{i}"] is not None else nothing for i in range(n)])
+        for side, n in (("lo", n_h1), ("hi", n_h2))
     )
-    scored = materialise(
-        fitted.groupBy("config")
-        .agg(F.sum(-(log_mu + F.exp(F.col("_y") - log_mu))).alias("score"))
-        .join(small(lines), "config")
-        .join(small(grid.select("config", "h1", "h2")), "config")        .withColumn("score", F.when(F.col("b1_U").isNotNull() & F.col("b1_L").isNotNull(), F.col("score")))
+    configs = n_h1 * n_h2
+    members: lines.Start | lines.Lines = lines.Start(np.repeat(low, n_h2), np.tile(high, n_h1))
+    for _ in range(rounds):
+        run = partial(lines.line_sums, members=members, configs=configs, centre=centre)
+        members = lines.fitted(_merged(points, run, LINE_SUMS, configs), centre)
+    run = partial(lines.scores, lines=members, configs=configs)
+    score = _merged(points, run, {"score": "sum"}, configs)["score"]
+    found = np.isfinite(np.vstack(members)).all(axis=0)
+    h = [(h1, h2) for h1 in h1s for h2 in h2s]
+    order = sorted(range(configs), key=lambda k: (not found[k], -score[k] if found[k] else 0.0, *h[k]))
+    grid = rows.sparkSession.createDataFrame(
+        [(*h[k], float(score[k]) if found[k] else None, rank + 1) for rank, k in enumerate(order)],
+        "h1 double, h2 double, score double, rank int",
     )
-    order = Window.orderBy(F.desc("score"), "h1", "h2")
-    ranked = scored.withColumn("rank", F.row_number().over(order))
-    lines_of_best = ("b0_U", "b1_U", "b0_L", "b1_L")
-    best = scored.where("score is not null").orderBy(F.desc("score"), "h1", "h2").select(*lines_of_best).first()
-    if best is None:  # no configuration has two lines
-        return Partition(
-            ranked.select("h1", "h2", "score", "rank"),
-            base.select(*rows.columns).withColumn(label, F.lit(LOWER)),
-        )
-    named = base.drop("_r").withColumns({k: F.lit(best[k]) for k in lines_of_best})
-    labelled = named.withColumn(label, _closer()).select(*rows.columns, label)
-    return Partition(ranked.select("h1", "h2", "score", "rank"), labelled)
+    best = order[0]
+    if not found[best]:  # no configuration has two lines
+        return Partition(grid, base.select(*rows.columns).withColumn(label, F.lit(LOWER)))
+    b0_l, b1_l, b0_u, b1_u = (F.lit(float(m[best])) for m in members)
+    upper = F.abs(y - b0_u - b1_u * x) < F.abs(y - b0_l - b1_l * x)
+    labelled = base.withColumn(label, F.when(upper, UPPER).otherwise(LOWER))
+    return Partition(grid, labelled.select(*rows.columns, label))
+
+
+#: How the sums of tasks are merged.
+LINE_SUMS = {
+    f"{name}_{side}": how
+    for side in lines.SIDES
+    for name, how in {**dict.fromkeys(lines.POWERS, "sum"), "least": "min", "most": "max"}.items()
+}
+
+
+def _merged(points: DataFrame, run, how: dict[str, str], configs: int) -> dict[str, np.ndarray]:
+    """Sums of all tasks: ``configs`` rows, an argument of the call."""
+    schema = "config int, " + ", ".join(f"{c} double" for c in how)
+    parts = points.mapInArrow(run, schema)
+    out = {c: np.full(configs, {"sum": 0.0, "min": np.inf, "max": -np.inf}[h]) for c, h in how.items()}
+    for row in parts.groupBy("config").agg(*[getattr(F, h)(c).alias(c) for c, h in how.items()]).collect():
+        for c in how:
+            out[c][row["config"]] = row[c]
+    return out

@@ -24,6 +24,7 @@ from diffspark.operators import (
     roc,
     trend,
     ttest,
+    vectors,
 )
 from diffspark.plans import study, views
 from diffspark.plans.views import COMPARISONS, CONTRASTS, METHODS, TRUTH
@@ -546,6 +547,14 @@ class Missing:
         return impute.imputed_profiles(observed, self.draws(m), m, weight, expand)
 
 
+    def tests(self, m: int, weighted: bool = False, **options) -> DataFrame:
+        """Moderated tests of ``m`` imputations, one row per block of identifiers."""
+        draws = vectors.draw_vectors(self.rows, self.cells, self.trend, self.low, m)
+        weight = self.trend if weighted else None
+        profiles = vectors.vector_profiles(self.rows, draws, m, views.CONDITIONS, weight)
+        return vectors.vector_tests(profiles, CONTRASTS, m, weighted=weighted, **options)
+
+
 @query
 def q_impute_single(spark, d):
     g = Missing(spark, d)
@@ -692,12 +701,11 @@ def labelled_stats(spark, d) -> DataFrame:
 @query
 def q_gamma_glm(spark, d):
     stats = labelled_stats(spark, d)
-    rows = [
-        (terms, *trend.fit_gamma_trend(stats, "sd", terms)) for terms in ("mean", "mean+c", "mean*c")
-    ]
+    fits = trend.fit_gamma_trends(stats, {terms: trend.Regression("sd", terms) for terms in trend.TERMS})
+    rows = [(terms, *fit) for terms, fit in fits.items()]
     columns = "intercept slope upper_intercept upper_slope dispersion".split()
-    fits = spark.createDataFrame(rows, "terms string, " + ", ".join(f"{c} double" for c in columns))
-    return rounded(fits, *columns, digits=5)
+    table = spark.createDataFrame(rows, "terms string, " + ", ".join(f"{c} double" for c in columns))
+    return rounded(table, *columns, digits=5)
 
 
 def partition(spark, d) -> trend.Partition:
@@ -790,15 +798,12 @@ IMPUTATIONS_OF_STUDIES = 1000
 def consensus_parts(spark, d, m: int) -> DataFrame:
     """Consensus of the weighted, trended and robust test over ``m`` imputations (part
     "pairs") and its ROC at all thresholds (part "roc")."""
-    results = materialise(
-        moderated_results(spark, d, weighted=True, m=m, trend=True, robust=True)
-    )
-    adjusted = consensus.adjust_within_imputation(results)
-    table = materialise(consensus.consensus_table(adjusted, m))
+    tests = Missing(spark, d).tests(m, weighted=True, trend=True, robust=True)
+    table = materialise(vectors.vector_consensus(tests, m))
     pairs = rounded(
         rounded(table, "median_p_val", "median_lfc", "critical"), "binom_p_value", digits=9
     )
-    thresholds = consensus.consensus_thresholds(results, COMPARISONS[0])
+    thresholds = vectors.vector_thresholds(tests, m, COMPARISONS[0])
     labelled = table.withColumn("truth", labels.truth_flag(TRUTH))
     cells = consensus.consensus_roc(labelled, thresholds, COMPARISONS)
     cells = rounded(cells.select("comparison", "alpha", *CELLS), "alpha")
@@ -810,10 +815,25 @@ def consensus_parts(spark, d, m: int) -> DataFrame:
 @query
 def q_consensus_1000(spark, d):
     """Consensus and ROC over as many imputations as studies use; too many tests for the SQL,
-    which has :func:`q_consensus_methods` and :func:`q_consensus_roc` for fewer."""
+    which follows :func:`q_consensus_vectors` for fewer."""
     return consensus_parts(spark, d, IMPUTATIONS_OF_STUDIES)
 
 
+@query
+def q_consensus_vectors(spark, d):
+    """The tables of :func:`q_consensus_methods` from vectors of imputations."""
+    gaps = Missing(spark, d)
+    tests = {"trend": gaps.tests(IMPUTATIONS, trend=True)}
+    tests["full"] = gaps.tests(IMPUTATIONS, weighted=True, trend=True, robust=True)
+    tables = [
+        vectors.vector_consensus(t, IMPUTATIONS).withColumn("method", F.lit(name)) for name, t in tests.items()
+    ]
+    table = relational.union_all(tables)
+    return rounded(
+        rounded(table, "median_p_val", "median_lfc", "critical"), "binom_p_value", digits=9
+    )
+
+
 # --- whole study ------------------------------------------------------------------------------------------
 
 

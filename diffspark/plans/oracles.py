@@ -911,6 +911,7 @@ _oracle(
         FROM (SELECT *, row_number() OVER (PARTITION BY method, identifier, comparison ORDER BY q_val) AS k FROM adj_both)
         GROUP BY method, identifier, comparison) JOIN tail USING (hits)""",
 )
+ORACLES["q_consensus_vectors"] = ORACLES["q_consensus_methods"]
 _view(
     "crit",
     "adj",
