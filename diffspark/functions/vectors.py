@@ -326,8 +326,11 @@ def first_values(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.Recor
 # --- false discovery rate -------------------------------------------------------------------------
 
 
+COUNTED = 1 << 23  # counts in memory at a time
+
+
 def bucket_counts(batches: Iterator[pa.RecordBatch], m: int, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Number of p-values per comparison, bucket and imputation: a matrix per comparison."""
+    """Number of p-values per comparison, bucket and imputation, from a matrix per comparison."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for comparison, b in zip(batch.column("comparison").to_pylist(), batch.column("p").to_pylist(), strict=True):
@@ -336,6 +339,13 @@ def bucket_counts(batches: Iterator[pa.RecordBatch], m: int, cuts: np.ndarray) -
             cell = np.searchsorted(cuts, p[at], "right") * m + at % m
             found = np.bincount(cell, minlength=(len(cuts) + 1) * m)
             counts[comparison] = counts.get(comparison, 0) + found
+            if len(counts) * len(found) > COUNTED:
+                yield from _counted(counts, m)
+                counts = {}
+    yield from _counted(counts, m)
+
+
+def _counted(counts: dict[str, np.ndarray], m: int) -> Iterator[pa.RecordBatch]:
     for comparison, found in counts.items():
         cell = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict(

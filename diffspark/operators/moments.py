@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from diffspark.schema import Contrast, contrast_array
+from diffspark.schema import Contrast
 
 PLAIN = ("n", "mean", "ss")
 WEIGHTED = ("w", "wmean", "wss")
@@ -154,15 +154,16 @@ def row_stats(profile: DataFrame, keys: Sequence[str] = ("identifier",)) -> Data
 
 
 def per_contrast(profile: DataFrame, contrasts: Sequence[Contrast], keep: Sequence[str]) -> DataFrame:
-    """One row per identifier and contrast with the two cells as ``a`` and ``b``."""
-    c = F.col
-    spread = profile.select(*keep, "cells", F.explode(contrast_array(contrasts)).alias("contrast"))
-    return spread.select(
-        *keep,
-        c("contrast.comparison").alias("comparison"),
-        c("cells")[c("contrast.cond_a")].alias("a"),
-        c("cells")[c("contrast.cond_b")].alias("b"),
-    )
+    """One row per identifier and contrast with the two cells as ``a`` and ``b``.
+
+    The pairs of cells are picked first, so a contrast carries its two cells and not the map.
+    """
+    cells = F.col("cells")
+    pairs = [
+        F.struct(F.lit(c.comparison).alias("comparison"), cells[c.cond_a].alias("a"), cells[c.cond_b].alias("b"))
+        for c in contrasts
+    ]
+    return profile.select(*keep, F.inline(F.array(*pairs)))
 
 
 def log_fold_changes(

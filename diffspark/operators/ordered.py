@@ -10,6 +10,7 @@ Group keys must not be NULL.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -186,6 +187,23 @@ def quantiles(
     )
 
 
+def quantile_list(df: DataFrame, value: str, probs: Sequence[float]) -> list[float]:
+    """Exact quantiles of a column, linearly interpolated, for a list of any length; NaN if the
+    column has no values. Rows are numbered in order, ties by hash, and the wanted ones, two per
+    quantile, are taken. ``df`` should be a stage table."""
+    some = df.where(F.col(value).isNotNull())
+    keyed = some.select(F.col(value).cast("double").alias("_v"), F.xxhash64(*df.columns).alias("_tie"))
+    indexed = row_index(keyed, [], ["_v", "_tie"])
+    n = some.count()
+    if not n:
+        return [float("nan")] * len(probs)
+    position = [float(p) * (n - 1) for p in probs]
+    wanted = sorted({k for x in position for k in (math.floor(x), math.ceil(x))})
+    rows = indexed.where(F.col("index").isin([k + 1 for k in wanted])).select("index", "_v").collect()
+    at = {r["index"] - 1: r["_v"] for r in rows}
+    return [at[math.floor(x)] + (at[math.ceil(x)] - at[math.floor(x)]) * (x - math.floor(x)) for x in position]
+
+
 def trapezoid(
     points: DataFrame, groups: Sequence[str], x: str, y: str, out: str
 ) -> DataFrame:
@@ -229,11 +247,13 @@ def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str)
 
     Keys holding more than 1/HOT_KEYS of all rows, of which there are fewer than HOT_KEYS (and
     often none), are matched by broadcast and the others by an ordinary join that is then free
-    of hot keys and left to adaptive execution. Both inputs are read twice, so pass stage
-    tables.
+    of hot keys and left to adaptive execution. Where no key is hot that is all. With hot keys
+    both inputs are read twice, so pass stage tables.
     """
     names = list(keys)
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    total, most = table.agg(F.sum(weight), F.max(weight)).first()
+    if most is None or most * HOT_KEYS <= total:
+        return rows.join(table.drop(weight), names, "left")
     hot = F.broadcast(table.where(F.col(weight) * HOT_KEYS > total).drop(weight))
     cold = rows.join(hot.select(*names), names, "left_anti").join(table.drop(weight), names, "left")
     return rows.join(hot, names).unionByName(cold)

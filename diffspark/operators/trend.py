@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from diffspark.functions import lines
-from diffspark.operators.ordered import quantiles
+from diffspark.operators.ordered import quantile_list
 from diffspark.stage import materialise
 
 UPPER, LOWER = "U", "L"
@@ -85,9 +85,10 @@ def _one_row(rows: DataFrame, sums: list[Column]) -> np.ndarray:
 def fit_gamma_trends(rows: DataFrame, models: dict[str, Regression]) -> dict[str, Trend]:
     """Gamma regressions with log link of several models at once.
 
-    With this link all working weights are 1, so the normal equations are summed once and a
-    step needs X'(y / mu - 1) only. Every step is one aggregation for all models: a few sums
-    for each. ``rows`` is read once per step: pass a stage table.
+    Newton's steps from the least squares of ln y: a step needs X'(y / mu - 1) and
+    X' diag(y / mu) X, and with this link the likelihood has one maximum. Every step is one
+    aggregation for all models, a few sums for each. ``rows`` is read once per step: pass a stage
+    table.
     """
     x = {k: m.features() for k, m in models.items()}
     y = {k: F.col(m.spread).cast("double") for k, m in models.items()}
@@ -102,25 +103,36 @@ def fit_gamma_trends(rows: DataFrame, models: dict[str, Regression]) -> dict[str
             at += len(ts)
         return parts
 
-    begin = totals({k: [a * b for a in x[k] for b in x[k]] + [a * F.ln(y[k]) for a in x[k]] for k in models})
-    inverse, beta, n, spread = {}, {}, {}, {}
-    for k, sums in begin.items():
+    half = {k: [(i, j) for i in range(len(x[k])) for j in range(i + 1)] for k in models}
+
+    def square(k: str, sums: np.ndarray) -> np.ndarray:
+        """A symmetric matrix from the sums of its lower half."""
+        out = np.zeros((len(x[k]), len(x[k])))
+        for (i, j), v in zip(half[k], sums, strict=True):
+            out[i, j] = out[j, i] = v
+        return out
+
+    def products(k: str, weight: Column | float = 1.0) -> list[Column]:
+        return [weight * x[k][i] * x[k][j] for i, j in half[k]]
+
+    beta, n, spread = {}, {}, {}
+    for k, sums in totals({k: [a * F.ln(y[k]) for a in x[k]] + products(k) for k in models}).items():
         size = len(x[k])
-        squares = sums[: size * size].reshape(size, size)
-        n[k] = squares[0, 0]
+        n[k] = sums[size]
         if not n[k]:
             raise ValueError(f"no usable rows for {models[k]}")
-        inverse[k] = np.linalg.pinv(squares, hermitian=True)
-        beta[k] = inverse[k] @ sums[size * size :]
+        beta[k] = np.linalg.pinv(square(k, sums[size:]), hermitian=True) @ sums[:size]
     open_ = set(models)
     for _ in range(STEPS):
         excess = {
             k: y[k] * F.exp(-sum(F.lit(float(b)) * c for b, c in zip(beta[k], x[k], strict=True))) - 1.0
             for k in open_
         }
-        for k, sums in totals({k: [e * e] + [e * c for c in x[k]] for k, e in excess.items()}).items():
+        terms = {k: [e * e] + [e * c for c in x[k]] + products(k, e + 1.0) for k, e in excess.items()}
+        for k, sums in totals(terms).items():
+            size = len(x[k])
             spread[k] = sums[0]
-            step = inverse[k] @ sums[1:]
+            step = np.linalg.pinv(square(k, sums[1 + size :]), hermitian=True) @ sums[1 : 1 + size]
             beta[k] = beta[k] + step
             if np.abs(step).max() <= TOLERANCE * (1 + np.abs(beta[k]).max()):
                 open_ = open_ - {k}
@@ -186,13 +198,8 @@ def partition_trends(
     base = materialise(usable.withColumn("_r", y - trend.log_predict(x)))
     points = base.select(*[F.col(c).cast("double") for c in ("mean", "_y", "_r")]).na.drop()
     h1s, h2s = _grid(h1_prop, n_h1), _grid(h2_prop, n_h2)
-    probs = {f"lo{i}": h for i, h in enumerate(h1s)} | {f"hi{j}": 1 - h for j, h in enumerate(h2s)}
-    cut = quantiles(base, [], "_r", probs).first()
-    nothing = float("nan")
-    low, high = (
-        np.array([cut[f"{side}{i}"] if cut[f"{side}{i}"] is not None else nothing for i in range(n)])
-        for side, n in (("lo", n_h1), ("hi", n_h2))
-    )
+    cuts = quantile_list(base, "_r", [*h1s, *(1 - h for h in h2s)])
+    low, high = np.array(cuts[:n_h1]), np.array(cuts[n_h1:])
     configs = n_h1 * n_h2
     members: lines.Start | lines.Lines = lines.Start(np.repeat(low, n_h2), np.tile(high, n_h1))
     for _ in range(rounds):

@@ -37,7 +37,7 @@ from diffspark.operators.trend import UPPER, Trend
 from diffspark.schema import Contrast
 from diffspark.stage import materialise
 
-RANGE_VALUES = 1 << 21  # p-values that a task ranks at a time, about
+RANGE_VALUES = 1 << 18  # p-values that a task ranks at a time, about
 HELD = 200_000  # numbers that the driver takes to finish order statistics
 CUTS = 32  # cuts of a bracket in a pass
 PARTS = 64  # tasks that share a range of one single value
@@ -97,7 +97,10 @@ def vector_profiles(
     gaps = summed.groupBy("identifier").agg(
         F.collect_list(F.struct("condition", "centre", "g", "sums")).alias("gaps")
     )
-    return materialise(observed.select("identifier", "cells").join(gaps, "identifier", "full"))
+    joined = observed.select("identifier", "cells").join(gaps, "identifier", "full")
+    # the work is in the vectors that come of a row, not in its bytes: all tasks get rows
+    parts = int(measurements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(joined.repartition(parts, "identifier"))
 
 
 def order_statistics(residuals: DataFrame, m: int, probs: Sequence[float]) -> np.ndarray:
@@ -230,8 +233,8 @@ def shared_cuts(tests: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Cuts of the p-values into ranges of about RANGE_VALUES, and which ranges hold one single
     value. They come from the first imputation; a value that fills a whole range has one to itself."""
     first = first_p_values(tests, m)
-    n = first.count() * m
-    ranges = max(1, -(-n // RANGE_VALUES))
+    comparisons = tests.select("comparison").distinct().count()
+    ranges = max(1, -(-first.count() * m // max(1, comparisons * RANGE_VALUES)))
     if ranges == 1:
         return np.zeros(0), np.zeros(1, bool)
     shares = [k / ranges for k in range(1, ranges)]

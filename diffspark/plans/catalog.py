@@ -69,6 +69,55 @@ def q_text_scan(spark, d):
     )
 
 
+@query
+def q_text_rejects(spark, d):
+    """A text table with its columns in another order, one column too many and prices that are
+    no numbers: rows by name, rejected cells on the side."""
+    price = F.col("l_extendedprice").cast("string")
+    odd = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("$"), price)).otherwise(price)
+    lines = views.table(spark, d, "lineitem").select(
+        F.col("l_linenumber").alias("note"),
+        odd.alias("l_extendedprice"),
+        "l_returnflag",
+        "l_tax",
+    )
+    path = new_path(spark)
+    tables.write_delimited(relational.zero_as_missing(lines, ["l_tax"]), path, sep="\t")
+    scan = tables.scan_delimited(
+        spark, path, "l_returnflag string, l_tax double, l_extendedprice double", sep="\t"
+    )
+    rows = scan.rows.groupBy(F.col("l_returnflag").alias("what")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("l_tax").alias("taxed"),
+        F.round(F.sum("l_extendedprice"), 2).alias("total"),
+    )
+    rejects = scan.rejected.groupBy(F.col("column").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.unionByName(rejects, allowMissingColumns=True)
+
+
+@query
+def q_interrupted_write(spark, d):
+    """Tables over what killed jobs have left: a folder of rows that was never published does
+    not count, neither for a table that is written once nor for a saved dataset."""
+    s = views.scores(spark, d)
+    once, root = new_path(spark), new_path(spark)
+    part = s.where("score > 1")
+    part.write.parquet(f"{once}/data-killed")
+    first = tables.write_once(s, once)
+    again = tables.write_once(part, once)
+    saved = s.withColumn("dataset", F.col("method"))
+    tables.save_result(saved, root)
+    part.select("identifier", "comparison", "score", "lfc", "truth", "method").write.parquet(
+        f"{root}/dataset=ttest/snapshot=killed"
+    )
+    loaded = tables.load_results(spark, root).drop("dataset")
+    found = {"first": first, "again": again, "saved": loaded}
+    every = relational.union_all([t.withColumn("read", F.lit(k)) for k, t in found.items()])
+    return every.groupBy("read", "method").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("truth").alias("n_true"), F.max("score").alias("top")
+    )
+
+
 @query
 def q_stage_reload(spark, d):
     """Result tables saved per dataset and loaded together, tagged by their folder."""

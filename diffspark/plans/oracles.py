@@ -223,6 +223,21 @@ _oracle(
     round(sum(l_extendedprice), 2) AS total FROM lineitem, (VALUES ('tab'), ('comma')) f(format)
     GROUP BY format, l_returnflag""",
 )
+_oracle(
+    "q_text_rejects",
+    "",
+    """SELECT l_returnflag AS what, count(*) AS n, count(nullif(l_tax, 0)) AS taxed,
+    round(sum(CASE WHEN l_linenumber <> 7 THEN l_extendedprice END), 2) AS total
+    FROM lineitem GROUP BY l_returnflag
+    UNION ALL SELECT 'l_extendedprice', count(*), NULL, NULL FROM lineitem WHERE l_linenumber = 7
+    HAVING count(*) > 0""",
+)
+_oracle(
+    "q_interrupted_write",
+    "s",
+    """SELECT read, method, count(*) AS n, count(*) FILTER (truth) AS n_true, max(score) AS top
+    FROM s, (VALUES ('first'), ('again'), ('saved')) r(read) GROUP BY read, method""",
+)
 _oracle(
     "q_stage_reload",
     "s",

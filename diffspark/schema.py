@@ -36,21 +36,6 @@ def conditions_of(contrasts: Sequence[Contrast]) -> list[str]:
     return list(dict.fromkeys(name for c in contrasts for name in c))
 
 
-def contrast_array(contrasts: Sequence[Contrast]) -> Column:
-    """The contrasts as an array literal, ready to be exploded next to a profile."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(c.comparison).alias("comparison"),
-                F.lit(c.cond_a).alias("cond_a"),
-                F.lit(c.cond_b).alias("cond_b"),
-                F.lit(i + 1).alias("ord"),
-            )
-            for i, c in enumerate(contrasts)
-        ]
-    )
-
-
 def design_table(df: DataFrame, sample: str = "replicate") -> DataFrame:
     """Conditions found in the data with their number of distinct samples."""
     return df.groupBy("condition").agg(F.count_distinct(sample).alias("replicates"))

@@ -101,3 +101,69 @@ def test_nest_and_first(spark):
     assert [r.t for r in first.collect()] == [1.0]
     with pytest.raises(ValueError):
         schema.parse_contrast("abc")
+
+
+def _write(folder, **files):
+    folder.mkdir()
+    for name, text in files.items():
+        (folder / f"{name}.csv").write_text(text)
+    return str(folder)
+
+
+def test_scan_by_names_with_rejected_cells(spark, tmp_path):
+    path = _write(
+        tmp_path / "t",
+        a="y,more,identifier,n\n1.5,x,i1,3\nabc,x,i2,4\nNA,x,NA,NA\n",
+        b="y,more,identifier,n\n2,x,i3,4.5\n7,x\n8,x,i4,5,6\n-,x,i5,seven\n",
+    )
+    scan = tables.scan_delimited(spark, path, "identifier string, y double, n int")
+    assert scan.rows.columns == ["identifier", "y", "n"]
+    rows = {tuple(r) for r in scan.rows.collect()}
+    assert rows == {("i1", 1.5, 3), ("i2", None, 4), (None, None, None), ("i3", 2.0, None), ("i5", None, None)}
+    rejected = {(r["file"][-5:], r["column"], r["value"]) for r in scan.rejected.collect()}
+    assert rejected == {
+        ("a.csv", "y", "abc"),
+        ("b.csv", "n", "4.5"),
+        ("b.csv", None, "7,x"),
+        ("b.csv", None, "8,x,i4,5,6"),
+        ("b.csv", "y", "-"),
+        ("b.csv", "n", "seven"),
+    }
+    assert scan.rejected.count() == len(rejected)
+    with pytest.raises(ValueError, match="no_such"):
+        tables.scan_delimited(spark, path, "no_such string")
+
+
+def test_interrupted_write_is_written_again(spark, tmp_path):
+    path = str(tmp_path / "once")
+    spark.range(2).write.parquet(f"{path}/data-of-a-killed-job")  # no pointer names it
+    assert tables.write_once(spark.range(5), path).count() == 5
+    assert tables.write_once(spark.range(9), path).count() == 5
+
+
+def test_first_of_two_writers_wins(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "once")
+    publish = tables._Files.publish
+
+    def late(self, name, text, replace):
+        monkeypatch.undo()
+        assert tables.write_once(spark.range(3), path).count() == 3  # finishes in between
+        return publish(self, name, text, replace)
+
+    monkeypatch.setattr(tables._Files, "publish", late)
+    assert tables.write_once(spark.range(7), path).count() == 3
+    assert len([f for f in (tmp_path / "once").iterdir() if f.name.startswith("data-")]) == 1
+
+
+def test_unpublished_snapshots_do_not_count(spark, tmp_path):
+    root = str(tmp_path / "r")
+    rows = spark.createDataFrame([("a/b", 1), ("c", 2), (None, 3)], "dataset string, v int")
+    tables.save_result(rows, root)
+    spark.range(4).select(F.lit(9).alias("v")).write.parquet(f"{root}/dataset=c/snapshot=broken")
+    tables.save_result(rows.where("dataset = 'a/b'").withColumn("v", F.lit(5)), root)
+    got = {r.dataset: r.v for r in tables.load_results(spark, root).collect()}
+    assert got == {"a/b": 5, "c": 2, None: 3}
+    assert tables.drop_superseded(spark, root) == 2
+    assert tables.load_results(spark, root).count() == 3
+    with pytest.raises(ValueError):
+        tables.load_results(spark, str(tmp_path / "none"))

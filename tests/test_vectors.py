@@ -82,7 +82,7 @@ def test_rates_over_shared_ranges(spark, ranges, monkeypatch):
     p[::3] = 0.125
     p[5] = p[6]
     p[:, 4] = np.nan
-    monkeypatch.setattr(vectors, "RANGE_VALUES", -(-p.size * 2 // ranges))
+    monkeypatch.setattr(vectors, "RANGE_VALUES", -(-p.size // ranges))
     monkeypatch.setattr(vectors, "PARTS", 3)
     tests = blocks(spark, p)
     if ranges > 7:
