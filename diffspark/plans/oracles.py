@@ -101,15 +101,22 @@ def _tstat(cells: str) -> str:
 _view("tstat", "cells_m contrasts", _tstat("cells_m"))
 
 
-def incomplete_beta(a: str, b: str, x: str, y: str, terms: int = 400) -> str:
-    """Power series of I_x(a, b); callers keep x at or below 1/2."""
-    ratio = (
-        f"exp(lgamma({a} + {b} + j) - lgamma({a} + {b}) - lgamma({a} + 1 + j)"
-        f" + lgamma({a} + 1) + j * ln({x}))"
-    )
-    front = (
-        f"exp({a} * ln({x}) + {b} * ln({y}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / ({a})"
+def lgamma_step(z: str, h: str) -> str:
+    """lgamma(z + h) - lgamma(z). Two large values of lgamma cancel (at z = 17,000 ten digits are
+    left), so beyond 20 it is a difference of Stirling series, with ln(1 + h / z) from atanh."""
+    tail = " ".join(
+        f"{sign} (power({z} + {h}, -{k}) - power({z}, -{k})) / {d}.0"
+        for sign, k, d in (("+", 1, 12), ("-", 3, 360), ("+", 5, 1260), ("-", 7, 1680))
     )
+    series = f"({z} - 0.5) * 2 * atanh({h} / (2 * {z} + {h})) + {h} * ln({z} + {h}) - {h} {tail}"
+    return f"(CASE WHEN {z} > 20 THEN {series} ELSE lgamma({z} + {h}) - lgamma({z}) END)"
+
+
+def incomplete_beta(a: str, b: str, x: str, big: str, small: str, terms: int = 400) -> str:
+    """Power series of I_x(a, b); callers keep x at or below 1/2 and tell which parameter may be large."""
+    ratio = f"exp({lgamma_step(f'({a} + {b})', 'j')} - {lgamma_step(f'({a} + 1)', 'j')} + j * ln({x}))"
+    ln_y = f"(-2 * atanh({x} / (2 - {x})))"
+    front = f"exp({a} * ln({x}) + {b} * {ln_y} + {lgamma_step(big, small)} - lgamma({small})) / ({a})"
     return f"{front} * list_sum(list_transform(range({terms}), lambda j: {ratio}))"
 
 
@@ -118,8 +125,8 @@ def two_sided_t(t: str, df: str) -> str:
     x, y = f"({df} / ({df} + {t} * {t}))", f"({t} * {t} / ({df} + {t} * {t}))"
     a, b = f"({df} / 2.0)", "0.5"
     return f"""CASE WHEN {t} IS NULL THEN NULL WHEN {t} = 0 THEN 1.0
-        WHEN {x} <= 0.5 THEN {incomplete_beta(a, b, x, y)}
-        ELSE 1 - {incomplete_beta(b, a, y, x)} END"""
+        WHEN {x} <= 0.5 THEN {incomplete_beta(a, b, x, a, b)}
+        ELSE 1 - {incomplete_beta(b, a, y, a, b)} END"""
 
 
 def two_sided_normal(z: str) -> str:
@@ -423,7 +430,7 @@ _oracle(
     "q_binom_tail",
     "m",
     f"""SELECT identifier, k, n, round(CASE WHEN k = 0 THEN 1.0
-      ELSE {incomplete_beta('k', '(n - k + 1)', '0.5', '0.5')} END, 9) AS binom_p_value
+      ELSE {incomplete_beta('k', '(n - k + 1)', '0.5', 'k', '(n - k + 1)')} END, 9) AS binom_p_value
     FROM (SELECT identifier, count(*) AS n, count(*) FILTER (condition = 'A') AS k FROM m GROUP BY identifier)""",
 )
 

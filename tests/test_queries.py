@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from check_oracles import canonical, compare, database
 
-SLOW = {"q_study", "q_consensus_1000"}
-KEYS = [k for k in entry.queries() if k.startswith("q_") and k not in SLOW]
+
+KEYS = [k for k in entry.queries() if k.startswith("q_")]
 
 
 @pytest.fixture(scope="module")
