@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from diffspark.functions.labels import order_by_frequency, truth_class
 from diffspark.operators.moments import wide_fold_changes, with_row_stats
 from diffspark.schema import Contrast
+from diffspark.stage import new_path
 
 DISCARDED = "Discarded"
 
@@ -77,6 +79,50 @@ def predict_class(model: PipelineModel, rows: DataFrame, features: Sequence[str]
     )
 
 
+class Node(NamedTuple):
+    """A node of a fitted tree: a leaf's shares of the classes, or a split at ``value``."""
+
+    shares: tuple[float, float]
+    feature: int
+    value: float
+    left: int
+    right: int
+
+
+def forest_nodes(model: PipelineModel, spark: SparkSession) -> list[dict[int, Node]]:
+    """The trees of a fitted filter as tables of nodes (0 is the root), read from the saved model.
+    A forest is held by the driver anyway."""
+    path = new_path(spark)
+    model.stages[-1].write().save(path)
+    trees: dict[int, dict[int, Node]] = {}
+    for row in spark.read.parquet(f"{path}/data").collect():
+        n = row["nodeData"]
+        total = sum(n["impurityStats"])
+        shares = tuple(x / total for x in n["impurityStats"])
+        split = n["split"]
+        value = split["leftCategoriesOrThreshold"]
+        trees.setdefault(row["treeID"], {})[n["id"]] = Node(
+            shares, split["featureIndex"], value[0] if value else 0.0, n["leftChild"], n["rightChild"]
+        )
+    return [trees[k] for k in sorted(trees)]
+
+
+def tree_sql(nodes: dict[int, Node], features: Sequence[str], at: int = 0) -> str:
+    """A tree as a nested CASE that gives the share of positives less that of negatives."""
+    n = nodes[at]
+    if n.left < 0:
+        return repr(n.shares[1] - n.shares[0])
+    low, high = (tree_sql(nodes, features, k) for k in (n.left, n.right))
+    return f"CASE WHEN {features[n.feature]} <= CAST({n.value!r} AS DOUBLE) THEN {low} ELSE {high} END"
+
+
+def forest_sql(trees: Sequence[dict[int, Node]], features: Sequence[str]) -> str:
+    """The forest as standard SQL over the feature columns: TP where the trees together lean to
+    positives, else TN. Any engine can judge with it."""
+    votes = " + ".join(f"CAST({tree_sql(t, features)} AS DOUBLE)" for t in trees)
+    return f"CASE WHEN {votes} > 0 THEN 'TP' ELSE 'TN' END"
+
+
 def keep_list(predicted: DataFrame) -> DataFrame:
     """Identifiers to keep: all but the true positives that look negative."""
     return predicted.where(F.col("cls_prd") != "TP-TN").select("identifier")

@@ -395,6 +395,21 @@ def q_psrn_wide(spark, d):
     return rounded(study.normalised(*views.matrix(spark, d)), "y")
 
 
+@query
+def q_psrn_human(spark, d):
+    """A wide matrix in the shape of the human design: 3 conditions of 23 samples."""
+    return rounded(study.normalised(*views.suppliers(spark, d)), "y")
+
+
+@query
+def q_ttest_ramus(spark, d):
+    """The 36 contrasts of the nine conditions of the ramus design."""
+    contrasts = study.preset("ramus").contrasts
+    p = moments.direct_profiles(views.nine_conditions(spark, d), study.RAMUS_CONDITIONS)
+    t = ttest.t_test(p, contrasts).where(F.col("p_val").isNotNull())
+    return rounded(t, "p_val", "lfc")
+
+
 @query
 def q_tstat(spark, d):
     t = ttest.t_statistics(profile(spark, d), CONTRASTS).where(F.col("t").isNotNull())
@@ -816,6 +831,25 @@ def q_forest_classes(spark, d):
     return judged
 
 
+@query
+def q_forest_compiled(spark, d):
+    """A small forest judges all rows twice, as a fitted model and as SQL made from its trees:
+    how many rows of each class it has judged, and on how many both agree."""
+    names = classify.feature_names(CONTRASTS)
+    everything = materialise(
+        classify.filter_features(profile(spark, d, "heavy"), CONTRASTS, TRUTH)
+    )
+    model = classify.fit_filter(everything, names, trees=8, depth=5)
+    sql = classify.forest_sql(classify.forest_nodes(model, spark), names)
+    full = everything.na.drop("any", subset=names)
+    both = classify.predict_class(model, full, names).join(
+        full.select("identifier", F.expr(sql).alias("by_sql")), "identifier"
+    )
+    return both.groupBy("class").agg(
+        F.count(F.lit(1)).alias("judged"), F.count_if(F.col("pred") == F.col("by_sql")).alias("agreed")
+    )
+
+
 def by_rule(spark, d) -> tuple[DataFrame, DataFrame]:
     """Features and predictions of a fixed rule in place of the forest."""
     features = materialise(classify.filter_features(profile(spark, d, "heavy"), CONTRASTS, TRUTH))

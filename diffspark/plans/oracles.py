@@ -403,6 +403,48 @@ _oracle(
         SELECT identifier, avg(ln(y)) AS level FROM matrix GROUP BY identifier HAVING count(y) = 9)
       USING (identifier) GROUP BY condition, replicate) USING (condition, replicate)""",
 )
+_oracle(
+    "q_psrn_human",
+    "",
+    """WITH seen AS (
+      SELECT CAST(l_suppkey AS VARCHAR) AS identifier, l_returnflag AS condition,
+        l_orderkey % 23 + 1 AS replicate, avg(l_extendedprice) AS y FROM lineitem GROUP BY ALL
+    ), sizes AS (
+      SELECT condition, replicate, median(exp(ln(y) - level)) AS size FROM seen JOIN (
+        SELECT identifier, avg(ln(y)) AS level FROM seen GROUP BY identifier HAVING count(y) = 69)
+      USING (identifier) GROUP BY condition, replicate)
+    SELECT i.identifier, f.condition, CAST(r.replicate AS BIGINT) AS replicate, round(log2(y / size), 6) AS y
+    FROM (SELECT DISTINCT identifier FROM seen) i
+    CROSS JOIN (VALUES ('A'), ('N'), ('R')) f(condition) CROSS JOIN range(1, 24) r(replicate)
+    LEFT JOIN seen USING (identifier, condition, replicate) LEFT JOIN sizes USING (condition, replicate)""",
+)
+_view(
+    "nine",
+    "",
+    """SELECT CAST(l_suppkey AS VARCHAR) AS identifier, 'condi' || (l_orderkey % 9 + 1) AS condition,
+      log2(l_extendedprice) AS y FROM lineitem""",
+)
+_view("cells_nine", "nine", _cells("nine"))
+_view(
+    "contrasts_nine",
+    "",
+    """SELECT 'condi' || a AS ca, 'condi' || b AS cb, 'condi' || a || ' vs condi' || b AS comparison
+    FROM range(1, 10) x(a), range(1, 10) y(b) WHERE a < b""",
+)
+_view(
+    "t_nine",
+    "cells_nine contrasts_nine",
+    """SELECT a.identifier, c.comparison, a.mean - b.mean AS lfc, a.n + b.n - 2 AS df,
+       (a.mean - b.mean) / sqrt((a.ss + b.ss) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t
+    FROM cells_nine a JOIN contrasts_nine c ON a.condition = c.ca
+    JOIN cells_nine b ON b.identifier = a.identifier AND b.condition = c.cb
+    WHERE a.n > 1 AND b.n > 1""",
+)
+_oracle(
+    "q_ttest_ramus",
+    "t_nine",
+    f"SELECT identifier, comparison, round({two_sided_t('t', 'df')}, 6) AS p_val, round(lfc, 6) AS lfc FROM t_nine",
+)
 _oracle(
     "q_tstat",
     "tstat",
@@ -1138,6 +1180,13 @@ _oracle(
         SELECT coalesce(r.class || '-' || r.pred, 'Discarded') AS cls_prd
         FROM features f LEFT JOIN ruled r USING (identifier)) GROUP BY cls_prd) USING (cls_prd)""",
 )
+_oracle(
+    "q_forest_compiled",
+    "features",
+    """SELECT class, count(*) AS judged, count(*) AS agreed FROM features
+    WHERE mean IS NOT NULL AND sd IS NOT NULL AND "A_vs_N" IS NOT NULL AND "A_vs_R" IS NOT NULL AND "N_vs_R" IS NOT NULL
+    GROUP BY class""",
+)
 _oracle(
     "q_forest_classes",
     "features_mv",

@@ -90,6 +90,29 @@ def matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return wide, names
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Linear wide matrix of suppliers, three conditions with 23 samples each: mean prices of
+    the lines with a flag, dealt to the samples by order number."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_returnflag", "l_orderkey", F.col("l_extendedprice").alias("y")
+    )
+    sample = F.concat_ws("_", "l_returnflag", (F.col("l_orderkey") % 23 + 1).cast("string"))
+    names = [f"{c}_{r}" for c in CONDITIONS for r in range(1, 24)]
+    wide = lines.groupBy(F.col("l_suppkey").cast("string").alias("identifier")).agg(
+        *[F.avg(F.when(sample == n, F.col("y"))).alias(n) for n in names]
+    )
+    return wide, names
+
+
+def nine_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logarithms of line prices as measurements of suppliers under nine conditions."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("string").alias("identifier"),
+        F.concat(F.lit("condi"), (F.col("l_orderkey") % 9 + 1).cast("string")).alias("condition"),
+        F.log2("l_extendedprice").alias("y"),
+    )
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact, heavily tied scores of three methods for every order."""
     orders = table(spark, sf_dir, "orders").select(
