@@ -72,6 +72,44 @@ def test_exact_index_goes_on(spark, odd, none, tmp_path):
     assert again.rows().count() == again.rows().select("digest").distinct().count()
 
 
+def test_exact_batch_again(spark, odd, tmp_path, monkeypatch):
+    """A batch that failed behind its append, or half way through it, is added again."""
+    path = str(tmp_path / "index")
+    with exact_dedup.DigestIndex(spark, path, buckets=4) as index:
+        index.add(odd.where("doc_id <= 3"), batch="one").collect()
+
+    def shown(out):
+        columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256", "known")
+        return sorted(map(str, out.select(*columns).collect()))
+
+    with exact_dedup.DigestIndex(spark, path) as index:
+        assert index.buckets == 4
+        first = shown(index.add(odd, batch="two"))
+    with exact_dedup.DigestIndex(spark, path) as index:
+        again = shown(index.add(odd.repartition(2), batch="two"))
+        digests = index.rows().count()
+        other = index.add(odd, batch="three")
+        assert other.where("kept").count() == 0 and other.where("not known").count() == 0
+        assert index.rows().count() == digests == index.rows().select("digest").distinct().count()
+    assert again == first
+    half = str(tmp_path / "half")
+    with exact_dedup.DigestIndex(spark, half, buckets=2) as index:
+        index.add(odd.where("doc_id > 5"), batch="b")
+        kept = index.add(odd, batch="b").where("kept")
+        assert kept.count() == odd.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert not [t for t in spark.catalog.listTables() if t.name == index.name]
+    with pytest.raises(ValueError):
+        exact_dedup.DigestIndex(spark, half, buckets=3)
+
+
+def test_exact_buckets_follow_size(spark, odd, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 1)
+    with exact_dedup.DigestIndex(spark) as index:
+        assert index.rows().count() == 0
+        index.add(odd)
+        assert index.buckets == 16
+
+
 def test_keep_first_keeps_columns(spark, odd):
     out = exact_dedup.keep_first(odd, exact_dedup.DigestIndex(spark, buckets=2))
     assert out.columns == odd.columns
