@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: quality classifier, exact dedup, near-dedup, packing."""
+"""From raw documents to packed sequences: quality classifier, exact dedup, near-dedup, packing.
+
+Cases: a null text counts as empty in every stage; blank texts have no words and no near copies.
+Rows with one text are reduced to one, whatever their ids, also null or repeated ones. Very long
+texts are judged and packed whole. Other columns go through all stages but the last unchanged, whatever
+their names. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text."""
-    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark))
+    with exact_dedup.DigestIndex(spark) as index:
+        return exact_dedup.keep_first(docs, index)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
