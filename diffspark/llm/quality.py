@@ -149,6 +149,26 @@ def cutoff(keys: DataFrame, k: int) -> tuple[float, int]:
     return low, k - above
 
 
+def nth_row(rows: DataFrame, n: int) -> int:
+    """The n-th smallest ``row`` (from 1), found as in :func:`cutoff`: however many rows there
+    are, none of them is gathered."""
+    low, high = rows.agg(F.min("row"), F.max("row")).first()
+    while low < high:
+        width = (high - low) // BINS + 1
+        inside = rows.where(F.col("row").between(low, high))
+        bins = (
+            inside.groupBy(F.expr(f"(row - {low}L) div {width}L").alias("slot"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("low"), F.max("row").alias("high"))
+            .collect()  # BINS rows at most
+        )
+        for b in sorted(bins):
+            if n <= b["n"]:
+                low, high = b["low"], b["high"]
+                break
+            n -= b["n"]
+    return low
+
+
 def judged_weights(keyed: DataFrame) -> DataFrame:
     """(verdict, log_weight) of the labelled ids, one row each: the least weight of an id's rows."""
     one = keyed.where("verdict is not null").groupBy("doc_id", "verdict")
@@ -202,8 +222,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if k == 0:
         return out.withColumn("kept", F.lit(False))
     least, ties = cutoff(keyed.select("key"), k)
-    at = keyed.where(F.col("key") == least).select("row").orderBy("row").limit(ties)
-    tied = at.agg(F.max("row")).first()[0]
+    tied = nth_row(keyed.where(F.col("key") == least).select("row"), ties)
     return out.withColumn(
         "kept", (F.col("key") > least) | ((F.col("key") == least) & (F.col("row") <= tied))
     )

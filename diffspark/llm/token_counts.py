@@ -7,6 +7,9 @@ signs before the edit (what comes before it can't depend on the edit: the patter
 looks back, and ahead only to the next sign or over a contraction), and ends where a new boundary falls on an old one behind the edit. Only these
 pre-tokens are counted again; the leaves they are in get new sums, with the paths to the root.
 
+:func:`plant` writes the trees down and :func:`edit` applies a table of edits to them, batch after
+batch: leaves that no edit touches keep their stored sums.
+
 Counts are those of the byte-level vocabulary with special tokens taken as ordinary text.
 
 Cases: null and empty texts have no tokens and can be edited from empty. Edits beyond the
@@ -65,14 +68,50 @@ class TokenTree:
     def __init__(self, text: str | None, count: Counts):
         self.count, self.counted = count, 0
         pieces = PIECE.findall(text or "")
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
+        self._plant([pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]])
         for i in range(len(self.leaves)):
             self._sum(i)
+        self._sums_up()
+
+    def _plant(self, leaves: list[list[str]]) -> None:
+        self.leaves = leaves
+        self.width = 1 << (len(leaves) - 1).bit_length()
+        self.chars, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
+
+    def _sums_up(self) -> None:
         for i in range(self.width - 1, 0, -1):
             self._up(i)
 
+    @classmethod
+    def stored(cls, pieces: list[str], sizes: list[int], tokens: list[int], count: Counts) -> TokenTree:
+        """The tree of leaves that :meth:`store` has given: nothing is counted again."""
+        tree = cls.__new__(cls)
+        tree.count, tree.counted = count, 0
+        ends = list(accumulate(sizes, initial=0))
+        tree._plant([pieces[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        for i, (leaf, n) in enumerate(zip(tree.leaves, tokens, strict=True)):
+            tree.chars[tree.width + i] = sum(map(len, leaf))
+            tree.tokens[tree.width + i] = n
+        tree._sums_up()
+        return tree
+
+    def store(self) -> tuple[list[str], list[int], list[int]]:
+        """Pre-tokens, and per leaf how many it has and their tokens. Leaves that edits have emptied
+        are left out, overgrown ones are parted."""
+        pieces, sizes, tokens = [], [], []
+        for i, leaf in enumerate(self.leaves):
+            pieces += leaf
+            if len(leaf) <= 2 * LEAF:
+                if leaf:
+                    sizes.append(len(leaf))
+                    tokens.append(self.tokens[self.width + i])
+                continue
+            for at in range(0, len(leaf), LEAF):
+                part = leaf[at : at + LEAF]
+                sizes.append(len(part))
+                tokens.append(sum(map(self.count.__getitem__, part)))
+        return pieces, sizes or [0], tokens or [0]
+
     def _sum(self, leaf: int) -> None:
         pieces = self.leaves[leaf]
         self.chars[self.width + leaf] = sum(map(len, pieces))
@@ -197,6 +236,72 @@ def follow(docs: DataFrame, edits, path: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+TREES = (
+    "row long, doc_id long, pieces array<string>, sizes array<int>, tokens array<int>, n_tokens long, "
+    "n_edits long, n_recounted long"
+)
+
+
+def _kept(ids: list, trees: list[tuple[TokenTree, int]]) -> pa.RecordBatch:
+    columns = [*ids, *([] for _ in range(6))]
+    for tree, n in trees:
+        for column, value in zip(columns[2:], (*tree.store(), tree.total, n, tree.counted), strict=True):
+            column.append(value)
+    kinds = (
+        pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()),
+        pa.int64(), pa.int64(), pa.int64(),
+    )
+    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in TREES.split(", ")])
+
+
+def _ids(part: pa.RecordBatch) -> list:
+    return [part.column(c).to_pylist() for c in ("row", "doc_id")]
+
+
+def plant(docs: DataFrame, path: str) -> DataFrame:
+    """The trees of all documents as a table, one row per row of ``docs``: row, doc_id, the
+    pre-tokens, their numbers and tokens by leaf, n_tokens, n_edits and n_recounted (0). Write it down:
+    :func:`edit` goes on from it without reading or counting a text again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield _kept(_ids(part), [(TokenTree(t, counts(path)), 0) for t in part.column("text").to_pylist()])
+
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text"
+    )
+    return rows.mapInArrow(run, TREES)
+
+
+def edit(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
+    """The table of trees after ``edits`` (doc_id, seq, start, length, new), which a document takes
+    in the order of ``seq``, each relative to the text that the ones before have left; with the number
+    of its edits and of pre-tokens counted again. Rows with one doc_id take the same edits, edits of
+    other ids and of the null id have no effect. A document's edits follow each other in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("pieces", "sizes", "tokens", "edits")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, done = batch.slice(at, 256), []
+                for *leaves, todo in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                    tree = TokenTree.stored(*leaves, counts(path))
+                    for e in todo or []:
+                        tree.edit(e["start"] or 0, e["length"] or 0, e["new"] or "")
+                    done.append((tree, len(todo or [])))
+                yield _kept(_ids(part), done)
+
+    step = F.struct("seq", *[F.col(c).cast("long").alias(c) for c in ("start", "length")], "new")
+    lists = edits.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.sort_array(F.collect_list(step)).alias("edits")
+    )
+    columns = ("row", "doc_id", "pieces", "sizes", "tokens")
+    return trees.select(*columns).join(lists, "doc_id", "left").mapInArrow(run, TREES)
+
+
 def removals(text: str) -> Iterable[tuple[int, int, str]]:
     """Edits that put MARK for everything PRIVATE, from the end to the start."""
     return [(m.start(), m.end() - m.start(), MARK) for m in reversed(list(PRIVATE.finditer(text)))]

@@ -209,6 +209,27 @@ def test_cutoff(spark):
         assert ties == k - sum(x > least for x in keys)
 
 
+def test_nth_row(spark):
+    rng = random.Random(8)
+    rows = rng.sample(range(1 << 62), 900) + list(range(5000, 5600))
+    df = spark.createDataFrame([(r,) for r in rows], "row long").cache()
+    ordered = sorted(rows)
+    for n in (1, 2, 333, 1499, 1500):
+        assert quality.nth_row(df, n) == ordered[n - 1]
+
+
+def test_quality_ties(spark, docs, small):
+    """Rows that tie at the cut are taken in their order."""
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    text = docs.where("doc_id = 0").first().text
+    same = spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    both = docs.select("doc_id", "text").unionByName(same.repartition(3))
+    out = quality.scores(both, labels).collect()
+    ranked = sorted(out, key=lambda r: (-r.key, r.row))
+    assert sum(r.kept for r in out) > 0
+    assert [r.kept for r in ranked] == sorted((r.kept for r in out), reverse=True)
+
+
 def test_quality_judges_each_labelled_id_once(spark):
     """However many rows share a labelled id, the driver gets one weight of it."""
     rows = [(1, True, float(i)) for i in range(500)] + [(2, True, 7.0), (3, False, 7.0), (4, None, 1.0)]
