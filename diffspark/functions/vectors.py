@@ -193,23 +193,56 @@ def residual_matrices(batches: Iterator[pa.RecordBatch], m: int):
 
 # --- prior ------------------------------------------------------------------------------------
 
-POWER_SUMS = ("n", "e0", "ee", "tri", "u1", "u2", "u3", "u4", "e1", "e2")
-
-
-def power_sums(batches: Iterator[pa.RecordBatch], m: int, centre: float, low, high) -> Iterator[pa.RecordBatch]:
-    """Sums for a parabola of e over the level, per imputation; e is first drawn in to [low, high]."""
-    total = np.zeros((len(POWER_SUMS), m))
+class Basis(NamedTuple):
+    """Functions of the level that ln of the prior variance is a combination of: a parabola about
+    ``centre``, a constant (no ``degree``), or a natural cubic spline through ``knots``."""
+
+    degree: int
+    centre: float = 0.0
+    knots: tuple[float, ...] = ()
+
+    def size(self) -> int:
+        return len(self.knots) if self.knots else self.degree + 1
+
+    def at(self, level) -> list:
+        if not self.knots:
+            u = level - self.centre
+            return [u**k for k in range(self.degree + 1)]
+        first, last = self.knots[0], self.knots[-1]
+        z = (level - first) / (last - first)
+        past = np.maximum(z - 1, 0.0) ** 3
+
+        def bend(knot: float):
+            q = (knot - first) / (last - first)
+            return (np.maximum(z - q, 0.0) ** 3 - past) / (1 - q)
+
+        outer = bend(self.knots[-2])
+        return [z**0, z, *(bend(k) - outer for k in self.knots[:-2])]
+
+    def sums(self) -> list[str]:
+        """Names of the sums of a fit: lower half of the squares, products with e, the rest."""
+        k = range(self.size())
+        return [f"b{i}{j}" for i in k for j in range(i + 1)] + [f"e{i}" for i in k] + ["ee", "tri"]
+
+
+def fit_sums(batches: Iterator[pa.RecordBatch], m: int, basis: Basis, low, high) -> Iterator[pa.RecordBatch]:
+    """Sums for a least-squares fit of e on the basis, per imputation; e is first drawn in to
+    [low, high]."""
+    names, k = basis.sums(), basis.size()
+    total = dict.fromkeys(names, 0.0)
     for part, e in residual_matrices(batches, m):
-        u = matrix(part.column("level"), m) - centre
         tri = part.column("tri").to_numpy(zero_copy_only=False)[:, None]
         some = ~np.isnan(e)
         e = np.where(some, np.clip(e, low, high), 0.0)
-        u = np.where(some, u, 0.0)
-        uu = u * u
-        for k, term in enumerate((some, e, e * e, some * tri, u, uu, uu * u, uu * uu, e * u, e * uu)):
-            total[k] += term.sum(axis=0)
-    columns = {"imputation": np.arange(m, dtype=np.int32), **dict(zip(POWER_SUMS, total, strict=True))}
-    yield pa.RecordBatch.from_pydict(columns)
+        x = [np.where(some, f, 0.0) for f in basis.at(matrix(part.column("level"), m))]
+        for i in range(k):
+            for j in range(i + 1):
+                total[f"b{i}{j}"] = total[f"b{i}{j}"] + (x[i] * x[j]).sum(axis=0)
+            total[f"e{i}"] = total[f"e{i}"] + (x[i] * e).sum(axis=0)
+        total["ee"] = total["ee"] + (e * e).sum(axis=0)
+        total["tri"] = total["tri"] + (some * tri).sum(axis=0)
+    columns = {c: np.broadcast_to(v, m) for c, v in total.items()}
+    yield pa.RecordBatch.from_pydict({"imputation": np.arange(m, dtype=np.int32), **columns})
 
 
 def ranges(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
@@ -244,21 +277,20 @@ def between(batches: Iterator[pa.RecordBatch], m: int, low: np.ndarray, high: np
 
 
 class Prior(NamedTuple):
-    """Vectors over the imputations: degrees of freedom and parabola of ln prior variance."""
+    """Over the imputations: degrees of freedom, and coefficients (basis, imputations) of ln prior
+    variance."""
 
     d0: np.ndarray
-    b0: np.ndarray
-    b1: np.ndarray
-    b2: np.ndarray
-    centre: float
+    coefficients: np.ndarray
+    basis: Basis
 
     def shrink(self, p: Profile) -> tuple[np.ndarray, np.ndarray]:
         """Shrunk variance and its degrees of freedom."""
         infinite = np.isinf(self.d0)
         half = np.where(infinite, 1.0, self.d0) / 2
-        u = p.level - self.centre
+        line = sum(c * f for c, f in zip(self.coefficients, self.basis.at(p.level), strict=True))
         step = np.where(infinite, 0.0, np_digamma(half) - np.log(half))
-        prior = np.exp(self.b0 + self.b1 * u + self.b2 * u * u + step)
+        prior = np.exp(line + step)
         s2 = p.s2 if p.df > 0 else 0.0
         own = np.where(infinite, 1.0, self.d0)
         blend = (own * prior + p.df * s2) / (own + p.df)

@@ -33,6 +33,7 @@ from diffspark.functions.special import (
 from diffspark.operators.impute import missing_with_centre
 from diffspark.operators.moderated import WINSOR_TAILS
 from diffspark.operators.moments import direct_profiles
+from diffspark.operators.ordered import quantile_list
 from diffspark.operators.trend import UPPER, Trend
 from diffspark.schema import Contrast
 from diffspark.stage import materialise
@@ -167,43 +168,60 @@ def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(middle < 0, np.int64(-(2**63)) - middle, middle).view(float)
 
 
-def vector_prior(residuals: DataFrame, m: int, trend: bool, robust: bool) -> vectors.Prior:
-    """Prior of every imputation, see :func:`moderated.variance_prior`; ``residuals`` is a stage table."""
-    centre = residuals.agg(F.avg("first_level")).first()[0] or 0.0
+SPLINE = "spline"
+#: Shares of identifiers at the knots of the spline.
+KNOTS = (0.0, 1 / 3, 2 / 3, 1.0)
+
+
+def prior_basis(residuals: DataFrame, trend: bool | str) -> vectors.Basis:
+    """Basis of a trend: False for a constant, True for a parabola, SPLINE for a natural spline
+    with knots at exact quantiles of the levels (of the first imputation); levels that leave
+    fewer than three different knots have a line or a constant."""
+    if not trend:
+        return vectors.Basis(0)
+    if trend != SPLINE:
+        return vectors.Basis(2, float(residuals.agg(F.avg("first_level")).first()[0] or 0.0))
+    found = np.array(quantile_list(residuals.select("first_level"), "first_level", KNOTS))
+    knots = np.unique(found[~np.isnan(found)])
+    if len(knots) < 3:
+        return vectors.Basis(max(0, len(knots) - 1), float(knots[0]) if len(knots) else 0.0)
+    return vectors.Basis(3, knots=tuple(float(k) for k in knots))
+
+
+def vector_prior(residuals: DataFrame, m: int, trend: bool | str, robust: bool) -> vectors.Prior:
+    """Prior of every imputation, see :func:`moderated.variance_prior` and :func:`prior_basis`;
+    ``residuals`` is a stage table."""
+    basis = prior_basis(residuals, trend)
     low, high = np.full(m, -np.inf), np.full(m, np.inf)
     if robust:
         low, high = order_statistics(residuals, m, (WINSOR_TAILS[0], 1 - WINSOR_TAILS[1]))
-    schema = "imputation int, " + ", ".join(f"{c} double" for c in vectors.POWER_SUMS)
-    summed = residuals.mapInArrow(partial(vectors.power_sums, m=m, centre=centre, low=low, high=high), schema)
-    s = {c: np.zeros(m) for c in vectors.POWER_SUMS}
-    for r in summed.groupBy("imputation").agg(*[F.sum(c).alias(c) for c in s]).collect():  # m rows
-        for c in s:
+    names = basis.sums()
+    schema = "imputation int, " + ", ".join(f"{c} double" for c in names)
+    summed = residuals.mapInArrow(partial(vectors.fit_sums, m=m, basis=basis, low=low, high=high), schema)
+    s = {c: np.zeros(m) for c in names}
+    for r in summed.groupBy("imputation").agg(*[F.sum(c).alias(c) for c in names]).collect():  # m rows
+        for c in names:
             s[c][r["imputation"]] = r[c]
-    n = np.maximum(s["n"], 1.0)
-    zero = np.zeros(m)
-    if trend:
-        left = np.empty((m, 3, 3))
-        powers = [s["n"], s["u1"], s["u2"], s["u3"], s["u4"]]
-        for i in range(3):
-            for j in range(3):
-                left[:, i, j] = powers[i + j]
-        right = np.stack([s["e0"], s["e1"], s["e2"]], axis=1)
-        b = np.einsum("kij,kj->ki", np.linalg.pinv(left, rcond=1e-14, hermitian=True), right).T
-        rss = s["ee"] - b[0] * s["e0"] - b[1] * s["e1"] - b[2] * s["e2"]
-        free = s["n"] - 3
-    else:
-        b = np.stack([s["e0"] / n, zero, zero])
-        rss, free = s["ee"] - s["e0"] ** 2 / n, s["n"] - 1
-    excess = np.where(free > 0, rss / np.where(free > 0, free, 1.0) - s["tri"] / n, 0.0)
+    k = basis.size()
+    left = np.empty((m, k, k))
+    for i in range(k):
+        for j in range(i + 1):
+            left[:, i, j] = left[:, j, i] = s[f"b{i}{j}"]
+    right = np.stack([s[f"e{i}"] for i in range(k)], axis=1)
+    b = np.einsum("kij,kj->ki", np.linalg.pinv(left, rcond=1e-14, hermitian=True), right).T
+    rss = s["ee"] - (b * right.T).sum(axis=0)
+    n = s["b00"]
+    free = n - k
+    excess = np.where(free > 0, rss / np.where(free > 0, free, 1.0) - s["tri"] / np.maximum(n, 1.0), 0.0)
     x, ok = np_trigamma_inverse(excess)
-    return vectors.Prior(np.where(ok, 2 * x, np.inf), *b, float(centre))
+    return vectors.Prior(np.where(ok, 2 * x, np.inf), b, basis)
 
 
 def vector_tests(
     profiles: DataFrame,
     contrasts: Sequence[Contrast],
     m: int,
-    trend: bool = False,
+    trend: bool | str = False,
     weighted: bool = False,
     robust: bool = False,
 ) -> DataFrame:

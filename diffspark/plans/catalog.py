@@ -917,6 +917,16 @@ def q_consensus_vectors(spark, d):
     )
 
 
+@query
+def q_consensus_spline(spark, d):
+    """Consensus of the test whose prior follows a natural spline over the level."""
+    tests = Missing(spark, d).tests(IMPUTATIONS, trend=vectors.SPLINE)
+    table = vectors.vector_consensus(tests, IMPUTATIONS)
+    return rounded(
+        rounded(table, "median_p_val", "median_lfc", "critical"), "binom_p_value", digits=9
+    )
+
+
 # --- whole study ------------------------------------------------------------------------------------------
 
 

@@ -813,6 +813,25 @@ _oracle(
 # --- moderated test ------------------------------------------------------------------------------
 
 
+def prior_d0(tag: str, columns: list[str]) -> None:
+    """Prior degrees of freedom by bisection on ln x for trigamma(x) = excess."""
+    kept = ", ".join(f"f.{c}" for c in columns)
+    _view(
+        f"prior_{tag}",
+        f"fit_{tag}",
+        f"""SELECT f.imputation, {kept},
+          CASE WHEN excess > 0 THEN 2 * exp((lo + hi) / 2) ELSE CAST('inf' AS DOUBLE) END AS d0
+        FROM fit_{tag} f JOIN (
+          WITH RECURSIVE b(imputation, lo, hi, step) AS (
+            SELECT imputation, -12.0::DOUBLE, 25.0::DOUBLE, 0 FROM fit_{tag}
+            UNION ALL
+            SELECT imputation, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, step + 1
+            FROM (SELECT b.*, (lo + hi) / 2 AS mid, {trigamma('exp((lo + hi) / 2)')} > f.excess AS up
+                  FROM b JOIN fit_{tag} f USING (imputation) WHERE step < 70))
+          SELECT imputation, lo, hi FROM b WHERE step = 70) USING (imputation)""",
+    )
+
+
 def prior_views(tag: str, ss: str, trend: bool, robust: bool) -> str:
     """Views up to prior_<tag> (imputation, d0, b0, b1, b2, centre); returns their names."""
     _view(
@@ -863,21 +882,7 @@ def prior_views(tag: str, ss: str, trend: bool, robust: bool) -> str:
         SELECT imputation, avg({e}) AS b0, 0.0 AS b1, 0.0 AS b2, 0.0 AS centre,
           var_samp({e}) - avg(tri) AS excess FROM {base} WHERE {e} IS NOT NULL GROUP BY imputation"""
     _view(f"fit_{tag}", base, fit)
-    # Bisection on ln x for trigamma(x) = excess.
-    _view(
-        f"prior_{tag}",
-        f"fit_{tag}",
-        f"""SELECT f.imputation, f.b0, f.b1, f.b2, f.centre,
-          CASE WHEN excess > 0 THEN 2 * exp((lo + hi) / 2) ELSE CAST('inf' AS DOUBLE) END AS d0
-        FROM fit_{tag} f JOIN (
-          WITH RECURSIVE b(imputation, lo, hi, step) AS (
-            SELECT imputation, -12.0::DOUBLE, 25.0::DOUBLE, 0 FROM fit_{tag}
-            UNION ALL
-            SELECT imputation, CASE WHEN up THEN mid ELSE lo END, CASE WHEN up THEN hi ELSE mid END, step + 1
-            FROM (SELECT b.*, (lo + hi) / 2 AS mid, {trigamma('exp((lo + hi) / 2)')} > f.excess AS up
-                  FROM b JOIN fit_{tag} f USING (imputation) WHERE step < 70))
-          SELECT imputation, lo, hi FROM b WHERE step = 70) USING (imputation)""",
-    )
+    prior_d0(tag, ["b0", "b1", "b2", "centre"])
     return f"prior_{tag}"
 
 
@@ -885,10 +890,13 @@ def moderated_views(tag: str, weighted: bool, trend: bool, robust: bool) -> str:
     n, mean, ss = ("w", "wmean", "wss") if weighted else ("n", "mean", "ss")
     prior_views(tag, ss, trend, robust)
     u = "(level - centre)"
-    log_prior = f"b0 + b1 * {u} + b2 * {u} * {u}"
+    return moderated_view(tag, f"resid_{tag}", n, mean, f"b0 + b1 * {u} + b2 * {u} * {u}")
+
+
+def moderated_view(tag: str, resid: str, n: str, mean: str, log_prior: str) -> str:
     _view(
         f"mod_{tag}",
-        f"prior_{tag} resid_{tag} icells contrasts",
+        f"prior_{tag} {resid} icells contrasts",
         f"""SELECT *, CASE WHEN isinf(df_total) THEN {two_sided_normal('t')}
           ELSE {two_sided_t('t', 'df_total')} END AS p FROM (
           SELECT a.imputation, a.identifier, c.comparison, c.ord, s.d0 + s.df AS df_total,
@@ -899,18 +907,63 @@ def moderated_views(tag: str, weighted: bool, trend: bool, robust: bool) -> str:
           JOIN (SELECT imputation, identifier, d0, df,
                   CASE WHEN isinf(d0) THEN exp({log_prior}) ELSE
                   (d0 * exp({log_prior} + {digamma('(d0 / 2)')} - ln(d0 / 2)) + df * s2) / (d0 + df) END AS s2_post
-                FROM resid_{tag} JOIN prior_{tag} USING (imputation)) s
+                FROM {resid} JOIN prior_{tag} USING (imputation)) s
             ON s.imputation = a.imputation AND s.identifier = a.identifier)""",
     )
     return f"mod_{tag}"
 
 
+def spline_views() -> None:
+    """The trended test with a natural cubic spline: knots at quantiles of the first imputation's
+    levels, normal equations by elimination."""
+    _view(
+        "knots",
+        "resid_trend",
+        """SELECT min(level) AS k0, quantile_cont(level, 1.0 / 3) AS k1, quantile_cont(level, 2.0 / 3) AS k2,
+          max(level) AS k3 FROM resid_trend WHERE imputation = 0 AND e IS NOT NULL""",
+    )
+    z = "((level - k0) / (k3 - k0))"
+
+    def bend(k: int) -> str:
+        q = f"((k{k} - k0) / (k3 - k0))"
+        return f"((power(greatest({z} - {q}, 0), 3) - power(greatest({z} - 1, 0), 3)) / (1 - {q}))"
+
+    basis = ["1.0", z, f"({bend(0)} - {bend(2)})", f"({bend(1)} - {bend(2)})"]
+    size = len(basis)
+    x = ", ".join(f"{f} AS x{i}" for i, f in enumerate(basis))
+    sums = ", ".join(
+        [f"sum(x{i} * x{j}) AS a{i}{j}" for i in range(size) for j in range(size)]
+        + [f"sum(x{i} * e) AS r{i}" for i in range(size)]
+    )
+    first = f"""SELECT imputation, count(*) AS n, sum(e * e) AS ee, avg(tri) AS tri, {sums}
+      FROM (SELECT imputation, e, tri, {x} FROM resid_trend, knots WHERE e IS NOT NULL) GROUP BY imputation"""
+    again = ", ".join(f"r{i} AS s{i}" for i in range(size))
+    step = f"SELECT *, {again} FROM ({first})"
+    for k in range(size):  # rows below the pivot lose its column
+        changed = [f"a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} AS a{i}{j}" for i in range(k + 1, size) for j in range(k, size)]
+        changed += [f"s{i} - a{i}{k} / a{k}{k} * s{k} AS s{i}" for i in range(k + 1, size)]
+        if changed:
+            step = f"SELECT * REPLACE ({', '.join(changed)}) FROM ({step})"
+    for k in reversed(range(size)):
+        known = "".join(f" - a{k}{j} * c{j}" for j in range(k + 1, size))
+        step = f"SELECT *, (s{k}{known}) / a{k}{k} AS c{k} FROM ({step})"
+    explained = " - ".join(f"c{k} * r{k}" for k in range(size))
+    names = [f"c{k}" for k in range(size)]
+    _view("fit_spline", "resid_trend knots", f"SELECT *, (ee - {explained}) / (n - {size}) - tri AS excess FROM ({step})")
+    prior_d0("spline", names)
+    line = " + ".join(f"c{k} * {f}" for k, f in enumerate(basis))
+    _view("resid_knots", "resid_trend knots", "SELECT * FROM resid_trend, knots")
+    moderated_view("spline", "resid_knots", "n", "mean", line)
+
+
 moderated_views("plain", False, False, False)
 moderated_views("trend", False, True, False)
 moderated_views("weighted", True, False, False)
 moderated_views("robust", False, True, True)
 moderated_views("full", True, True, True)
 
+spline_views()
+
 for _tag in ("plain", "trend", "weighted", "robust", "full"):
     _oracle(
         f"q_moderated_{_tag}",
@@ -976,6 +1029,21 @@ _oracle(
         GROUP BY method, identifier, comparison) JOIN tail USING (hits)""",
 )
 ORACLES["q_consensus_vectors"] = ORACLES["q_consensus_methods"]
+_view(
+    "adj_spline",
+    "mod_spline",
+    bh("mod_spline", "imputation, comparison", "p", "imputation, identifier, comparison, p, lfc, ord"),
+)
+_oracle(
+    "q_consensus_spline",
+    "adj_spline tail",
+    f"""SELECT identifier, comparison, hits, round(tail.p, 9) AS binom_p_value, round(mp, 6) AS median_p_val,
+      round(ml, 6) AS median_lfc, round(critical, 6) AS critical FROM (
+        SELECT identifier, comparison, count(*) FILTER (q_val < 0.05) AS hits, median(q_val) AS mp,
+          median(lfc) AS ml, max(CASE WHEN k = {NEED} THEN q_val END) AS critical
+        FROM (SELECT *, row_number() OVER (PARTITION BY identifier, comparison ORDER BY q_val) AS k FROM adj_spline)
+        GROUP BY identifier, comparison) JOIN tail USING (hits)""",
+)
 _view(
     "crit",
     "adj",

@@ -115,6 +115,53 @@ def test_order_statistics(spark, held, monkeypatch):
         assert got[:, i] == pytest.approx(np.quantile(some, [0.05, 0.9]), rel=1e-12, abs=1e-15), i
 
 
+def residual_rows(spark, e, level, tri):
+    rows = [
+        (bytearray(kernels.pack(a)), bytearray(kernels.pack(b)), float(b[0]), float(t))
+        for a, b, t in zip(e, level, tri, strict=True)
+    ]
+    return materialise(spark.createDataFrame(rows, kernels.RESIDUALS).repartition(3))
+
+
+def test_spline_prior(spark):
+    """Natural spline on quantile knots against least squares over truncated cubes."""
+    rng = np.random.default_rng(5)
+    n, m = 200, 3
+    level = rng.uniform(8, 22, (n, m)) * np.array([1.0, 1.01, 0.98])
+    e = np.sin(level / 3) + rng.normal(0, 0.7, (n, m))
+    e[rng.random((n, m)) < 0.1] = np.nan
+    tri = rng.uniform(0.05, 0.2, n)
+    prior = vectors.vector_prior(residual_rows(spark, e, level, tri), m, vectors.SPLINE, False)
+    knots = np.quantile(level[:, 0], vectors.KNOTS)
+    assert prior.basis.knots == pytest.approx(tuple(knots))
+    cube = lambda x, k: np.maximum(x - k, 0.0) ** 3
+    for i in range(m):
+        ok = ~np.isnan(e[:, i])
+        x, y = level[ok, i], e[ok, i]
+        # cubic splines with these knots whose cubic and square terms vanish beyond the last one
+        free = np.column_stack([np.ones_like(x), x, *(cube(x, k) for k in knots)])
+        bound = np.array([np.ones(4), knots])  # sums of coefficients, and of coefficients times knots
+        null = np.linalg.svd(bound)[2][2:].T
+        natural = np.column_stack([free[:, :2], free[:, 2:] @ null])
+        fitted = natural @ np.linalg.lstsq(natural, y, rcond=None)[0]
+        mine = sum(c * f for c, f in zip(prior.coefficients[:, i], prior.basis.at(x), strict=True))
+        assert np.allclose(mine, fitted, atol=1e-7)
+        excess = ((y - fitted) ** 2).sum() / (len(y) - 4) - tri[ok].mean()
+        assert kernels.np_trigamma(prior.d0[i] / 2) == pytest.approx(excess, rel=1e-6)
+
+
+@pytest.mark.parametrize("levels, size", [([5.0] * 9, 1), ([5.0] * 8 + [6.0], 2), ([], 1)])
+def test_spline_of_few_levels(spark, levels, size):
+    """Levels that leave too few knots have a line or a constant, no levels an infinite prior."""
+    e = [[0.1 * k, 0.2 * k] for k in range(len(levels))]
+    df = residual_rows(spark, e, [[v, v] for v in levels], [0.1] * len(levels)) if levels else materialise(
+        spark.createDataFrame([], kernels.RESIDUALS)
+    )
+    prior = vectors.vector_prior(df, 2, vectors.SPLINE, False)
+    assert len(prior.coefficients) == size and np.isfinite(prior.coefficients).all()
+    assert levels or np.isinf(prior.d0).all()
+
+
 def test_no_gaps_and_nothing(spark, gaps):
     """Identifiers without gaps stay one number; conditions without values give no test."""
     rows = spark.createDataFrame(
