@@ -15,7 +15,7 @@
 
 Every row meets vectors of bounded size; nothing but sums of the dimension's size reaches the driver.
 
-Cases: vectors that are null, or hold a null, a non-finite or a component beyond 64-bit
+Cases: vectors that are null or empty, or hold a null, a non-finite or a component beyond 64-bit
 integers, take no part. Vectors of different sizes are filled up as with zeros. Rows that
 repeat count once in the fit and all have results. Components whose eigenvalue is zero
 (below ZERO times the trace) have no whitened value and no rows: equal vectors only, a single
