@@ -22,8 +22,9 @@ DISCARDED = "Discarded"
 def filter_features(
     profile: DataFrame, contrasts: Sequence[Contrast], truth_pattern: str
 ) -> DataFrame:
-    """identifier, n, mean, sd, one fold change per contrast, class (TP or TN)."""
-    stats = with_row_stats(profile)
+    """identifier, n, mean, sd, one fold change per contrast, class (TP or TN); identifiers without
+    any value have no features and are dropped."""
+    stats = with_row_stats(profile).where("n > 0")
     return wide_fold_changes(stats, contrasts, ["identifier", "n", "mean", "sd"]).withColumn(
         "class", truth_class(truth_pattern)
     )

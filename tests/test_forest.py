@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from diffspark.operators import classify
+from diffspark.operators.moments import direct_profiles
 from diffspark.plans import catalog
 from diffspark.plans.views import CONTRASTS, TRUTH
 from diffspark.stage import materialise
@@ -28,3 +29,12 @@ def test_other_engine_gives_the_same_classes(spark, small, trees, depth):
     ).fetchall()
     assert dict(rows) == want and len(rows) == len(want)
     assert set(want.values()) == {"TP", "TN"}
+
+
+def test_identifiers_without_any_value_are_dropped(spark):
+    """They have no features, as the all-null rows that the reference removes first."""
+    rows = [("p:Brand#1", c, 1, 1.0) for c in "ANR"] + [("q:Brand#5", c, 1, None) for c in "ANR"]
+    rows += [("r:Brand#5", "A", 1, 2.0), ("r:Brand#5", "N", 1, None)]
+    df = spark.createDataFrame(rows, "identifier string, condition string, replicate long, y double")
+    features = classify.filter_features(direct_profiles(df, ["A", "N", "R"]), CONTRASTS, TRUTH)
+    assert sorted(r.identifier for r in features.collect()) == ["p:Brand#1", "r:Brand#5"]
