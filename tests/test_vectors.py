@@ -178,3 +178,18 @@ def test_no_gaps_and_nothing(spark, gaps):
     assert table["i3", "A vs N"]["median_lfc"] == pytest.approx(1.0)
     assert table["i3", "A vs N"]["median_p_val"] is not None
     assert table["lonely", "A vs N"]["median_p_val"] is None and table["lonely", "A vs N"]["hits"] == 0
+
+
+def test_blocks_of_several_slices(spark, gaps, monkeypatch):
+    """Larger blocks hold the same tests, and draws are those of the rows."""
+    monkeypatch.setattr(vectors, "PIECES", 1)
+    monkeypatch.setattr(kernels, "ROWS", 16)
+    large = gaps.tests(20, trend=True)
+    assert max(len(r.identifiers) for r in large.collect()) > 16
+    rows = consensus.consensus_table(consensus.adjust_within_imputation(row_by_row(gaps, 20, False, trend=True)), 20)
+    want, got = by_pair(rows), by_pair(vectors.vector_consensus(large, 20))
+    assert got.keys() == want.keys()
+    assert all(got[k]["critical"] == pytest.approx(w["critical"], rel=1e-9) for k, w in want.items())
+    mine = vectors.draw_vectors(gaps.rows, gaps.cells, gaps.trend, gaps.low, 20)
+    mine = sorted(x for r in mine.collect() for x in r.draws)
+    assert mine == pytest.approx(sorted(r.y for r in gaps.draws(20).collect()), rel=1e-13)
