@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from diffspark.operators import impute, moments
+from diffspark.operators import impute, moments, ordered
 from diffspark.operators.trend import Trend
+from diffspark.plans import catalog, views
 
 TREND = Trend(0.3, -0.05)
 
@@ -145,3 +146,28 @@ def test_one_row_for_profiles_without_gaps(gaps):
         return sorted(map(tuple, p.select("identifier", "imputation", F.sort_array(F.map_entries("cells"))).collect()))
 
     assert flat(impute.every_imputation(short, 7)) == flat(full)
+
+
+def test_tasks_follow_the_number_of_draws(spark, small, monkeypatch):
+    """Pieces of the draws, of the lines and of ordered rows keep their size as data grow; same results."""
+    names = ("q_imputed_cells", "q_variance_prior")
+
+    def results():
+        return [sorted(map(tuple, catalog.QUERIES[q](spark, small).collect()), key=repr) for q in names]
+
+    want = results()
+    gaps = catalog.Missing(spark, small)
+    assert gaps.draws(20).rdd.getNumPartitions() == 5
+    monkeypatch.setattr(impute, "ROWS_A_TASK", 500)
+    monkeypatch.setattr(ordered, "ROWS_A_BUCKET", 200)
+    monkeypatch.setattr(views, "LINES_A_TASK", 600)
+    n = gaps.cells.agg({"gaps": "sum"}).first()[0] * 20
+    assert gaps.draws(20).rdd.getNumPartitions() == -(-n // 500) > 5
+    assert gaps.profiles(20).rdd.getNumPartitions() == -(-n // 500)
+    assert views.measurements(spark, small).rdd.getNumPartitions() == 10
+    rows = gaps.cells.where("mean is not null")
+    placed = ordered.row_index(rows, [], ["mean", "identifier", "condition"], rows=rows.count())
+    assert placed.select(ordered.BUCKET).distinct().count() > 2
+    got = results()
+    assert [len(x) for x in got] == [len(x) for x in want]
+    assert got == want
