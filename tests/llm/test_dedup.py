@@ -308,3 +308,24 @@ def test_dropped_lines(spark):
     df = spark.createDataFrame([(1, f"{keep}\nsecond"), (2, f"{keep}!\nthird"), (3, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()}
     assert got == {1: f"{keep}\nsecond", 2: "third"}
+
+
+def test_lines_that_share_only_a_segment_are_no_candidates(spark, monkeypatch):
+    """Lines with the same start and end whose signs differ too much are told apart where they meet, and
+    the copies of a line change nothing."""
+    seen, trimmed = [], line_dedup.trimmed
+    monkeypatch.setattr(line_dedup, "trimmed", lambda pairs, edits: seen.append(pairs.count()) or trimmed(pairs, edits))
+    middles = [x * 3 for x in "bcdfghjklmpqrsuvwxyz"] + ["bbc"]
+    lines = [f"the same start of them all {x} and the same end of them all" for x in middles] + ["y"]
+    lines += lines[:1] * 30
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    out = {r.doc_id: (r.class_doc_id, r.n_links) for r in line_dedup.near_lines(df).collect()}
+    want = {i: (i, 0) for i in range(22)} | {i: (0, 1) for i in range(22, 52)}
+    assert out == want | {0: (0, 1), 1: (0, 1), 20: (0, 2)}
+    assert seen == [2]
+
+
+def test_lines_with_many_equal_signs(spark):
+    line = "etaoinshrdlu" * 16
+    df = spark.createDataFrame([(1, line), (2, "tt" + line[2:-1] + "d"), (3, "xx" + line)], "doc_id long, text string")
+    assert [r.n_links for r in line_dedup.near_lines(df).orderBy("doc_id").collect()] == [2, 1, 1]
