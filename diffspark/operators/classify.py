@@ -71,15 +71,13 @@ def fit_filter(
     depth: int = 20,
     least_in_node: int = 1,
     tried: int | None = None,
-    train_rows: int = 1_000_000,
     at_once: int = ROWS_AT_ONCE,
 ) -> Forest:
     """Class-weighted forest on rows with complete features.
 
     With w the share of positives, negatives weigh w and positives 1 - w. Trees grow to ``depth``
     with ``tried`` of the features (their square root, rounded up) tried at a split, between cuts at
-    quantiles. At most about ``train_rows`` rows are learned from, drawn by the hash of the
-    identifier; all rows are judged.
+    quantiles. All rows are learned from and judged.
 
     A node that more than ``at_once`` rows reach is split from the counts of all tasks, the subtree
     below a smaller one is grown where its rows meet. The driver holds the splits of the
@@ -87,8 +85,6 @@ def fit_filter(
     """
     features = list(features)
     data = complete.na.drop("any", subset=features)
-    share = min(1.0, train_rows / max(1, data.count()))
-    data = data.where(F.pmod(F.xxhash64("identifier"), F.lit(1 << 20)) < int(share * (1 << 20)))
     share = data.agg(F.avg((F.col("class") == "TP").cast("double"))).first()[0]
     if share is None:
         raise ValueError("no rows with complete features to learn from")

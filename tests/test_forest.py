@@ -111,3 +111,17 @@ def test_one_class_only_and_nothing_to_learn_from(spark):
     assert classify.predict_class(model, rows.limit(0), names).count() == 0
     with pytest.raises(ValueError):
         classify.fit_filter(rows.limit(0), names)
+
+
+def test_all_rows_are_learned_from(spark):
+    """Class weights and counts are those of all rows, however many there are."""
+    n = 1_100_000
+    label = "CASE WHEN id % 7 = 0 THEN 'TP' ELSE 'TN' END AS class"
+    rows = materialise(spark.range(n).selectExpr("cast(id AS string) AS identifier", label, "id % 100 / 1.0D AS a"))
+    model = classify.fit_filter(rows, ["a"], trees=1, depth=1)
+    positives = -(-n // 7)
+    assert model.weights[0] == pytest.approx(positives / n, abs=1e-12)
+    keys = rows.selectExpr("xxhash64(identifier) AS key").toPandas().key.to_numpy().view("uint64")
+    drawn = int(trees_of.times_drawn(keys, 0, 1).sum())
+    levels = [trees_of.unpacked(r) for r in model.nodes.collect()]
+    assert sum(int((x.positives + x.negatives)[x.feature == trees_of.LEAF].sum()) for x in levels) == drawn
