@@ -1,5 +1,7 @@
 """Vector imputation against the row by row path and brute force."""
 
+import os
+
 import numpy as np
 import pytest
 
@@ -8,7 +10,7 @@ from diffspark.operators import consensus, moderated, vectors
 from diffspark.operators.moments import cell_moments
 from diffspark.plans import catalog
 from diffspark.plans.views import COMPARISONS, CONTRASTS
-from diffspark.stage import materialise
+from diffspark.stage import materialise, stage_root
 
 
 @pytest.fixture(scope="module")
@@ -193,3 +195,37 @@ def test_blocks_of_several_slices(spark, gaps, monkeypatch):
     mine = vectors.draw_vectors(gaps.rows, gaps.cells, gaps.trend, gaps.low, 20)
     mine = sorted(x for r in mine.collect() for x in r.draws)
     assert mine == pytest.approx(sorted(r.y for r in gaps.draws(20).collect()), rel=1e-13)
+
+
+@pytest.mark.parametrize("trend, robust", [(True, True), (vectors.SPLINE, False)])
+def test_slices_of_imputations_change_nothing(gaps, trend, robust, monkeypatch):
+    """Imputations done some at a time have the same priors, rates and medians as all at once."""
+    monkeypatch.setattr(vectors, "RANGE_VALUES", 2_000)
+    options = {"weighted": True, "trend": trend, "robust": robust}
+    whole = by_pair(vectors.vector_consensus(gaps.tests(23, **options), 23))
+    monkeypatch.setattr(vectors, "SLICE_VALUES", 3_000)
+    tests = gaps.tests(23, **options)
+    assert tests.select("slice").distinct().count() > 4
+    alphas = vectors.vector_thresholds(tests, 23, COMPARISONS[0]).count()
+    got = by_pair(vectors.vector_consensus(tests, 23, last=True))
+    assert alphas > 100 and got.keys() == whole.keys()
+    for key, w in whole.items():
+        assert got[key]["hits"] == w["hits"]
+        for name in ("median_p_val", "median_lfc", "critical"):
+            assert got[key][name] == pytest.approx(w[name], rel=1e-9, abs=1e-12), (key, name)
+
+
+def test_neither_draws_nor_p_values_stay(spark, gaps):
+    """Of a finished consensus only the pairs stay on disk; draws are never written."""
+    root = stage_root(spark).removeprefix("file:")
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(root) for f in names)
+
+    m, before = 400, held()
+    n = gaps.cells.agg({"gaps": "sum"}).first()[0]
+    tests = gaps.tests(m, weighted=True, trend=True)
+    pairs = tests.selectExpr("sum(octet_length(p))").first()[0]
+    assert held() - before < 1.1 * pairs + n * m * 4
+    vectors.vector_consensus(tests, m, last=True)
+    assert held() - before < n * m * 4 < pairs
