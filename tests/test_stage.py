@@ -3,7 +3,7 @@
 import os
 
 from diffspark.plans import catalog
-from diffspark.stage import materialise, stage_root, stage_scope
+from diffspark.stage import finished, materialise, stage_root, stage_scope
 
 
 def files(spark):
@@ -26,3 +26,30 @@ def test_nested_scopes(spark):
         with stage_scope(spark):
             materialise(spark.range(2))
         assert outer.count() == 3
+
+
+def test_a_finished_table_leaves_nothing_else(spark):
+    with stage_scope(spark):
+        before = files(spark)
+        done = finished(spark, lambda: materialise(spark.range(5)).where("id > 1"))
+        assert len(files(spark) - before) == 1
+        assert done.count() == 3
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """What a stage table has shuffled is not kept until the driver collects its garbage."""
+    tracker = spark.sparkContext._jsc.sc().env().mapOutputTracker()
+    with stage_scope(spark):
+        before = tracker.shuffleStatuses().size()
+        table = materialise(spark.range(5000).selectExpr("id % 100 AS k").groupBy("k").count())
+        assert tracker.shuffleStatuses().size() <= before
+        assert table.count() == 100
+
+
+def test_consensus_methods_keeps_the_pairs_only(spark, small):
+    """Tests and rates of both methods are removed once the pairs are written."""
+    with stage_scope(spark):
+        before = files(spark)
+        pairs = catalog.QUERIES["q_consensus_methods"](spark, small)
+        assert pairs.count() > 1000
+        assert len(files(spark) - before) <= 3
