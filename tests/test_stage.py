@@ -2,6 +2,9 @@
 
 import os
 
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 from diffspark.plans import catalog
 from diffspark.stage import finished, materialise, stage_root, stage_scope
 
@@ -53,3 +56,17 @@ def test_consensus_methods_keeps_the_pairs_only(spark, small):
         pairs = catalog.QUERIES["q_consensus_methods"](spark, small)
         assert pairs.count() > 1000
         assert len(files(spark) - before) <= 3
+
+
+def test_row_groups_are_cut_by_bytes(spark):
+    """A task does not hold a hundred large rows before it looks at their size."""
+    with stage_scope(spark):
+        before = files(spark)
+        large = F.udf(lambda _: os.urandom(1 << 20), "binary")
+        table = materialise(spark.range(0, 60, 1, 1).select(large("id").alias("large")))
+        (name,) = files(spark) - before
+        folder = f"{stage_root(spark).removeprefix('file:')}/diffspark/{name}"
+        (part,) = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+        found = pq.ParquetFile(f"{folder}/{part}").metadata
+        sizes = [found.row_group(k).total_byte_size for k in range(found.num_row_groups)]
+        assert table.count() == 60 and len(sizes) > 1 and max(sizes) < 40 << 20
